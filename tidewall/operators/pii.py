@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.functions.rows import inline_rows
+from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.functions.text import (
     after_window,
     before_window,
@@ -77,7 +77,7 @@ def with_matches(
     )
     step = df.withColumns(hits).select(*keep, F.array_compact(per_rule).alias("__rules"))
     merged = F.flatten(F.transform("__rules", _rule_matches))
-    return step.select(*keep, F.array_sort(merged).cast(MATCH_TYPE).alias(out))
+    return step.select(*keep, computed_once(F.array_sort(merged).cast(MATCH_TYPE)).alias(out))
 
 
 def _rule_matches(rule: Column) -> Column:
@@ -266,7 +266,10 @@ def score_context(
         return F.array_compact(F.array(*found))
 
     staged = low.withColumns(
-        {"__pos": side("positive", False), "__anti": F.concat(side("anti", False), side("anti", True))}
+        {
+            "__pos": computed_once(side("positive", False)),
+            "__anti": computed_once(F.concat(side("anti", False), side("anti", True))),
+        }
     ).drop("__prefix", "__suffix")
 
     def total(col: str) -> Column:
@@ -325,7 +328,8 @@ def keep_confirmed(
                     out = out + F.when(test, F.lit(sign * float(k.weight))).otherwise(F.lit(0.0))
         return out
 
-    return low.withColumn(matches, F.filter(matches, lambda m: (F.tanh(net(m)) + 1) / 2 >= threshold))
+    kept = F.filter(matches, lambda m: (F.tanh(net(m)) + 1) / 2 >= threshold)
+    return low.withColumn(matches, computed_once(kept))
 
 
 def confirm_matches(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.functions.rows import inline_rows
+from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.rules.secrecy import Scheme, SecrecyRule, controls_frame, levels_frame
 
 RESULT = "struct<level_id:string,reason:string,matched_rules:array<string>>"
@@ -74,7 +74,7 @@ def classify_secrecy(df: DataFrame, types: str, scheme: Scheme) -> DataFrame:
             ]
         )
     )
-    staged = df.withColumn("__rules", found)
+    staged = df.withColumn("__rules", computed_once(found))
     rules = F.col("__rules")
     if scheme.conflict == "highest":
         best = F.array_max(rules)

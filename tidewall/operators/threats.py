@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.functions.rows import inline_rows
+from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.functions.text import gap_lengths, hit_offsets
 from tidewall.rules import files as R
 
@@ -121,7 +121,7 @@ def with_markup_threats(df: DataFrame, html: str, out: str = "threats") -> DataF
         return F.when(_removed_tag(tag), whole).otherwise(parts)
 
     found = F.concat(F.col("__elements"), F.flatten(F.transform("__tags", tag_threats)))
-    return staged.withColumn(out, F.coalesce(found, F.array().cast(THREAT))).drop("__elements", "__tags")
+    return staged.withColumn(out, computed_once(F.coalesce(found, F.array().cast(THREAT)))).drop("__elements", "__tags")
 
 
 def scan_markup(df: DataFrame, key: str, html: str) -> DataFrame:

@@ -373,15 +373,17 @@ def _(spark, d):
 
 
 BLOCK_KEY = "image_id, block_no"
+NOTE = "concat(text, ' mail u', cast(block_no as string), '@corp.example from 10.0.', cast(image_id % 256 as string), '.7')"
+BLOCKS = f"(select *, {NOTE} as note from v_ocr_block) b"
 
 
 @query(
     "P17_scan_blocks",
     f"""select image_id, cast(block_no as bigint) as block_no, rule, matched_text, cast(off as bigint) as "offset"
-        from ({scan_sql('v_ocr_block', BLOCK_KEY, 'text', ALL, 'confidence >= 0.2')}) q""",
+        from ({scan_sql(BLOCKS, BLOCK_KEY, 'note', ALL, 'confidence >= 0.2')}) q""",
 )
 def _(spark, d):
-    found = P.pii_scan_blocks(spread(load(spark, d, "v_ocr_block")), ["image_id", "block_no"], "text", "confidence", ALL, 0.2)
+    found = P.pii_scan_blocks(spread(load(spark, d, "v_ocr_block")).withColumn("note", F.expr(NOTE)), ["image_id", "block_no"], "note", "confidence", ALL, 0.2)
     return found.select("image_id", "block_no", "rule", "matched_text", F.col("offset").cast("bigint").alias("offset"))
 
 
