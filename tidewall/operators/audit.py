@@ -184,7 +184,9 @@ def event_hash(df: DataFrame, columns: list[str] | None = None, out: str = "even
     return df.withColumn(out, F.sha2(F.to_json(F.struct(*(columns or df.columns))), 256))
 
 
-def audit_hash(df: DataFrame, ts: str = "ts", order: list[str] | None = None, bucket_seconds: int = 60) -> DataFrame:
+def audit_hash(
+    df: DataFrame, columns: list[str] | None = None, ts: str = "ts", order: list[str] | None = None, bucket_seconds: int = 60
+) -> DataFrame:
     """Event hash plus a tamper-evident link per event.
 
     ``link_hash`` covers the event hash and the hash of the event before it on the same day, so
@@ -192,7 +194,7 @@ def audit_hash(df: DataFrame, ts: str = "ts", order: list[str] | None = None, bu
     each link needs only its neighbour, which makes it computable in parallel.
     """
     keys = order or [ts, "event_id"]
-    hashed = event_hash(df).withColumn("event_date", F.to_date(ts))
+    hashed = event_hash(df, columns).withColumn("event_date", F.to_date(ts))
     linked = with_previous(hashed, ["event_date"], keys, {"previous_hash": "event_hash"}, time_bucket(F.col(ts), bucket_seconds))
     return linked.withColumn(
         "link_hash", F.sha2(F.concat_ws(":", F.coalesce("previous_hash", F.lit("")), "event_hash"), 256)

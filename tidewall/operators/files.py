@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewall.rules import files as R
 
@@ -130,7 +131,7 @@ def _japanese_scores(data: bytes) -> tuple[float, float]:
     return tuple(float(lead - bad) for lead, bad in (seen["s"], seen["e"]))
 
 
-@F.pandas_udf("struct<name:string,confidence:double>")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 def _japanese_encoding(data: pd.Series) -> pd.DataFrame:
     rows = []
     for d in data:
@@ -182,7 +183,7 @@ def _shannon(data) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for data in batches:
         yield data.map(lambda d: None if d is None else (0.0 if len(d) == 0 else _shannon(d)))
