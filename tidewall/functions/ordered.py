@@ -83,49 +83,53 @@ def fold_in_order(
     fold: Callable,
     output: str,
     start: str = "",
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Sequential fold per key, for rules no window can state.
 
-    ``fold(state, rows) -> (state, columns)`` walks one bucket of one key (a pandas frame in order)
-    from a start state, given as text, and returns the end state and the new columns; ``output`` is
-    their DDL. Buckets run in parallel from a guessed start. A bucket whose true start differs from
-    the guess runs again, until no start changes, so the result is that of the plain fold. Folds
-    that forget (limits, breakers) settle after two or three rounds.
+    ``fold(state, rows) -> (state, columns)`` walks rows of one key (a pandas frame in order) from a
+    start state, given as text, and returns the end state and the new columns; ``output`` is their
+    DDL. A key of at most ``hot_rows`` rows is one group. A hotter key is cut into buckets that run in
+    parallel from a guessed start; a bucket whose true start differs from the guess runs again,
+    until no start changes, so the result is that of the plain fold. Folds that forget (limits,
+    breakers) settle after two or three rounds.
     """
     import pandas as pd
 
-    cut = df.withColumn(BUCKET, bucket)
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     row_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     out_names = [p.strip().split(" ")[0].strip("`") for p in _top_level_commas(output)]
     columns = list(df.columns)
-
-    def begin(pdf: pd.DataFrame) -> str:
-        return pdf["__start"].iloc[0]
+    by = [*keys, BUCKET]
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order, kind="stable")
-        state, _ = fold(begin(rows), rows)
         first = rows.iloc[0]
-        return pd.DataFrame([[*[first[k] for k in keys], first[BUCKET], first["__start"], state]], columns=[*keys, BUCKET, "__start", "__end"])
+        state, _ = fold(first["__start"], rows)
+        return pd.DataFrame([[*[first[c] for c in by], first["__start"], state]], columns=[*by, "__start", "__end"])
 
     def outputs(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order, kind="stable")
-        _, made = fold(begin(rows), rows)
+        _, made = fold(rows["__start"].iloc[0], rows)
         out = rows[columns].reset_index(drop=True)
         for name in out_names:
             out[name] = made[name]
         return out
 
-    end_ddl = f"{key_ddl}, {BUCKET} bigint, __start string, __end string"
-    by = [*keys, BUCKET]
+    out_ddl = f"{row_ddl}, {output}"
+    hot = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys))
+    if hot.isEmpty():
+        return df.withColumn("__start", F.lit(start)).groupBy(*keys).applyInPandas(outputs, out_ddl)
+
+    cold = df.join(hot, keys, "left_anti").withColumn("__start", F.lit(start)).groupBy(*keys).applyInPandas(outputs, out_ddl)
+    cut = df.join(hot, keys, "left_semi").withColumn(BUCKET, bucket)
     per_key = Window.partitionBy(*keys).orderBy(BUCKET)
 
     def run(starts: DataFrame) -> DataFrame:
-        return cut.join(starts.select(*by, "__start"), by).groupBy(*by).applyInPandas(ends, end_ddl)
+        ends_ddl = f"{key_ddl}, {BUCKET} bigint, __start string, __end string"
+        return cut.join(starts.select(*by, "__start"), by).groupBy(*by).applyInPandas(ends, ends_ddl)
 
-    guess = cut.select(*by).distinct().withColumn("__start", F.lit(start))
-    known = cut_lineage(run(guess))
+    known = cut_lineage(run(cut.select(*by).distinct().withColumn("__start", F.lit(start))))
     while True:
         true_start = F.coalesce(F.lag("__end").over(per_key), F.lit(start))
         moved = cut_lineage(
@@ -133,9 +137,8 @@ def fold_in_order(
         )
         if moved.isEmpty():
             break
-        redone = run(moved)
-        known = cut_lineage(known.join(moved.select(*by), by, "left_anti").unionByName(redone))
-    return cut.join(known.select(*by, "__start"), by).groupBy(*by).applyInPandas(outputs, f"{row_ddl}, {output}")
+        known = cut_lineage(known.join(moved.select(*by), by, "left_anti").unionByName(run(moved)))
+    return cold.unionByName(cut.join(known.select(*by, "__start"), by).groupBy(*by).applyInPandas(outputs, out_ddl))
 
 
 def _top_level_commas(ddl: str) -> list[str]:
