@@ -86,14 +86,8 @@ def with_markup_threats(df: DataFrame, html: str, out: str = "threats") -> DataF
     elements = []
     for name, threat in R.DANGEROUS_ELEMENTS.items():
         hits = F.regexp_extract_all(text, F.lit(_element_regex(name)), F.lit(0))
-        elements.append(
-            F.transform(
-                hits,
-                lambda h, name=name, threat=threat: F.struct(
-                    F.lit(name).alias("element"), F.lit("").alias("attribute"), F.lit(threat).alias("threat")
-                ),
-            )
-        )
+        row = F.struct(F.lit(name).alias("element"), F.lit("").alias("attribute"), F.lit(threat).alias("threat"))
+        elements.append(F.array_repeat(row, F.size(hits)))
     staged = df.withColumn("__elements", F.concat(*elements)).withColumn(
         "__tags",
         F.filter(
@@ -174,15 +168,13 @@ def scan_tokens(
         {f"__g{i}": F.when(F.size(f"__h{i}") > 0, gap_lengths(F.col("__text"), rx)) for i, (_, rx) in enumerate(tokens)}
     )
     kind = "array<struct<token:string,offset:bigint,found:string>>"
+
+    def named(name: str):
+        return lambda h, o: F.struct(F.lit(name).alias("token"), o.cast("bigint").alias("offset"), h.alias("found"))
+
     arrays = [
         F.when(F.size(f"__h{i}") == 0, F.array().cast(kind)).otherwise(
-            F.zip_with(
-                f"__h{i}",
-                hit_offsets(F.col(f"__h{i}"), F.col(f"__g{i}")),
-                lambda h, o, name=name: F.struct(
-                    F.lit(name).alias("token"), o.cast("bigint").alias("offset"), h.alias("found")
-                ),
-            )
+            F.zip_with(f"__h{i}", hit_offsets(F.col(f"__h{i}"), F.col(f"__g{i}")), named(name))
         )
         for i, (name, _) in enumerate(tokens)
     ]

@@ -51,7 +51,7 @@ def _(spark, d):
 
 
 DETS = """dets as (
-  select l_orderkey as file_id, l_linenumber as ord, concat('detector-', cast(l_linenumber as string)) as detector, l_returnflag as detected_ext, l_discount * 10 as confidence from lineitem)"""
+  select l_orderkey as file_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as ord, concat('detector-', cast(l_linenumber as string)) as detector, l_returnflag as detected_ext, l_discount * 10 as confidence from lineitem)"""
 
 
 @query(
@@ -61,7 +61,7 @@ DETS = """dets as (
 )
 def _(spark, d):
     dets = load(spark, d, "lineitem").selectExpr(
-        "l_orderkey as file_id", "l_linenumber as ord", "concat('detector-', cast(l_linenumber as string)) as detector", "l_returnflag as detected_ext", "l_discount * 10 as confidence"
+        "l_orderkey as file_id", "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as ord", "concat('detector-', cast(l_linenumber as string)) as detector", "l_returnflag as detected_ext", "l_discount * 10 as confidence"
     )
     return T.best_detection(dets, "file_id")
 
