@@ -54,10 +54,10 @@ def shortest_path(
 ) -> DataFrame:
     """Fewest-hop path of each (source, target), at most ``max_hops``; ties go by edge order.
 
-    All sources advance together, one join per hop. Each (source, node) is reached once: its first
-    path wins and the visited set keeps later ones out, so a round holds at most sources × nodes
-    rows. A target that is found leaves the wanted list, and a source without wanted targets stops.
-    Each round is checkpointed. ``status`` is ok, no_path or unknown_node.
+    All sources advance together, one join and one checkpoint per hop. Each (source, node) is reached
+    once: its first path wins and earlier rounds are the visited set, so a round holds at most
+    sources × nodes rows. A source whose targets are all found stops. ``status`` is ok, no_path or
+    unknown_node.
     """
     hop = ordered_edges(edges, order)
     known = nodes.select(F.col("node_id")).distinct()
@@ -65,33 +65,28 @@ def shortest_path(
     valid = asked.join(known, asked["source"] == known["node_id"], "left_semi").join(
         known, F.col("target") == known["node_id"], "left_semi"
     )
-    start = valid.select("source").distinct()
     none = F.array().cast("array<bigint>")
-    frontier = start.select(
+    frontier = valid.select("source").distinct().select(
         "source", F.col("source").alias("node"), F.array(F.col("source").cast("bigint")).alias("hops"), none.alias("ords")
     )
-    visited = frontier.select("source", "node")
-    found = valid.where("source = target").select("source", "target", F.array(F.col("source").cast("bigint")).alias("hops"))
-    wanted = cut_lineage(valid.where("source <> target"))
+    reached = frontier
     for _ in range(max_hops):
-        if wanted.isEmpty():
-            break
-        step = frontier.join(wanted.select("source").distinct(), "source", "left_semi").join(hop, frontier["node"] == hop["from_node"])
-        reached = step.select(
+        ends = reached.select("source", F.col("node").alias("target"))
+        open_sources = valid.join(ends, ["source", "target"], "left_anti").select("source").distinct()
+        step = frontier.join(open_sources, "source", "left_semi").join(hop, frontier["node"] == hop["from_node"])
+        fresh = step.select(
             "source",
             F.col("to_node").alias("node"),
             F.array_append("hops", F.col("to_node").cast("bigint")).alias("hops"),
             F.array_append("ords", F.col("edge_ord")).alias("ords"),
-        ).join(visited, ["source", "node"], "left_anti")
+        ).join(reached.select("source", "node"), ["source", "node"], "left_anti")
         frontier = cut_lineage(
-            reached.groupBy("source", "node").agg(F.min(F.struct("ords", "hops")).alias("b")).select("source", "node", "b.hops", "b.ords")
+            fresh.groupBy("source", "node").agg(F.min(F.struct("ords", "hops")).alias("b")).select("source", "node", "b.hops", "b.ords")
         )
         if frontier.isEmpty():
             break
-        hit = wanted.join(frontier.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops")
-        found = cut_lineage(found.unionByName(hit))
-        visited = cut_lineage(visited.unionByName(frontier.select("source", "node")))
-        wanted = cut_lineage(wanted.join(hit, ["source", "target"], "left_anti"))
+        reached = reached.unionByName(frontier)
+    found = valid.join(reached.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops")
     out = asked.join(found, ["source", "target"], "left").join(
         valid.withColumn("__valid", F.lit(True)), ["source", "target"], "left"
     )

@@ -19,7 +19,7 @@ walk as (
   select w.source, g.to_node, list_append(w.hops, g.to_node), w.depth + 1 from walk w join g on g.from_node = w.node
   where w.depth < {HOPS} and not list_contains(w.hops, g.to_node)),
 best as (select source, node as target, arg_min(hops, struct_pack(d := depth, h := hops)) as hops, min(depth) as depth from walk group by 1, 2),
-asked as (select c_nationkey as source, cast((c_custkey * 7) % 27 as bigint) as target from customer group by 1, 2),
+asked as (select cast(c_nationkey as bigint) as source, cast((c_custkey * 7) % 27 as bigint) as target from customer group by 1, 2),
 answer as (select a.source, a.target, case when a.target > 24 then 'unknown_node' when b.hops is null then 'no_path' else 'ok' end as status,
    cast(coalesce(b.depth, -1) as bigint) as total_hops, coalesce(b.hops, []) as hops from asked a left join best b on b.source = a.source and b.target = a.target)
 """

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidewall.operators import pii as P
 from tidewall.operators import secrecy as K
 from tidewall.plans.catalog import query
-from tidewall.plans.catalog.pii import ALL, documents, scan_sql
+from tidewall.plans.catalog.pii import ALL, INTL, JP, WINDOWS, WORDS, documents, mask_sql, scan_sql, score_sql
+from tidewall.plans.flagship import protect_documents
+from tidewall.plans.views import load
 from tidewall.rules.secrecy import LEVELS, RULES, SecrecyRule, secrecy_scheme
 
 SCHEME = secrecy_scheme()
@@ -117,3 +119,32 @@ def _(spark, d):
 def _(spark, d):
     classed = K.classify_secrecy(typed(spark, d, ("source", "lang")), "pii_types", SCHEME)
     return K.secrecy_report(classed, "source", "lang")
+
+
+def flagship_sql(threshold: float) -> str:
+    """The whole chain in SQL: scan, score, keep, classify, redact."""
+    scan = scan_sql("documents", "doc_id", "text", JP + INTL)
+    windows = WINDOWS.replace(scan_sql("documents", "doc_id", "text", ALL), scan)
+    kept = score_sql(WORDS).replace(WINDOWS, windows)
+    # names of the inner chain are kept apart from the outer one
+    return f"""
+with q as ({kept}),
+m as (select s.* from ({scan}) s join q on q.doc_id = s.doc_id and q.rule = s.rule and q."offset" = s.off where q.score >= {threshold}),
+t as (select doc_id, string_agg(distinct pii_type, ',' order by pii_type) as types, count(*) as n, max(case action when 'mask' then 2 else 1 end) as act from m group by 1),
+x as (select d.doc_id, coalesce(t.types, '') as types, coalesce(t.n, 0) as n, coalesce(t.act, 1) as act,
+  concat(',', coalesce(t.types, ''), ',') as s from documents d left join t on t.doc_id = d.doc_id),
+lv as (select *, case when contains(s, ',national_id,') or contains(s, ',credit_card,') then 'critical' when contains(s, ',phone,') then 'high' when contains(s, ',email,') then 'medium'
+  when types = '' then 'public' else 'medium' end as level_id from x),
+masks as (select doc_id, off, rule_ord, {mask_sql('matched_text', 'ch')} as mt from m),
+cells as (select doc_id, off + i as pos, arg_min(substring(mt, i + 1, 1), struct_pack(a := off, b := -rule_ord)) as c from masks, unnest(range(0, length(mt))) as u(i) group by 1, 2),
+chars as (select doc_id, unnest(range(0, len(cs))) as pos, unnest(cs) as c from (select doc_id, string_split(text, '') as cs from documents where doc_id in (select doc_id from m)) y),
+built as (select ch.doc_id, string_agg(coalesce(ce.c, ch.c), '' order by ch.pos) as rt from chars ch left join cells ce on ce.doc_id = ch.doc_id and ce.pos = ch.pos group by 1)
+select lv.doc_id, cast(lv.n as bigint) as confirmed, lv.types as pii_types, case lv.act when 2 then 'mask' else 'alert_only' end as doc_action, lv.level_id,
+  cast(case lv.level_id when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 0 end as bigint) as level_rank, md5(coalesce(b.rt, d.text)) as redacted_md5
+from lv join documents d on d.doc_id = lv.doc_id left join built b on b.doc_id = lv.doc_id"""
+
+
+@query("flagship_protect_documents", flagship_sql(0.5))
+def _(spark, d):
+    out = protect_documents(load(spark, d, "documents"))
+    return out.withColumn("redacted_md5", F.md5("redacted_text")).drop("redacted_text")

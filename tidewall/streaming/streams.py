@@ -116,7 +116,10 @@ def stream_decide(requests: DataFrame, rules_path: str, out: str, checkpoint: st
 
 
 def stream_decision_files(spark: SparkSession, path: str, approved: str = "{file_id}.approved", rejected: str = "{file_id}.rejected") -> DataFrame:
-    """State changes from the names of files that arrive in a folder; other names are left out."""
+    """State changes from the names of files that arrive in a folder; other names are left out.
+
+    Spark reads no rows from empty files, so a decision file holds at least one byte.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
