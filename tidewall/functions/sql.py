@@ -6,34 +6,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewall.functions.patterns import ascii_classes
 from tidewall.operators.calendar import ERAS
 from tidewall.rules.pii import TextRule, rules_jp
 
 
-def python_pattern(pattern: str) -> str:
-    """A Java pattern for Python's ``re``: word edges stay Unicode, digits and spaces become ASCII."""
-    short = {"d": "0-9", "s": r" \t\n\x0b\f\r"}
-    out, in_class, i = [], False, 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and pattern[i + 1] in short:
-            chars = short[pattern[i + 1]]
-            out.append(chars if in_class else f"[{chars}]")
-            i += 2
-            continue
-        if ch == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        in_class = ch == "[" or (in_class and ch != "]")
-        out.append(ch)
-        i += 1
-    return "".join(out)
-
-
 def _matches_udtf(rules: list[TextRule]):
     """A table function over one text. Compiled here once per Python worker, not per row."""
-    specs = [(r.name, python_pattern(r.pattern), r.mask_char) for r in rules]
+    specs = [(r.name, ascii_classes(r.pattern), r.mask_char) for r in rules]
 
     class PiiMatches:
         def __init__(self):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewall.functions.patterns import bit_is_set, may_match
 from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.functions.text import (
     after_window,
@@ -37,12 +38,18 @@ MATCH_TYPE = (
 
 
 def with_matches(
-    df: DataFrame, text: str, rules: list[TextRule], out: str = "matches", type_map: dict[str, str] | None = None
+    df: DataFrame,
+    text: str,
+    rules: list[TextRule],
+    out: str = "matches",
+    type_map: dict[str, str] | None = None,
+    gate: bool = True,
 ) -> DataFrame:
     """Add the array of matches of all rules, ordered by offset, then by rule order.
 
-    One regex pass per rule finds the hits; only texts with hits are split a second time for the
-    offsets. Offsets and lengths are in characters.
+    A fast test first says which rules a text might match at all; ``gate=False`` leaves it out and
+    stays in the JVM. One regex pass per such rule finds the hits, and only texts with hits are split
+    a second time for the offsets. Offsets and lengths are in characters.
     """
     if len(valid_rules(rules)) != len(rules):
         raise ValueError("rule pack holds unusable rules; see valid_rules")
@@ -50,14 +57,18 @@ def with_matches(
     keep = df.columns
     none = F.array().cast("array<string>")
     col = F.col(text)
+    if not rules:
+        return df.withColumn(out, F.array().cast(MATCH_TYPE))
+    if gate:
+        df = df.withColumn("__gate", may_match(col, [r.pattern for r in rules], df.sparkSession))
     hits = {}
     for i, r in enumerate(rules):
         found = F.regexp_extract_all(col, F.lit(r.pattern), F.lit(0))
-        if r.needs:
+        if gate:
+            found = F.when(bit_is_set(F.col("__gate"), i), found).otherwise(none)
+        elif r.needs:
             found = F.when(F.contains(col, F.lit(r.needs)), found).otherwise(none)
         hits[f"__hits{i}"] = F.coalesce(found, none)
-    if not rules:
-        return df.withColumn(out, F.array().cast(MATCH_TYPE))
     per_rule = F.array(
         *[
             F.when(
