@@ -236,12 +236,39 @@ def context_window(df: DataFrame, keys: list[str], text: str, rules: list[TextRu
     return explode_matches(with_context(with_matches(df.select(*keys, text), text, rules), text, size=size), keys)
 
 
-def _hit(keyword: Keyword, prefix: Column, suffix: Column, case_sensitive: bool) -> Column:
-    word = F.lit(keyword.keyword if case_sensitive else keyword.keyword.lower())
-    before = F.contains(prefix, word)
-    after = F.contains(suffix, word)
-    hit = {"before": before, "after": after}.get(keyword.position, before | after)
-    return F.coalesce(hit, F.lit(False))
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hit_sql(k: Keyword, m: str, case_sensitive: bool) -> str:
+    """The test of one keyword against the prefix and suffix of ``m``, as SQL text.
+
+    A keyword list makes a long expression; one parse of its text is far quicker than building it
+    call by call.
+    """
+    word = _quote(k.keyword if case_sensitive else k.keyword.lower())
+    before, after = f"contains({m}prefix, {word})", f"contains({m}suffix, {word})"
+    test = {"before": before, "after": after}.get(k.position, f"({before} or {after})")
+    scope = "" if k.pii_type == GLOBAL else f"{m}pii_type = {_quote(k.pii_type)} and "
+    return f"coalesce({scope}{test}, false)"
+
+
+def _ranked(keywords: list[Keyword], polarity: str) -> list[Keyword]:
+    """Keywords of one side: those of a type, then the global ones."""
+    own = [k for k in keywords if k.polarity == polarity]
+    return [k for k in own if k.pii_type != GLOBAL] + [k for k in own if k.pii_type == GLOBAL]
+
+
+def _found_sql(keywords: list[Keyword], polarity: str, m: str, case_sensitive: bool) -> str:
+    """Array of (word, weight) of the keywords that hit."""
+    parts = [
+        f"case when {_hit_sql(k, m, case_sensitive)} then named_struct('word', "
+        f"{_quote(('global:' if k.pii_type == GLOBAL else '') + k.keyword)}, 'weight', {float(k.weight)!r}D) end"
+        for k in _ranked(keywords, polarity)
+    ]
+    if not parts:
+        return "cast(array() as array<struct<word:string,weight:double>>)"
+    return f"array_compact(array({', '.join(parts)}))"
 
 
 def score_context(
@@ -255,33 +282,19 @@ def score_context(
     The score is (tanh(positive − anti − global anti) + 1) / 2. Keyword lists are small and known on
     the driver, so each becomes a literal test per row: no join, no fan-out.
     """
-    low = matches if case_sensitive else matches.withColumns(
-        {"__prefix": F.lower("prefix"), "__suffix": F.lower("suffix")}
-    )
-    prefix = F.col("prefix" if case_sensitive else "__prefix")
-    suffix = F.col("suffix" if case_sensitive else "__suffix")
-
-    def side(polarity: str, glob: bool) -> Column:
-        words = [k for k in keywords if k.polarity == polarity and (k.pii_type == GLOBAL) == glob]
-        found = [
-            F.when(
-                (F.lit(True) if glob else F.col("pii_type") == k.pii_type) & _hit(k, prefix, suffix, case_sensitive),
-                F.struct(
-                    F.lit(("global:" if glob else "") + k.keyword).alias("word"), F.lit(float(k.weight)).alias("weight")
-                ),
-            )
-            for k in words
-        ]
-        if not found:
-            return F.array().cast("array<struct<word:string,weight:double>>")
-        return F.array_compact(F.array(*found))
-
+    low = matches
+    if not case_sensitive:
+        low = matches.withColumns({"__prefix": F.col("prefix"), "__suffix": F.col("suffix")}).withColumns(
+            {"prefix": F.lower("prefix"), "suffix": F.lower("suffix")}
+        )
     staged = low.withColumns(
         {
-            "__pos": computed_once(side("positive", False)),
-            "__anti": computed_once(F.concat(side("anti", False), side("anti", True))),
+            "__pos": computed_once(F.expr(_found_sql(keywords, "positive", "", case_sensitive))),
+            "__anti": computed_once(F.expr(_found_sql(keywords, "anti", "", case_sensitive))),
         }
-    ).drop("__prefix", "__suffix")
+    )
+    if not case_sensitive:
+        staged = staged.withColumns({"prefix": F.col("__prefix"), "suffix": F.col("__suffix")}).drop("__prefix", "__suffix")
 
     def total(col: str) -> Column:
         return F.aggregate(col, F.lit(0.0), lambda a, x: a + x["weight"])
@@ -328,18 +341,11 @@ def keep_confirmed(
         ),
     )
 
-    def net(m: Column) -> Column:
-        out = F.lit(0.0)
-        for sign, polarity, glob in ((1, "positive", False), (-1, "anti", False), (-1, "anti", True)):
-            for k in keywords:
-                if k.polarity == polarity and (k.pii_type == GLOBAL) == glob:
-                    test = _hit(k, m["prefix"], m["suffix"], False)
-                    if not glob:
-                        test = (m["pii_type"] == k.pii_type) & test
-                    out = out + F.when(test, F.lit(sign * float(k.weight))).otherwise(F.lit(0.0))
-        return out
-
-    kept = F.filter(matches, lambda m: (F.tanh(net(m)) + 1) / 2 >= threshold)
+    # weights are added in the order of score_context: positive, then anti, then global anti
+    positive = [f"if({_hit_sql(k, 'm.', False)}, {float(k.weight)!r}D, 0D)" for k in _ranked(keywords, "positive")]
+    anti = [f"if({_hit_sql(k, 'm.', False)}, {float(k.weight)!r}D, 0D)" for k in _ranked(keywords, "anti")]
+    net = f"({' + '.join(['0D', *positive])}) - ({' + '.join(['0D', *anti])})"
+    kept = F.expr(f"filter(`{matches}`, m -> (tanh({net}) + 1) / 2 >= {float(threshold)!r}D)")
     return low.withColumn(matches, computed_once(kept))
 
 

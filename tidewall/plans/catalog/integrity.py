@@ -8,6 +8,7 @@ from tidewall.functions.ordered import fold_in_order, time_bucket
 from tidewall.operators import integrity as I
 from tidewall.plans.catalog import query
 from tidewall.plans.views import load
+from tidewall.session import spread
 
 SIZE = 64
 PARTS = f"""
@@ -20,7 +21,7 @@ HURT = "(doc_id * 7 + chunk_index * 13) % 29 = 0"
 
 
 def parts(spark, d):
-    return I.chunk(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", SIZE)
+    return I.chunk(spread(load(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", SIZE)
 
 
 def damaged(spark, d):
