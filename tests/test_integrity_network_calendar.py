@@ -19,7 +19,9 @@ def test_chunks_round_trip(spark):
     parts = I.chunk(df, "id", "t", 64)
     files = df.select("id", F.md5("t").alias("file_md5"))
     back = I.reassemble(parts.orderBy(F.rand(1)), files, "id").collect()
-    assert {r.id: r.content for r in back} == dict(rows) and all(r.hash_ok for r in back)
+    assert {r.id: r.content for r in back} == dict(rows) and all(r.status == "ok" for r in back)
+    small = {r.id: r.status for r in I.reassemble(parts, files, "id", max_bytes=200).collect()}
+    assert small == {1: "too_large", 2: "ok", 3: "ok", 4: "too_large"}
     blob = df.select("id", F.col("t").cast("binary").alias("b"))
     whole = I.chunk(blob, "id", "b", 50).groupBy("id").agg(F.sum("chunk_size").alias("n")).collect()
     assert {r.id: r.n for r in whole} == {i: len(t.encode()) for i, t in rows}

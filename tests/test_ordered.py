@@ -113,7 +113,7 @@ def test_replay_equals_plain_fold(spark):
     states = ["approved", "rejected", "transferring", "completed", "failed", "expired"]
     rows = [(i, rnd.randrange(30), START + dt.timedelta(minutes=rnd.randrange(5000)), rnd.choice(states), rnd.choice("ab")) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, k int, ts timestamp, status string, approver string").withColumn("assigned", F.lit("a"))
-    out = L.replay_state(df, "k", ["ts", "id"], "status", "ts", "approver", "assigned", bucket_seconds=3600)
+    out = L.replay_state(df, "k", ["ts", "id"], "status", "approver", "assigned")
     got = {r.id: (r.state_before, r.state_after, r.accepted) for r in out.collect()}
     assert len(got) == len(rows)
     legal = set(L.APPROVAL_MOVES)

@@ -132,7 +132,7 @@ def purge_by_preset(df: DataFrame, presets: DataFrame, preset: str, now: str, ts
     """Retention with the days of each row's preset (``name``, ``audit_retention_days``)."""
     keep = presets.select(F.col("name").alias(preset), F.col("audit_retention_days").cast("int").alias("__days"))
     cutoff = F.date_sub(F.lit(now).cast("date"), F.col("__days"))
-    return df.join(F.broadcast(keep), preset).where(F.to_date(ts) >= cutoff).drop("__days")
+    return df.join(keep, preset).where(F.to_date(ts) >= cutoff).drop("__days")
 
 
 def check_range(params: DataFrame, start: str = "from_ts", end: str = "to_ts") -> DataFrame:
@@ -243,7 +243,7 @@ def top_actors(df: DataFrame, k: int, actor: str = "actor_id") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), F.asc(actor))).cast("bigint"))
 
 
-def sessions(df: DataFrame, key: str, order: list[str], ts: str, gap_seconds: int, bucket_seconds: int = 86400) -> DataFrame:
+def sessions(df: DataFrame, key: str, order: list[str], ts: str, gap_seconds: int, bucket_seconds: int = 3600) -> DataFrame:
     """Sessions per key: a new one starts after a silence of at least ``gap_seconds``."""
     bucket = time_bucket(F.col(ts), bucket_seconds)
     prev = with_previous(df, [key], order, {"__prev_ts": ts}, bucket)

@@ -45,16 +45,24 @@ def chunk(df: DataFrame, key: str, col: str, size: int) -> DataFrame:
 
 
 def manifest(chunks: DataFrame, key: str) -> DataFrame:
-    """One row per file: chunk count, total size and the digest of the ordered chunk hashes.
+    """One row per file: chunk count, total size and a digest over its (index, hash) pairs.
 
-    The list holds (index, md5) only. A file's list is as long as its number of chunks, far smaller
-    than the file.
+    The digest adds 64-bit hashes, so it needs no order and no list. ``manifest_pages`` has the list.
     """
-    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_md5")))
+    pair = F.xxhash64("chunk_index", "chunk_md5").cast("decimal(38,0)")
     return chunks.groupBy(key).agg(
         F.count(F.lit(1)).alias("chunk_count"),
         F.sum("chunk_size").alias("total_size"),
-        F.array_join(F.transform(listed, lambda c: c["chunk_md5"]), ",").alias("chunk_list"),
+        F.sum(pair).cast("string").alias("digest"),
+    )
+
+
+def manifest_pages(chunks: DataFrame, key: str, page_size: int = CHUNKS_PER_BUCKET) -> DataFrame:
+    """The chunk list of each file in pages of fixed length, so a huge file is many small rows."""
+    page = F.floor(F.col("chunk_index") / page_size).cast("bigint")
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_md5")))
+    return chunks.groupBy(key, page.alias("page")).agg(
+        F.count(F.lit(1)).alias("chunks"), F.transform(listed, lambda c: c["chunk_md5"]).alias("chunk_list")
     )
 
 
@@ -115,12 +123,12 @@ def verify_chunks(chunks: DataFrame, sealed: DataFrame, key: str, zero_tolerance
     return joined.select(key, "chunk_index", F.coalesce(bad, F.lit(True)).alias("corrupt"))
 
 
-def corrupt_indices(verified: DataFrame, key: str) -> DataFrame:
-    """Chunk counts and the sorted list of corrupt indices per file."""
+def corrupt_summary(verified: DataFrame, key: str) -> DataFrame:
+    """Chunks, corrupt chunks and the first corrupt index per file; the indices are the corrupt rows."""
     return verified.groupBy(key).agg(
         F.count(F.lit(1)).alias("chunks"),
         F.count_if("corrupt").alias("corrupt_chunks"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("corrupt"), F.col("chunk_index")))), lambda i: i.cast("string")), ",").alias("corrupt_list"),
+        F.coalesce(F.min(F.when(F.col("corrupt"), F.col("chunk_index"))), F.lit(-1)).alias("first_corrupt"),
     )
 
 
@@ -155,18 +163,33 @@ def complete_files(chunks: DataFrame, expected: DataFrame, key: str, count: str
     )
 
 
-def reassemble(chunks: DataFrame, files: DataFrame, key: str, file_hash: str = "file_md5") -> DataFrame:
+def reassemble(
+    chunks: DataFrame, files: DataFrame, key: str, file_hash: str = "file_md5", max_bytes: int = 512 * 1024 * 1024
+) -> DataFrame:
     """Content of each file from its chunks in order, checked against the file's hash.
 
-    Repeats of a chunk are dropped before anything is gathered, so a group is exactly one file, which
-    must fit a cell anyway. Files that do not fit one are checked with ``verify_chunks``.
+    A file is gathered only when it fits a cell: repeats of a chunk are dropped and sizes added up
+    first. A larger file comes back as too_large without content; its chunks are checked one by one
+    with ``verify_chunks``.
     """
     once = chunks.groupBy(key, "chunk_index").agg(F.min("data").alias("data"))
-    joined = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("__parts"))
-    text = F.array_join(F.transform("__parts", lambda p: p["data"]), "")
-    whole = joined.select(key, F.size("__parts").cast("bigint").alias("chunk_count"), text.alias("content"))
-    return whole.join(files.select(key, file_hash), key).select(
-        key, "chunk_count", "content", (F.md5("content") == F.col(file_hash)).alias("hash_ok")
+    sizes = once.groupBy(key).agg(
+        F.count(F.lit(1)).alias("chunk_count"), F.sum(F.octet_length("data")).alias("total_size")
+    )
+    fits = sizes.where(F.col("total_size") <= max_bytes).select(key)
+    parts = once.join(fits, key, "left_semi").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("__parts")
+    )
+    whole = parts.select(key, F.array_join(F.transform("__parts", lambda p: p["data"]), "").alias("content"))
+    known = sizes.join(files.select(key, file_hash), key).join(whole, key, "left")
+    return known.select(
+        key,
+        "chunk_count",
+        "content",
+        F.when(F.col("content").isNull(), F.lit("too_large"))
+        .when(F.md5("content") == F.col(file_hash), F.lit("ok"))
+        .otherwise(F.lit("hash_mismatch"))
+        .alias("status"),
     )
 
 
@@ -176,23 +199,22 @@ def chunk_mismatch(df: DataFrame, data: str = "data", expected: str = "expected_
 
 
 def session_progress(acks: DataFrame, sessions: DataFrame, session: str, count: str = "expected_count") -> DataFrame:
-    """Confirmed and pending chunks per session and whether it is complete.
+    """Confirmed and pending counts per session and whether it is complete.
 
-    Repeated acknowledgements collapse first. The pending list is bounded by the session's chunk count.
+    Repeated acknowledgements collapse before the count. The pending chunks themselves are the rows
+    of ``missing_chunks``.
     """
-    got = acks.select(session, F.col("chunk_index").cast("bigint")).distinct()
-    seen = got.groupBy(session).agg(F.collect_list("chunk_index").alias("__seen"))
-    wanted = F.when(
-        F.col(count) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(count).cast("bigint") - 1)
-    ).otherwise(F.array().cast("array<bigint>"))
-    joined = sessions.join(seen, session, "left").withColumn("__seen", F.coalesce("__seen", F.array().cast("array<bigint>")))
-    pending = F.array_except(wanted, F.col("__seen"))
+    once = acks.select(session, F.col("chunk_index").cast("bigint").alias("chunk_index")).distinct()
+    got = once.join(sessions.select(session, F.col(count).alias("__n")), session).where(
+        (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("__n"))
+    )
+    seen = got.groupBy(session).agg(F.count(F.lit(1)).alias("confirmed"))
+    joined = sessions.join(seen, session, "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(0).cast("bigint")))
     return joined.select(
         session,
-        F.size("__seen").cast("bigint").alias("confirmed"),
-        F.size(pending).cast("bigint").alias("pending"),
-        F.array_join(F.transform(pending, lambda i: i.cast("string")), ",").alias("pending_list"),
-        (F.size(pending) == 0).alias("complete"),
+        "confirmed",
+        (F.col(count).cast("bigint") - F.col("confirmed")).alias("pending"),
+        (F.col("confirmed") >= F.col(count)).alias("complete"),
     )
 
 

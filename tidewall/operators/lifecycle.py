@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.functions.ordered import BUCKET, time_bucket, with_next, with_previous
+from tidewall.functions.ordered import time_bucket, with_next, with_previous, with_running_sum
 
 # --- fixed values: approval and file states ---
 APPROVAL_MOVES = (
@@ -65,80 +65,73 @@ def valid_transitions(
     return prev.withColumn("from_status", source).withColumn("is_legal", _legal(source, F.col(status), APPROVAL_MOVES))
 
 
+def longest_path(moves) -> int:
+    """Most moves an entity can ever make; the moves must not form a cycle."""
+    depth: dict[str, int] = {}
+
+    def walk(state: str, trail: tuple[str, ...]) -> int:
+        if state in trail:
+            raise ValueError("moves form a cycle")
+        if state not in depth:
+            depth[state] = max((1 + walk(b, (*trail, state)) for a, b in moves if a == state), default=0)
+        return depth[state]
+
+    return max(walk(a, ()) for a, _ in moves)
+
+
+def accepted_moves(
+    events: DataFrame, entity: str, order: list[str], status: str, right_one: Column, initial: str, moves=APPROVAL_MOVES
+) -> DataFrame:
+    """One row per entity: the events it accepts, as structs (at, to) in the columns move1, move2, ...
+
+    Legal moves have no cycle, so an entity makes three at the most. The first is the earliest event
+    legal from the initial state, the next the earliest later one legal from there, and so on: one
+    partial minimum per round. No entity's log is ever gathered, however long it is.
+    """
+    at = F.struct(*[F.col(c).alias(c) for c in order])
+    event = F.struct(at.alias("at"), F.col(status).alias("to"))
+    out = events.groupBy(entity).agg(
+        F.min(F.when(_legal(F.lit(initial), F.col(status), moves) & right_one, event)).alias("move1")
+    )
+    for n in range(2, longest_path(moves) + 1):
+        last = F.col(f"move{n - 1}")
+        later = events.join(out.where(last.isNotNull()).select(entity, last.alias("__last")), entity)
+        test = (at > F.col("__last.at")) & _legal(F.col("__last.to"), F.col(status), moves) & right_one
+        nxt = later.groupBy(entity).agg(F.min(F.when(test, event)).alias(f"move{n}"))
+        out = out.join(nxt, entity, "left")
+    return out
+
+
 def replay_state(
     events: DataFrame,
     entity: str,
     order: list[str],
     status: str,
-    ts: str,
     approver: str | None = None,
     assigned: str | None = None,
     initial: str = "pending_approval",
-    bucket_seconds: int = 86400,
 ) -> DataFrame:
     """Replay a state log: illegal moves are refused and leave the state as it is.
 
-    Approving or rejecting also needs the assigned approver when both columns are given. A move
-    refused changes what the next one starts from, so this is a fold. Each bucket is folded once from
-    every possible start state, which gives a small table start -> end; those tables are chained per
-    entity; then each bucket is folded from its now known start.
+    Approving or rejecting also needs the assigned approver when both columns are given. Adds
+    state_before, state_after and accepted to every event.
     """
     right_one = F.lit(True)
     if approver and assigned:
         right_one = ~F.col(status).isin("approved", "rejected") | F.coalesce(
             F.col(approver) == F.col(assigned), F.lit(False)
         )
-    packed = F.struct(*[F.col(c).alias(c) for c in order], F.col(status).alias("__to"), right_one.alias("__ok"), F.struct(*events.columns).alias("__row"))
-    buckets = (
-        events.withColumn(BUCKET, time_bucket(F.col(ts), bucket_seconds))
-        .withColumn("__e", packed)
-        .groupBy(entity, BUCKET)
-        .agg(F.array_sort(F.collect_list("__e")).alias("__events"))
+    taken = accepted_moves(events, entity, order, status, right_one, initial)
+    names = [c for c in taken.columns if c != entity]
+    at = F.struct(*[F.col(c).alias(c) for c in order])
+    before = after = F.lit(initial)
+    for n in names:
+        before = F.when(F.coalesce(at > F.col(f"{n}.at"), F.lit(False)), F.col(f"{n}.to")).otherwise(before)
+        after = F.when(F.coalesce(at >= F.col(f"{n}.at"), F.lit(False)), F.col(f"{n}.to")).otherwise(after)
+    return events.join(taken, entity).select(
+        *events.columns, before.alias("state_before"), after.alias("state_after"), (before != after).alias("accepted")
     )
 
-    def move(state: Column, e: Column) -> Column:
-        return F.when(_legal(state, e["__to"], APPROVAL_MOVES) & e["__ok"], e["__to"]).otherwise(state)
-
-    every = F.array(*[F.lit(s) for s in APPROVAL_STATES])
-    tables = buckets.select(
-        entity,
-        BUCKET,
-        F.aggregate("__events", every, lambda acc, e: F.transform(acc, lambda s: move(s, e))).alias("__ends"),
-    )
-    chained = tables.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(BUCKET, "__ends"))).alias("__chain"))
-    empty = F.array().cast(f"array<struct<{BUCKET}:bigint,__start:string>>")
-    starts = chained.select(
-        entity,
-        F.inline(
-            F.aggregate(
-                "__chain",
-                F.struct(F.lit(initial).alias("s"), empty.alias("out")),
-                lambda acc, b: F.struct(
-                    F.element_at(b["__ends"], F.array_position(every, acc["s"]).cast("int")).alias("s"),
-                    F.array_append(acc["out"], F.struct(b[BUCKET].alias(BUCKET), acc["s"].alias("__start"))).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
-        ),
-    )
-    done = F.array().cast("array<struct<state_before:string,state_after:string>>")
-    replayed = buckets.join(starts, [entity, BUCKET]).select(
-        "__events",
-        F.aggregate(
-            "__events",
-            F.struct(F.col("__start").alias("s"), done.alias("out")),
-            lambda acc, e: F.struct(
-                move(acc["s"], e).alias("s"),
-                F.array_append(
-                    acc["out"], F.struct(acc["s"].alias("state_before"), move(acc["s"], e).alias("state_after"))
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ).alias("__states"),
-    )
-    rows = replayed.select(F.explode(F.arrays_zip(F.col("__events").alias("e"), F.col("__states").alias("s"))).alias("z"))
-    return rows.select("z.e.__row.*", "z.s.state_before", "z.s.state_after", (F.col("z.s.state_before") != F.col("z.s.state_after")).alias("accepted"))
-
 
 def final_states(replayed: DataFrame, entity: str, order: list[str]) -> DataFrame:
     """Last state and refusal count per entity, from partial aggregates."""
@@ -175,8 +168,8 @@ def list_transfers(
     The total is one aggregate beside a top-k, so the rows are never ranked in a single window.
     """
     rows = df if status is None else df.where(F.col("status") == status)
-    total = rows.agg(F.count(F.lit(1)).alias("total_count"))
-    return rows.orderBy(*order).offset((page - 1) * per).limit(per).crossJoin(F.broadcast(total))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.orderBy(*order).offset((page - 1) * per).limit(per).withColumn("total_count", total)
 
 
 def apply_callbacks(events: DataFrame, current: DataFrame, key: str, status: str = "payload_status", state: str = "state") -> DataFrame:
@@ -252,22 +245,24 @@ def select_approvers(requests: DataFrame, templates: DataFrame, members: DataFra
     return found.withColumn("error", F.lit(None).cast("string")).unionByName(missing)
 
 
-def tally_votes(votes: DataFrame, requests: DataFrame, required: str = "required_approvers") -> DataFrame:
+def tally_votes(
+    votes: DataFrame, requests: DataFrame, required: str = "required_approvers", bucket_seconds: int = 3600
+) -> DataFrame:
     """Outcome per request: any counted rejection rejects, enough approvals approve.
 
-    Only an approver's first vote counts, and votes after closing do not. The first rejection and the
-    n-th approval are each found without sorting a request's votes in one task: the first vote of
-    each approver is a partial aggregate, and what is ranked is one row per approver.
+    Only an approver's first vote counts, and votes after closing do not. First votes and the first
+    rejection are partial aggregates, and the n-th approval comes from a running count over time
+    buckets, so a request with very many votes is never sorted in one task.
     """
     first = votes.groupBy("request_id", "approver_id").agg(
         F.min(F.struct("voted_at", "event_id", "approved")).alias("v")
     )
     flat = first.select("request_id", "approver_id", "v.*")
-    ranked = flat.where("approved").withColumn(
-        "n", F.row_number().over(Window.partitionBy("request_id").orderBy("voted_at", "event_id"))
-    )
     need = requests.select("request_id", F.col(required).cast("bigint").alias("need"))
-    enough = ranked.join(need, "request_id").where("n = need").select(
+    yes = with_running_sum(
+        flat.where("approved"), ["request_id"], ["voted_at", "event_id"], F.lit(1).cast("bigint"), "n", time_bucket(F.col("voted_at"), bucket_seconds)
+    )
+    enough = yes.join(need, "request_id").where("n = need").select(
         "request_id", F.struct("voted_at", "event_id").alias("approved_at")
     )
     refused = flat.where("not approved").groupBy("request_id").agg(
@@ -316,7 +311,7 @@ def pending_by_approver(df: DataFrame, approvers: str = "approvers") -> DataFram
     )
 
 
-def time_in_state(events: DataFrame, entity: str, order: list[str], status: str, ts: str, bucket_seconds: int = 86400) -> DataFrame:
+def time_in_state(events: DataFrame, entity: str, order: list[str], status: str, ts: str, bucket_seconds: int = 3600) -> DataFrame:
     """Seconds each logged status lasted; null for the last one."""
     nxt = with_next(events, [entity], order, {"left_at": ts}, time_bucket(F.col(ts), bucket_seconds))
     seconds = F.unix_seconds(F.col("left_at").cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))

@@ -310,7 +310,7 @@ def hourly_limit(events: DataFrame, accounts: DataFrame, account: str, order: li
     return judged.unionByName(unknown)
 
 
-def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, ts: str, min_length: int = 1, bucket_seconds: int = 86400) -> DataFrame:
+def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, ts: str, min_length: int = 1, bucket_seconds: int = 3600) -> DataFrame:
     """Runs of consecutive failures per key: start, end, length.
 
     A run is numbered by the changes of outcome before it, which is a running sum over buckets.

@@ -49,11 +49,19 @@ def _(spark, d):
 
 @query(
     "I3_manifest",
-    f"""with {PARTS} select doc_id, cast(count(*) as bigint) as chunk_count, cast(sum(octet_length(encode(data))) as bigint) as total_size,
-          md5(string_agg(md5(data), ',' order by chunk_index)) as list_md5 from parts group by 1""",
+    f"""with {PARTS} select doc_id, cast(count(*) as bigint) as chunk_count, cast(sum(octet_length(encode(data))) as bigint) as total_size from parts group by 1""",
 )
 def _(spark, d):
-    return I.manifest(parts(spark, d), "doc_id").select("doc_id", "chunk_count", "total_size", F.md5("chunk_list").alias("list_md5"))
+    return I.manifest(parts(spark, d), "doc_id").drop("digest")
+
+
+@query(
+    "I3_manifest_pages",
+    f"""with {PARTS} select doc_id, chunk_index // 16 as page, cast(count(*) as bigint) as chunks, md5(string_agg(md5(data), ',' order by chunk_index)) as list_md5 from parts group by 1, 2""",
+)
+def _(spark, d):
+    out = I.manifest_pages(parts(spark, d), "doc_id", 16)
+    return out.select("doc_id", "page", "chunks", F.md5(F.array_join("chunk_list", ",")).alias("list_md5"))
 
 
 SEALED = f"""{PARTS}, h as (select *, sha256(data) as data_hash from parts),
@@ -74,10 +82,16 @@ def _(spark, d):
     "I5_verify_chunks",
     f"""with {PARTS}, x as (select doc_id, chunk_index, {HURT} or chunk_index % 41 = 5 as corrupt from parts)
         select doc_id, cast(count(*) as bigint) as chunks, cast(count(*) filter (where corrupt) as bigint) as corrupt_chunks,
-          coalesce(string_agg(cast(chunk_index as string), ',' order by chunk_index) filter (where corrupt), '') as corrupt_list from x group by 1""",
+          coalesce(min(chunk_index) filter (where corrupt), -1) as first_corrupt from x group by 1""",
 )
 def _(spark, d):
-    return I.corrupt_indices(I.verify_chunks(damaged(spark, d), I.envelopes(parts(spark, d), "doc_id"), "doc_id"), "doc_id")
+    return I.corrupt_summary(I.verify_chunks(damaged(spark, d), I.envelopes(parts(spark, d), "doc_id"), "doc_id"), "doc_id")
+
+
+@query("I5_corrupt_indices", f"with {PARTS} select doc_id, chunk_index from parts where {HURT} or chunk_index % 41 = 5")
+def _(spark, d):
+    checked = I.verify_chunks(damaged(spark, d), I.envelopes(parts(spark, d), "doc_id"), "doc_id")
+    return checked.where("corrupt").select("doc_id", "chunk_index")
 
 
 @query(
@@ -115,13 +129,13 @@ def _(spark, d):
 @query(
     "I9_reassemble",
     f"""with {PARTS}, w as (select doc_id, count(*) as n, string_agg(case when {HURT} and doc_id % 2 = 0 then concat(data, '!') else data end, '' order by chunk_index) as content from parts group by 1)
-        select w.doc_id, cast(w.n as bigint) as chunk_count, md5(w.content) as content_md5, md5(w.content) = md5(d.text) as hash_ok from w join documents d on d.doc_id = w.doc_id""",
+        select w.doc_id, cast(w.n as bigint) as chunk_count, md5(w.content) as content_md5, case when md5(w.content) = md5(d.text) then 'ok' else 'hash_mismatch' end as status from w join documents d on d.doc_id = w.doc_id""",
 )
 def _(spark, d):
     sent = parts(spark, d).withColumn("data", F.expr(f"case when {HURT} and doc_id % 2 = 0 then concat(data, '!') else data end"))
     twice = sent.unionByName(sent.where("chunk_index % 3 = 0"))
     files = load(spark, d, "documents").select("doc_id", F.md5("text").alias("file_md5"))
-    return I.reassemble(twice, files, "doc_id").select("doc_id", "chunk_count", F.md5("content").alias("content_md5"), "hash_ok")
+    return I.reassemble(twice, files, "doc_id").select("doc_id", "chunk_count", F.md5("content").alias("content_md5"), "status")
 
 
 @query(
@@ -138,14 +152,28 @@ def _(spark, d):
     """with s as (select session_id, max(chunk_index) as n from v_chunk_ack group by 1), a as (select distinct session_id, chunk_index - 1 as i from v_chunk_ack where ok),
        p as (select s.session_id, u.i, a.i is not null as seen from s cross join unnest(range(0, s.n)) as u(i) left join a on a.session_id = s.session_id and a.i = u.i)
        select session_id, cast(count(*) filter (where seen) as bigint) as confirmed, cast(count(*) filter (where not seen) as bigint) as pending,
-         coalesce(string_agg(cast(i as string), ',' order by i) filter (where not seen), '') as pending_list, bool_and(seen) as complete from p group by 1""",
+         bool_and(seen) as complete from p group by 1""",
 )
 def _(spark, d):
-    ack = load(spark, d, "v_chunk_ack").withColumn("chunk_index", F.col("chunk_index") - 1)
-    sessions = ack.groupBy("session_id").agg((F.max("chunk_index") + 1).alias("expected_count"))
+    ack, sessions = acks(spark, d)
     return I.session_progress(ack.where("ok"), sessions, "session_id")
 
 
+def acks(spark, d):
+    ack = load(spark, d, "v_chunk_ack").withColumn("chunk_index", F.col("chunk_index") - 1)
+    return ack, ack.groupBy("session_id").agg((F.max("chunk_index") + 1).alias("expected_count"))
+
+
+@query(
+    "I11_pending_chunks",
+    """with s as (select session_id, max(chunk_index) as n from v_chunk_ack group by 1), a as (select distinct session_id, chunk_index - 1 as i from v_chunk_ack where ok)
+       select s.session_id, cast(u.i as bigint) as chunk_index from s cross join unnest(range(0, s.n)) as u(i) left join a on a.session_id = s.session_id and a.i = u.i where a.i is null""",
+)
+def _(spark, d):
+    ack, sessions = acks(spark, d)
+    return I.missing_chunks(ack.where("ok"), sessions, "session_id")
+
+
 @query(
     "I12_expired_sessions",
     """with l as (select session_id, max(acked_at) as last_seen from v_chunk_ack group by 1)

@@ -35,7 +35,7 @@ def many_requests(spark, d):
 
 @query("L2_replay_state")
 def _(spark, d):
-    out = L.replay_state(many_requests(spark, d), "request_id", ORDER, "status", "ts", bucket_seconds=6 * 3600)
+    out = L.replay_state(many_requests(spark, d), "request_id", ORDER, "status")
     return out.select("event_id", "request_id", "status", "state_before", "state_after", "accepted")
 
 
@@ -51,7 +51,7 @@ def _(spark, d):
        select request_id, arg_max(s, n) as state, max(refused) as refused from w group by 1""".replace("LEGALSET", LEGAL),
 )
 def _(spark, d):
-    out = L.replay_state(many_requests(spark, d), "request_id", ORDER, "status", "ts", bucket_seconds=6 * 3600)
+    out = L.replay_state(many_requests(spark, d), "request_id", ORDER, "status")
     return L.final_states(out, "request_id", ORDER)
 
 

@@ -60,11 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give CPU-heavy row work enough tasks.
 
-    A table of many splits is returned as it is, so nothing is shuffled at scale.
-    Only an input with fewer splits than cores is dealt out round-robin.
+    Decided on the estimated size alone, nothing is run. An input large enough to give every core a
+    split is returned as it is, so nothing is shuffled at scale; a smaller one is dealt out
+    round-robin, which moves at most one split's worth per core.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * split else df.repartition(cores * per_core)
 
 
 def collect_rules(df: DataFrame, max_rows: int = 10_000) -> list[dict]:
