@@ -59,11 +59,13 @@ def shortest_path(
     sources × nodes rows. A source whose targets are all found stops. ``status`` is ok, no_path or
     unknown_node.
     """
-    hop = ordered_edges(edges, order)
+    hop = cut_lineage(ordered_edges(edges, order))
     known = nodes.select(F.col("node_id")).distinct()
     asked = pairs.select("source", "target").distinct()
-    valid = asked.join(known, asked["source"] == known["node_id"], "left_semi").join(
-        known, F.col("target") == known["node_id"], "left_semi"
+    valid = cut_lineage(
+        asked.join(known, asked["source"] == known["node_id"], "left_semi").join(
+            known, F.col("target") == known["node_id"], "left_semi"
+        )
     )
     none = F.array().cast("array<bigint>")
     frontier = valid.select("source").distinct().select(

@@ -19,8 +19,8 @@ walk as (
   select w.source, g.to_node, list_append(w.hops, g.to_node), w.depth + 1 from walk w join g on g.from_node = w.node
   where w.depth < {HOPS} and not list_contains(w.hops, g.to_node)),
 best as (select source, node as target, arg_min(hops, struct_pack(d := depth, h := hops)) as hops, min(depth) as depth from walk group by 1, 2),
-asked as (select cast(c_nationkey as bigint) as source, cast((c_custkey * 7) % 27 as bigint) as target from customer group by 1, 2),
-answer as (select a.source, a.target, case when a.target > 24 then 'unknown_node' when b.hops is null then 'no_path' else 'ok' end as status,
+asked as (select * from v_route),
+answer as (select a.source, a.target, case when a.target not in (select node_id from v_node) or a.source not in (select node_id from v_node) then 'unknown_node' when b.hops is null then 'no_path' else 'ok' end as status,
    cast(coalesce(b.depth, -1) as bigint) as total_hops, coalesce(b.hops, []) as hops from asked a left join best b on b.source = a.source and b.target = a.target)
 """
 
@@ -34,14 +34,15 @@ def edges(spark, d):
 
 
 def pairs(spark, d):
-    return load(spark, d, "customer").selectExpr("cast(c_nationkey as bigint) as source", "cast((c_custkey * 7) % 27 as bigint) as target").distinct()
+    return load(spark, d, "v_route")
 
 
 @query(
     "N1_validate_topology",
     """with e as (select from_node, to_node + case when from_node % 7 = 0 then 20 else 0 end as to_node from v_edge),
        n as (select node_id from v_node union all select node_id from v_node where node_id % 6 = 0)
-       select 'unknown_target' as violation, from_node, to_node, to_node as node_id from e where to_node > 24
+       select 'unknown_target' as violation, from_node, to_node, to_node as node_id from e where to_node not in (select node_id from v_node)
+       union all select 'unknown_source', from_node, to_node, from_node from e where from_node not in (select node_id from v_node)
        union all select 'duplicate_node', null, null, node_id from n group by node_id having count(*) > 1""",
 )
 def _(spark, d):
@@ -91,23 +92,23 @@ def _(spark, d):
         select source, target, cast(arg_min(hub, n * 10 + o) as bigint) as hub, cast(min(n) as bigint) as total_hops, array_to_string(arg_min(hops, n * 10 + o), '>') as hops from x group by 1, 2""",
 )
 def _(spark, d):
-    p = N.hub_path(nodes(spark, d), edges(spark, d), pairs(spark, d).where("target < 25"), [7, 3], HOPS)
+    p = N.hub_path(nodes(spark, d), edges(spark, d), pairs(spark, d), [7, 3], HOPS)
     return p.withColumn("hops", N.hops_text(F.col("hops")))
 
 
 @query(
     "N6_validate_path",
-    """with p as (select c_custkey as path_id, case c_custkey % 5 when 0 then []::bigint[] when 1 then [1, 4, 13] when 2 then [c_nationkey, (c_nationkey + 5) % 25]
-           when 3 then [1, 4, 13, 15, 21, 14] else [c_nationkey, (c_nationkey * 3 + 2) % 25] end as hops from customer),
+    """with p as (select c_custkey as path_id, case c_custkey % 5 when 0 then []::bigint[] when 1 then [source, source * 3 + 1] when 2 then [source, source + 5, source + 10]
+           when 3 then [1, 4, 13, 15, 21, 14] else [source, source + 6] end as hops from (select c_custkey, cast(c_nationkey as bigint) as source from customer) q),
        l as (select path_id, hops[i] as f, hops[i + 1] as t from p, unnest(range(1, len(hops))) as u(i)),
        b as (select distinct path_id from l where (f, t) not in (select from_node, to_node from v_edge))
        select p.path_id, case when len(hops) = 0 then 'empty' when len(hops) - 1 > 4 then 'too_long' when b.path_id is not null then 'missing_edge' else 'ok' end as verdict from p left join b on b.path_id = p.path_id""",
 )
 def _(spark, d):
-    p = load(spark, d, "customer").selectExpr(
+    p = load(spark, d, "customer").selectExpr("c_custkey", "cast(c_nationkey as bigint) as source").selectExpr(
         "c_custkey as path_id",
-        """case c_custkey % 5 when 0 then cast(array() as array<bigint>) when 1 then array(1L, 4L, 13L) when 2 then array(cast(c_nationkey as bigint), cast((c_nationkey + 5) % 25 as bigint))
-           when 3 then array(1L, 4L, 13L, 15L, 21L, 14L) else array(cast(c_nationkey as bigint), cast((c_nationkey * 3 + 2) % 25 as bigint)) end as hops""",
+        """case c_custkey % 5 when 0 then cast(array() as array<bigint>) when 1 then array(source, source * 3 + 1) when 2 then array(source, source + 5, source + 10)
+           when 3 then array(1L, 4L, 13L, 15L, 21L, 14L) else array(source, source + 6) end as hops""",
     )
     return N.validate_path(p, edges(spark, d), "path_id", HOPS)
 

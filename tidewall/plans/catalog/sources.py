@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ def _(spark, d):
     return read_table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("bigint").alias("region"))
 
 
-@query("S1_list_tables", "select * from (values ('part'), ('pages')) as t(name)")
+@query("S1_list_tables", "select 'part' as name, count(*) as n from part union all select 'pages', count(*) from pages")
 def _(spark, d):
-    names = list_tables(spark, d, "pa")
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    counts = [read_table(spark, d, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in list_tables(spark, d, "pa")]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("S2_scan_files")

@@ -160,29 +160,21 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out").select("request_id", "effect")
 
 
-@query("X9_stream_decision_files", "select cast(n_nationkey as string) as decided_file_id, case when n_nationkey % 2 = 0 then 'approved' else 'rejected' end as target_state from nation where n_nationkey % 5 <> 0")
+@query(
+    "X9_stream_decision_files",
+    "select cast(s_suppkey as string) as decided_file_id, case when s_suppkey % 2 = 0 then 'approved' else 'rejected' end as target_state from supplier where s_suppkey % 5 <> 0",
+)
 def _(spark, d):
     base = scratch(spark, "decisions")
-    # one small file per nation, named after its decision
-    names = load(spark, d, "nation").selectExpr(
-        "concat(n_nationkey, case when n_nationkey % 5 = 0 then '.note' when n_nationkey % 2 = 0 then '.approved' else '.rejected' end) as name"
+    # Spark names its files itself, so the decision is the folder that holds a file
+    names = load(spark, d, "supplier").selectExpr(
+        "concat(s_suppkey, case when s_suppkey % 5 = 0 then '.note' when s_suppkey % 2 = 0 then '.approved' else '.rejected' end) as decision", "'x' as value"
     )
-    write_files(spark, names, f"{base}/in")
-    out = run(spark, S.stream_decision_files(spark, f"{base}/in"), "decided")
+    names.write.partitionBy("decision").text(f"{base}/in")
+    out = run(spark, S.stream_decision_files(spark, f"{base}/in", name_in_path=r"decision=([^/]+)/[^/]+$"), "decided")
     return out.select("decided_file_id", "target_state")
 
 
-def write_files(spark, names: DataFrame, folder: str) -> None:
-    """One-byte files of the given names (a handful)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in names.limit(1000).collect():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(path, r["name"]))
-        out.write(1)
-        out.close()
-
-
 @query("X10_restart", "select event_type, cast(count(*) as bigint) as n from events group by 1")
 def _(spark, d):
     base = scratch(spark, "restart")

@@ -54,7 +54,7 @@ def names(spark, d):
     words = [w.strip("(' )") for w in FIELD_WORDS.split(",")]
     return (
         c.select(F.explode(F.array("c_mktsegment", F.concat(F.lower("c_mktsegment"), F.lit("_id")), F.concat(F.lower("c_mktsegment"), F.lit("_no")))).alias("field"))
-        .unionByName(c.limit(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("field")))
+        .unionByName(spark.createDataFrame([(w,) for w in words], "field string"))
         .distinct()
     )
 

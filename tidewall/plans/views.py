@@ -63,11 +63,14 @@ VIEWS = {
         union all select doc_id, 'scan-c', 3, case when doc_id % 10 = 0 then 'error' when toxic = 1 then 'infected' else 'clean' end,
           case when doc_id % 10 <> 0 and toxic = 1 then 5 else 0 end from labels""",
     "v_node": """
-        select cast(n_nationkey as bigint) as node_id, n_regionkey as tier, case when n_nationkey % 8 = 0 then 'unhealthy' else 'healthy' end as health from nation""",
+        select s_suppkey as node_id, s_nationkey % 5 as tier, case when s_suppkey % 8 = 0 then 'unhealthy' else 'healthy' end as health from supplier""",
     "v_edge": """
-        select cast(n_nationkey as bigint) as from_node, cast((n_nationkey * 3 + 1) % 25 as bigint) as to_node,
-          n_nationkey % 2 = 0 as require_encryption, n_nationkey % 5 = 0 as require_approval from nation
-        union all select cast(n_nationkey as bigint), cast((n_nationkey + 5) % 25 as bigint), false, n_nationkey % 7 = 0 from nation""",
+        select s_suppkey as from_node, (s_suppkey * 3 + 1) % (select count(*) from supplier) as to_node,
+          s_suppkey % 2 = 0 as require_encryption, s_suppkey % 5 = 0 as require_approval from supplier
+        union all select s_suppkey, (s_suppkey + 5) % (select count(*) from supplier), false, s_suppkey % 7 = 0 from supplier
+        union all select s_suppkey, (s_suppkey * 7 + 2) % (select count(*) from supplier), s_suppkey % 3 = 0, false from supplier where s_suppkey % 4 = 1""",
+    "v_route": """
+        select distinct c_custkey % (select count(*) from supplier) as source, (c_custkey * 7 + c_nationkey) % ((select count(*) from supplier) + 2) as target from customer""",
     "v_posture": """
         select c_custkey as device_id, case c_nationkey % 3 when 0 then 'windows' when 1 then 'macos' else 'linux' end as platform,
           (c_custkey % 9 <> 0) as os_supported, (c_custkey % 4 <> 0) as antivirus_enabled, c_custkey % 3 as critical_patches_missing,

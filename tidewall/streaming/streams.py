@@ -115,16 +115,24 @@ def stream_decide(requests: DataFrame, rules_path: str, out: str, checkpoint: st
     return checkpointed(requests.writeStream.foreachBatch(decide), checkpoint).start()
 
 
-def stream_decision_files(spark: SparkSession, path: str, approved: str = "{file_id}.approved", rejected: str = "{file_id}.rejected") -> DataFrame:
+def stream_decision_files(
+    spark: SparkSession,
+    path: str,
+    approved: str = "{file_id}.approved",
+    rejected: str = "{file_id}.rejected",
+    name_in_path: str = r"([^/]+)$",
+) -> DataFrame:
     """State changes from the names of files that arrive in a folder; other names are left out.
 
-    Spark reads no rows from empty files, so a decision file holds at least one byte.
+    ``name_in_path`` picks the name out of the path. Spark reads no rows from empty files, so a
+    decision file holds at least one byte.
     """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("modificationTime").alias("decided_at"))
+        .select(F.regexp_extract("path", name_in_path, 1).alias("name"), F.col("modificationTime").alias("decided_at"))
     )
     return classify_filename(files, "name", approved, rejected).where(F.col("target_state").isNotNull())
 
