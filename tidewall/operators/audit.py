@@ -136,12 +136,12 @@ def purge_by_preset(df: DataFrame, presets: DataFrame, preset: str, now: str, ts
 
 
 def check_range(params: DataFrame, start: str = "from_ts", end: str = "to_ts") -> DataFrame:
-    """Flag rows whose range is unreadable or does not start before it ends; open ends are fine."""
+    """Flag rows whose range is unreadable or starts after it ends; open ends are fine."""
     a, b = F.try_to_timestamp(F.col(start)), F.try_to_timestamp(F.col(end))
     bad = (F.col(start).isNotNull() & a.isNull()) | (F.col(end).isNotNull() & b.isNull())
     return params.withColumn(
         "range_error",
-        F.when(bad, F.lit("unreadable")).when(a >= b, F.lit("start_not_before_end")).otherwise(F.lit("")),
+        F.when(bad, F.lit("unreadable")).when(a > b, F.lit("start_after_end")).otherwise(F.lit("")),
     )
 
 
@@ -153,7 +153,7 @@ def rest_audit_query(
     One row more than the page is fetched; its presence says there is more.
     """
     rows = audit_query(df, event_type=action, actor_id=user, start=start, end=end)
-    got = rows.orderBy("ts", "event_id").offset((page - 1) * per).limit(per + 1)
+    got = rows.orderBy("ts", "event_id").offset(max(page - 1, 0) * per).limit(per + 1)
     numbered = got.withColumn("__n", F.row_number().over(Window.orderBy("ts", "event_id")))
     # at most per + 1 rows reach this single-partition window
     flagged = numbered.withColumn("has_more", F.max("__n").over(Window.partitionBy()) > per)
@@ -176,7 +176,7 @@ def list_files(
     if mime is not None:
         df = df.where(F.col("mime_type") == mime)
     first = F.desc(sort_by) if descending else F.asc(sort_by)
-    return df.orderBy(first, F.asc(tie)).offset((page - 1) * per).limit(per)
+    return df.orderBy(first, F.asc(tie)).offset(max(page - 1, 0) * per).limit(per)
 
 
 def event_hash(df: DataFrame, columns: list[str] | None = None, out: str = "event_hash") -> DataFrame:

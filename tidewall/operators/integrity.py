@@ -60,9 +60,9 @@ def manifest(chunks: DataFrame, key: str) -> DataFrame:
 def manifest_pages(chunks: DataFrame, key: str, page_size: int = CHUNKS_PER_BUCKET) -> DataFrame:
     """The chunk list of each file in pages of fixed length, so a huge file is many small rows."""
     page = F.floor(F.col("chunk_index") / page_size).cast("bigint")
-    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_md5")))
+    listed = F.array_sort(F.collect_set(F.struct("chunk_index", "chunk_md5")))
     return chunks.groupBy(key, page.alias("page")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.transform(listed, lambda c: c["chunk_md5"]).alias("chunk_list")
+        F.count_distinct("chunk_index").alias("chunks"), F.transform(listed, lambda c: c["chunk_md5"]).alias("chunk_list")
     )
 
 

@@ -169,7 +169,7 @@ def list_transfers(
     """
     rows = df if status is None else df.where(F.col("status") == status)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return rows.orderBy(*order).offset((page - 1) * per).limit(per).withColumn("total_count", total)
+    return rows.orderBy(*order).offset(max(page - 1, 0) * per).limit(per).withColumn("total_count", total)
 
 
 def apply_callbacks(events: DataFrame, current: DataFrame, key: str, status: str = "payload_status", state: str = "state") -> DataFrame:

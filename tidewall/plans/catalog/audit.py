@@ -98,7 +98,7 @@ def _(spark, d):
     "U8_check_range",
     """with p as (select event_id, case when event_id % 5 = 0 then null when event_id % 5 = 1 then 'soon' else cast(ts as string) end as f,
             cast(ts + interval 1 hour * (event_id % 3 - 1) as string) as t, ts, ts + interval 1 hour * (event_id % 3 - 1) as e from events)
-       select event_id, case when event_id % 5 = 1 then 'unreadable' when event_id % 5 <> 0 and ts >= e then 'start_not_before_end' else '' end as range_error from p""",
+       select event_id, case when event_id % 5 = 1 then 'unreadable' when event_id % 5 <> 0 and ts > e then 'start_after_end' else '' end as range_error from p""",
 )
 def _(spark, d):
     p = load(spark, d, "events").selectExpr(
