@@ -15,7 +15,6 @@ from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.functions.text import (
     after_window,
     before_window,
-    gap_lengths,
     hit_offsets,
     mask_value,
     overwrite_segments,
@@ -80,7 +79,7 @@ def with_matches(
                     F.lit(types.get(r.name, r.name)).alias("pii_type"),
                     F.lit(r.mask_char).alias("mask_char"),
                     F.col(f"__hits{i}").alias("hits"),
-                    gap_lengths(col, r.pattern).alias("gaps"),
+                    F.split(col, r.pattern, -1).alias("parts"),
                 ),
             )
             for i, r in enumerate(rules)
@@ -92,21 +91,29 @@ def with_matches(
 
 
 def _rule_matches(rule: Column) -> Column:
-    return F.zip_with(
-        rule["hits"],
-        hit_offsets(rule["hits"], rule["gaps"]),
-        lambda hit, offset: F.struct(
-            offset.alias("offset"),
-            rule["rule_ord"].alias("rule_ord"),
-            rule["rule"].alias("rule"),
-            rule["action"].alias("action"),
-            rule["pii_type"].alias("pii_type"),
-            hit.alias("matched_text"),
-            mask_value(hit, rule["mask_char"]).alias("masked_text"),
-            F.length(hit).alias("length"),
-        ),
+    """Match structs of one rule. The one-element array binds the gap lengths, so they are computed once."""
+    bound = F.array(
+        F.struct(rule["hits"].alias("hits"), F.transform(rule["parts"], lambda p: F.length(p)).alias("gaps"))
     )
 
+    def build(b: Column) -> Column:
+        return F.zip_with(
+            b["hits"],
+            hit_offsets(b["hits"], b["gaps"]),
+            lambda hit, offset: F.struct(
+                offset.alias("offset"),
+                rule["rule_ord"].alias("rule_ord"),
+                rule["rule"].alias("rule"),
+                rule["action"].alias("action"),
+                rule["pii_type"].alias("pii_type"),
+                hit.alias("matched_text"),
+                mask_value(hit, rule["mask_char"]).alias("masked_text"),
+                F.length(hit).alias("length"),
+            ),
+        )
+
+    return F.flatten(F.transform(bound, build))
+
 
 def explode_matches(df: DataFrame, keys: list[str], matches: str = "matches") -> DataFrame:
     """One row per match, keyed by the given columns."""

@@ -21,7 +21,7 @@ def _ms(t) -> int:
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in event order."""
+    """A key's rows of one micro-batch in event order; the source's rate limit bounds them."""
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
@@ -38,8 +38,9 @@ class ApprovalMachine(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         known = self.state.get() if self.state.exists() else None
         out = []
-        for _, r in _in_order(rows, [self.ts, self.status]).iterrows():
-            t = _ms(r[self.ts])
+        batch = _in_order(rows, [self.ts, self.status])
+        for at, target in zip(batch[self.ts], batch[self.status]):
+            t = _ms(at)
             if known is None:
                 known = ("pending_approval", t + self.expiry_ms)
                 self.handle.registerTimer(known[1])
@@ -48,10 +49,9 @@ class ApprovalMachine(StatefulProcessor):
                 known = ("expired", expires)
                 out.append((key[0], before, "expired", True, pd.Timestamp(expires, unit="ms")))
                 before = "expired"
-            target = r[self.status]
             legal = (before, target) in MOVES
             known = (target if legal else before, expires)
-            out.append((key[0], before, known[0], legal, r[self.ts]))
+            out.append((key[0], before, known[0], legal, at))
         if known is not None:
             self.state.update(known)
         yield pd.DataFrame(out, columns=["request_id", "state_before", "state_after", "accepted", "at"])
@@ -95,13 +95,14 @@ class LimiterMachine(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         recent = json.loads(self.recent.get()[0]) if self.recent.exists() else []
         out = []
-        for _, r in _in_order(rows, [self.ts, self.id_col]).iterrows():
-            t = _ms(r[self.ts])
+        batch = _in_order(rows, [self.ts, self.id_col])
+        for at, request in zip(batch[self.ts], batch[self.id_col]):
+            t = _ms(at)
             recent = [x for x in recent if x > t - self.window_ms]
             ok = len(recent) < self.limit
             if ok:
                 recent.append(t)
-            out.append((r[self.id_col], key[0], ok, self.limit - len(recent)))
+            out.append((request, key[0], ok, self.limit - len(recent)))
         self.recent.update((json.dumps(recent),))
         yield pd.DataFrame(out, columns=["request_id", "client", "allowed", "remaining"])
 
