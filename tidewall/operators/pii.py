@@ -7,6 +7,8 @@ form, one row per match.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ MATCH_TYPE = (
 )
 
 
+_FACTS = "array<struct<rule:string,action:string,pii_type:string,mask_char:string>>"
+
+
 def with_matches(
     df: DataFrame,
     text: str,
@@ -74,10 +79,6 @@ def with_matches(
                 F.size(f"__hits{i}") > 0,
                 F.struct(
                     F.lit(i).alias("rule_ord"),
-                    F.lit(r.name).alias("rule"),
-                    F.lit(r.action).alias("action"),
-                    F.lit(types.get(r.name, r.name)).alias("pii_type"),
-                    F.lit(r.mask_char).alias("mask_char"),
                     F.col(f"__hits{i}").alias("hits"),
                     F.split(col, r.pattern, -1).alias("parts"),
                 ),
@@ -86,14 +87,23 @@ def with_matches(
         ]
     )
     step = df.withColumns(hits).select(*keep, F.array_compact(per_rule).alias("__rules"))
-    merged = F.flatten(F.transform("__rules", _rule_matches))
+    facts = [
+        {"rule": r.name, "action": r.action, "pii_type": types.get(r.name, r.name), "mask_char": r.mask_char} for r in rules
+    ]
+    # a literal table of the rules' properties, folded to a constant when the query is planned
+    table = F.from_json(F.lit(json.dumps(facts)), _FACTS)
+    merged = F.flatten(F.transform("__rules", lambda r: _rule_matches(r, table)))
     return step.select(*keep, computed_once(F.array_sort(merged).cast(MATCH_TYPE)).alias(out))
 
 
-def _rule_matches(rule: Column) -> Column:
-    """Match structs of one rule. The one-element array binds the gap lengths, so they are computed once."""
+def _rule_matches(rule: Column, table: Column) -> Column:
+    """Match structs of one rule. The one-element array binds what each hit needs, computed once."""
     bound = F.array(
-        F.struct(rule["hits"].alias("hits"), F.transform(rule["parts"], lambda p: F.length(p)).alias("gaps"))
+        F.struct(
+            rule["hits"].alias("hits"),
+            F.transform(rule["parts"], lambda p: F.length(p)).alias("gaps"),
+            F.get(table, rule["rule_ord"]).alias("facts"),
+        )
     )
 
     def build(b: Column) -> Column:
@@ -103,11 +113,11 @@ def _rule_matches(rule: Column) -> Column:
             lambda hit, offset: F.struct(
                 offset.alias("offset"),
                 rule["rule_ord"].alias("rule_ord"),
-                rule["rule"].alias("rule"),
-                rule["action"].alias("action"),
-                rule["pii_type"].alias("pii_type"),
+                b["facts"]["rule"].alias("rule"),
+                b["facts"]["action"].alias("action"),
+                b["facts"]["pii_type"].alias("pii_type"),
                 hit.alias("matched_text"),
-                mask_value(hit, rule["mask_char"]).alias("masked_text"),
+                mask_value(hit, b["facts"]["mask_char"]).alias("masked_text"),
                 F.length(hit).alias("length"),
             ),
         )
