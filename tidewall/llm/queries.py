@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import quality, shards
+from tidewall.llm import packing, quality, records, shards
 from tidewall.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,17 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "first_byte",
     )
+
+
+@query("op7_length_delimited")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written as a record and read back from the files."""
+    folder = records.new_folder(spark, "records")
+    index = records.write_records(read_table(spark, d, "documents"), folder)
+    return records.read_records(index, folder)
+
+
+@query("op9_configuration_lp")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces and their places in as few sequences of 2,048 ids as the program finds."""
+    return packing.pack(packing.token_pieces(read_table(spark, d, "documents")))
