@@ -1,10 +1,73 @@
-"""From raw documents to packed training sequences: five stages over the documents table."""
+"""From raw documents to packed training sequences: five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewall.llm import bagminhash, packing, quality, substrings, surrogates
+from tidewall.session import checkpoint_dir
+from tidewall.sources.tables import read_table
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """The columns of ``docs`` in their order, with another text and its length."""
+    new = docs.withColumn("text", text)
+    return new.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else new
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the line-first rules reject, and failed lines of those that stay."""
+    kept = quality.clean_lines(docs).where("kept")
+    return _with_text(kept, F.col("clean_text")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return bagminhash.keep_first(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 20 words and more that occur earlier in the corpus."""
+    cut = substrings.remove_repeats(docs)
+    return _with_text(cut, F.col("text")).select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates."""
+    new = surrogates.pseudonymise(docs)
+    return _with_text(new, F.col("text")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 2,048 ids."""
+    return packing.pack(packing.token_pieces(docs))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("pii", pii),
+    ("packing", pack),
+]
+
+# Signatures, keyed permutations and the tokenizer are outside SQL; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

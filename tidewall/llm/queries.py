@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import packing, quality, records, shards
+from tidewall.llm import bagminhash, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
 from tidewall.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,42 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 def op9(spark: SparkSession, d: str) -> DataFrame:
     """Every document's pieces and their places in as few sequences of 2,048 ids as the program finds."""
     return packing.pack(packing.token_pieces(read_table(spark, d, "documents")))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return surrogates.pseudonymise(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op2_nbest_pieces")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """The four best segmentations of every whole text."""
+    return nbest.n_best(read_table(spark, d, "documents"), 4, with_ids=False)
+
+
+@query("op3_suffix_automata")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document that lie in a passage of 20 words that starts earlier."""
+    found = substrings.repeated_spans(read_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_prefix_forest")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    rows = read_table(spark, d, "embeddings")
+    return forest.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query("op5_bagminhash")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return bagminhash.classes(read_table(spark, d, "documents"))
+
+
+@query("op6_language_fusion")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every page; the text model is fitted on labelled documents."""
+    model = language.fit_text_model(read_table(spark, d, "documents"))
+    return language.identify(read_table(spark, d, "pages"), model)

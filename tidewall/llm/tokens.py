@@ -15,8 +15,8 @@ import numpy as np
 
 from tidewall.llm import arrays as A
 
-CHUNK = 4_000_000  # bytes encoded at once
-KNOWN_PIECES = 1_500_000  # pieces remembered by a worker
+CHUNK = 2_000_000  # bytes encoded at once
+KNOWN_PIECES = 1_000_000  # pieces remembered by a worker
 LETTER, MARK, SPACE, OTHER = 1, 2, 0, 3
 KIND = np.full(256, OTHER, np.uint8)
 KIND[[9, 10, 13, 32]] = SPACE
