@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewall.llm import arrays as A
+from tidewall.llm.store import settled, written
 from tidewall.session import cut_lineage
 
 LENGTH = 20
@@ -275,10 +276,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     low = F.lit(-(2**63))
     named = df.select(F.coalesce(F.col(key).cast("long"), low.cast("long")).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    counted = named.mapInArrow(_finder(length, gram, False), "h long").groupBy("h").agg(F.count("*").alias("_n"))
-    twice = cut_lineage(counted.where("_n > 1").select("h"))
-    spots = named.mapInArrow(_finder(length, gram, True), "h long, c long, doc long, place long")
-    spots = cut_lineage(spots.join(twice, "h"))
+    once = named.mapInArrow(_finder(length, gram, False), "h long")
+    twice = settled(once.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"))
+    every = named.mapInArrow(_finder(length, gram, True), "h long, c long, doc long, place long")
+    spots = settled(every.join(twice, "h"))
 
     around = cut_lineage(spots.groupBy("h", "c").agg(F.min(F.struct("doc", "place")).alias("_own")))
     info = around.groupBy("h").agg(F.count("*").alias("_forms"), F.min("_own").alias("_first"))
@@ -291,10 +292,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     load = cut_lineage(load)
     sent = reference.select("doc", "place", shard.alias("shard")).where(F.col("shard").isNotNull()).withColumn("role", F.lit(REFERENCE))
     sent = sent.unionByName(streams.withColumn("role", F.lit(STREAM))).join(load, "shard", "left")
-    targets = cut_lineage(sent.groupBy("doc").agg(F.collect_list(F.struct("place", "shard", "salts", "role")).alias("_targets")))
+    targets = settled(sent.groupBy("doc").agg(F.collect_list(F.struct("place", "shard", "salts", "role")).alias("_targets")))
 
-    rows = named.withColumnRenamed("_doc", "doc").join(targets, "doc", "left").select("doc", "_text", "_targets")
-    parts = cut_lineage(rows.mapInArrow(_cutter(length, gram), PARTS))
+    texts = named.withColumnRenamed("_doc", "doc")
+    parts = written(texts.join(targets, "doc", "left").select("doc", "_text", "_targets").mapInArrow(_cutter(length, gram), PARTS), "parts")
     runs = parts.where(F.col("kind").isin(REFERENCE, STREAM))
     salt = F.explode(F.when(F.col("kind") == REFERENCE, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "place"), F.col("salts")).cast("int"))))
     dealt = runs.select("shard", salt.alias("_salt"), "kind", "doc", "place", "text").repartition("shard", "_salt")
@@ -303,7 +304,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     windows = parts.where(F.col("kind") == WINDOW).select(F.col("shard").alias("w"), F.col("n_words").alias("w2"), "doc", "place")
     firsts = windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "place")).alias("_own")).select("_own.doc", "_own.place")
     later = windows.join(firsts, ["doc", "place"], "left_anti").select("doc", F.col("place").alias("lo"), (F.col("place") + length).alias("hi"))
-    spans = found.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    spans = settled(found.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")))
     open_ = parts.where(F.col("kind") == OPEN).join(spans, "doc", "left").select("doc", "place", "text", "_spans")
     removed = "array<struct<start:bigint,end:bigint>>"
     finished = open_.mapInArrow(_finisher, f"doc long, place long, n_words long, n_removed long, kept_sha256 string, removed {removed}")
