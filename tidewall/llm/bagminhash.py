@@ -8,8 +8,8 @@ their weighted Jaccard similarity. Points are drawn in the order of time, and on
 
 Texts are banded by their signatures. In every bucket the smallest text is compared with the others, by the overlap of
 their multisets; texts that are linked already are not compared again, and what is still apart is compared with the next
-smallest text, until no bucket holds two texts that were not compared or linked. Nothing is capped, and no bucket
-is gathered.
+smallest texts, until no bucket holds two texts that were neither compared nor linked. No bucket is cut short, and
+none is gathered.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewall.llm import arrays as A
 from tidewall.llm.components import components
-from tidewall.session import cut_lineage
+from tidewall.llm.store import kept, written
 
 U = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 HOT = 256  # comparisons with one text that share a task
+MOST_HEADS = 16  # texts of a bucket that the others are compared with in one round
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -164,11 +166,11 @@ def _comparer(size: int, similarity: float):
 
 def _compared(pairs: DataFrame, store: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (pivot, node) whose texts are similar. A pivot of many pairs is sent to several tasks, one per ``HOT`` pairs."""
-    hot = cut_lineage(pairs.groupBy("pivot").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT))
+    hot = kept(pairs.groupBy("pivot").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT))
     salted = pairs.join(hot, "pivot", "left").select(
         "pivot", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / HOT)), F.lit(0)).cast("int").alias("_salt")
     )
-    salted = cut_lineage(salted)
+    salted = kept(salted)
     members = salted.join(store, "node").select("pivot", "_salt", "node", "_text")
     heads = salted.select("pivot", "_salt").distinct().join(store.withColumnRenamed("node", "pivot"), "pivot")
     heads = heads.select("pivot", "_salt", F.col("pivot").alias("node"), "_text")
@@ -190,38 +192,44 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     hashed = named.withColumn("_md5", F.md5("_text"))
     signed = hashed.mapInArrow(_signer(bands, rows, size), "_md5 string, _doc long, _bands array<long>")
     one = signed.groupBy("_md5").agg(F.min("_doc").alias("_doc"), F.first("_bands").alias("_bands"))
-    texts = cut_lineage(cut_lineage(one).withColumn("node", F.monotonically_increasing_id()))
+    texts = kept(kept(one).withColumn("node", F.monotonically_increasing_id()))  # numbered once, then read as they are
 
     every = texts.select("node", F.explode("_bands").alias("_bucket"))
-    shared = cut_lineage(every.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket"))
-    buckets = cut_lineage(every.join(shared, "_bucket"))
+    shared = kept(every.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket"))
+    buckets = kept(every.join(shared, "_bucket"))
     wanted = buckets.select("node").distinct().join(texts.select("node", "_md5", "_doc"), "node")
     have = hashed.select(F.col("_md5"), F.col("_doc"), "_text")
     same = (have["_md5"] == wanted["_md5"]) & have["_doc"].eqNullSafe(wanted["_doc"])
-    store = have.join(wanted.select("_md5", "_doc", "node"), same).select("node", "_text").dropDuplicates(["node"])
-    store = cut_lineage(store)
+    store = written(have.join(wanted.select("_md5", "_doc", "node"), same).select("node", "_text").dropDuplicates(["node"]), "texts")
 
     tested = links = roots = None
+    heads_each = 1
     while not buckets.isEmpty():
         seen = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        seen = cut_lineage(seen)
-        apart = seen.groupBy("_bucket").agg(F.min(F.struct("node", "root")).alias("_p"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-        apart = cut_lineage(apart.where("_lo != _hi").select("_bucket", F.col("_p.node").alias("pivot"), F.col("_p.root").alias("_proot")))
-        rest = cut_lineage(seen.join(apart, "_bucket").where("node != pivot"))
-        pairs = rest.where("root != _proot").select("pivot", "node").distinct()
+        seen = kept(seen)
+        apart = seen.groupBy("_bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
+        open_ = kept(seen.join(kept(apart.select("_bucket")), "_bucket"))
+        # the smallest texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
+        order = W.partitionBy("_bucket").orderBy("node")
+        heads = open_.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= heads_each)
+        heads = kept(heads.select("_bucket", F.col("node").alias("pivot"), F.col("root").alias("_proot")))
+        pairs = open_.join(heads, "_bucket").where("node > pivot and root != _proot").select("pivot", "node").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "node"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = pairs if tested is None else cut_lineage(tested.unionByName(pairs))
-        found = _compared(pairs, store, size, similarity)
-        links = cut_lineage(found if links is None else links.unionByName(found))
-        roots = cut_lineage(components(links))
-        buckets = rest.select("_bucket", "node")
+        pairs = kept(pairs)
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else kept(tested.unionByName(pairs))
+            found = _compared(pairs, store, size, similarity)
+            links = kept(found if links is None else links.unionByName(found))
+            roots = kept(components(links))
+        used = heads.select("_bucket", F.col("pivot").alias("node"))
+        buckets = kept(open_.select("_bucket", "node").join(used, ["_bucket", "node"], "left_anti"))
+        heads_each = min(2 * heads_each, MOST_HEADS)
     if links is None:
         links = df.sparkSession.createDataFrame([], "a long, b long, similarity double")
         roots = df.sparkSession.createDataFrame([], "node long, root long")
     rooted = texts.join(roots, "node", "left").select("_md5", "_doc", F.coalesce("root", "node").alias("root"))
-    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("_doc").alias("class_id")))
+    smallest = kept(rooted.groupBy("root").agg(F.min("_doc").alias("class_id")))
     return rooted.join(smallest, "root").select("_md5", "_doc", "class_id", "root"), links
 
 
@@ -229,7 +237,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Da
     """key and class_id of every row of ``df``; other columns are left out. See ``near_duplicates``."""
     texts, _ = near_duplicates(df, key, text, **how)
     rows = df.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5"))
-    return rows.join(cut_lineage(texts).select("_md5", "class_id"), "_md5").select(key, "class_id")
+    return rows.join(kept(texts).select("_md5", "class_id"), "_md5").select(key, "class_id")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -241,7 +249,7 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     heads = texts.where(F.col("_doc").eqNullSafe(F.col("class_id")))
     # two texts of one class may share their smallest key, if keys repeat: one of them stays
     heads = heads.groupBy("root").agg(F.min(F.struct(F.col("_md5").alias("m"), F.col("class_id").alias("k"))).alias("_h"))
-    heads = cut_lineage(heads.select(F.col("_h.m").alias("_head_md5"), F.col("_h.k").alias("_head")))
+    heads = kept(heads.select(F.col("_h.m").alias("_head_md5"), F.col("_h.k").alias("_head")))
     named = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("long").alias("_doc"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5"))
-    kept = named.join(heads, (F.col("_md5") == F.col("_head_md5")) & F.col("_doc").eqNullSafe(F.col("_head")))
-    return kept.dropDuplicates(["_md5", "_doc"]).select("_row.*")
+    first = named.join(heads, (F.col("_md5") == F.col("_head_md5")) & F.col("_doc").eqNullSafe(F.col("_head")))
+    return first.dropDuplicates(["_md5", "_doc"]).select("_row.*")

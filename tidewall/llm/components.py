@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.session import cut_lineage
+from tidewall.llm.store import kept
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,16 +16,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links with a null and loops are ignored. No links give no rows.
     """
     link = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut_lineage(link.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = kept(link.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         wide = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        wide = cut_lineage(wide)
-        low = cut_lineage(wide.groupBy("u").agg(F.min("v").alias("m")))
+        wide = kept(wide)
+        low = kept(wide.groupBy("u").agg(F.min("v").alias("m")))
         near = wide.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = kept(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _state(e)
         if now == state:
             break

@@ -33,6 +33,17 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, kind: str = "step") -> DataFrame:
+    """Small rows of a loop as a table in the shared folder, read again.
+
+    A checkpoint hands on the constraints that the optimiser inferred for its rows; over the rounds of a loop they multiply
+    until the driver has no memory left. A table that is read again knows of none.
+    """
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Rows with texts as a compressed table in the shared folder, read again; what led to them is released."""
     spark, schema = df.sparkSession, df.schema
