@@ -167,6 +167,7 @@ def _cutter(length: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            frequent: list[tuple] = []  # texts with hot anchors: document, tag, text, places of the anchors
             docs, texts, lists = (batch.column(c).to_pylist() for c in ("doc", "_text", "_targets"))
             for doc, text, targets in zip(docs, texts, lists, strict=True):
                 raw = text.encode()
@@ -189,27 +190,54 @@ def _cutter(length: int, gram: int):
                     for lo, hi in _runs(np.unique(places), length - gram, length, len(words)):
                         out.append((role, shard, salts, doc, (tag << PLACE) | lo, hi - lo, b" ".join(words[lo:hi]).decode(), None))
                 if hot:
-                    data, offsets = A.text_buffers(pa.array([text], pa.string()))
-                    hashes = A.word_hashes(data, *A.words(data, offsets)[:2])
-                    windows = A.window_hashes(hashes, length)
-                    second = A.window_hashes(A.mix(hashes + A.BASE), length)
-                    grams = A.window_hashes(hashes, gram)
-                    least = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).argmin(axis=1) + np.arange(len(windows))
-                    for s in np.flatnonzero(np.isin(least, hot)).tolist():
-                        out.append((WINDOW, int(windows.view(np.int64)[s]), 0, doc, (tag << PLACE) | s, int(second.view(np.int64)[s]), None, None))
+                    frequent.append((doc, tag, text, hot))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
+            if frequent:
+                yield from _windows(frequent, length, gram)
 
     return cut
 
 
+TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+NAMES = ["kind", "shard", "salts", "doc", "place", "n_words", "text", "sha"]
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ("kind", "shard", "salts", "doc", "place", "n_words", "text", "sha")
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
+
+
+def _windows(frequent: list[tuple], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The windows of hot anchors, with two hashes each (in the columns shard and n_words)."""
+    every, offsets = A.text_buffers(pa.array([f[2] for f in frequent], pa.string()))
+    for a, b in A.chunks(offsets, 1_000_000):
+        data = every[offsets[a] : offsets[b]]
+        starts, ends, first = A.words(data, offsets[a : b + 1] - offsets[a])
+        hashes = A.word_hashes(data, starts, ends)
+        windows = A.window_hashes(hashes, length).view(np.int64)
+        second = A.window_hashes(A.mix(hashes + A.BASE), length).view(np.int64)
+        grams = A.window_hashes(hashes, gram)
+        at, doc, place = [], [], []
+        for i, (own, tag, _, hot) in enumerate(frequent[a:b]):
+            lo, hi = int(first[i]), int(first[i + 1])
+            g = grams[lo : hi - gram + 1]
+            least = np.lib.stride_tricks.sliding_window_view(g, length - gram + 1).argmin(axis=1) + np.arange(hi - lo - length + 1)
+            is_hot = np.zeros(hi - lo, bool)
+            is_hot[hot] = True
+            mine = np.flatnonzero(is_hot[least])
+            at.append(mine + lo)
+            doc.append(np.full(len(mine), own, np.int64))
+            place.append(mine + (tag << PLACE))
+        at = np.concatenate(at)
+        n = len(at)
+        cols = [
+            pa.array(np.full(n, WINDOW, np.int32)), pa.array(windows[at]), pa.array(np.zeros(n, np.int32)), pa.array(np.concatenate(doc)),
+            pa.array(np.concatenate(place)), pa.array(second[at]), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, names=NAMES)
 
 
 def _streamer(length: int):
