@@ -31,7 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 HOT = 256  # comparisons with one text that share a task
-MOST_HEADS = 16  # texts of a bucket that the others are compared with in one round
+MOST_HEADS = 64  # texts of a bucket that the others are compared with in one round
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -206,7 +206,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     heads_each = 1
     while not buckets.isEmpty():
         seen = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        seen = kept(seen)
         apart = seen.groupBy("_bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
         open_ = kept(seen.join(kept(apart.select("_bucket")), "_bucket"))
         # the smallest texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
@@ -219,12 +218,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         pairs = kept(pairs)
         if not pairs.isEmpty():
             tested = pairs if tested is None else kept(tested.unionByName(pairs))
-            found = _compared(pairs, store, size, similarity)
-            links = kept(found if links is None else links.unionByName(found))
-            roots = kept(components(links))
+            found = kept(_compared(pairs, store, size, similarity))
+            if not found.isEmpty():
+                links = found if links is None else kept(links.unionByName(found))
+                roots = kept(components(links))
         used = heads.select("_bucket", F.col("pivot").alias("node"))
         buckets = kept(open_.select("_bucket", "node").join(used, ["_bucket", "node"], "left_anti"))
-        heads_each = min(2 * heads_each, MOST_HEADS)
+        heads_each = min(8 * heads_each, MOST_HEADS)
     if links is None:
         links = df.sparkSession.createDataFrame([], "a long, b long, similarity double")
         roots = df.sparkSession.createDataFrame([], "node long, root long")
