@@ -46,7 +46,24 @@ def test_document_tokens(spark):
     assert got == {
         (1, "javascript"): raw.index(b"/JS"), (1, "open_action"): raw.index(b"/OpenAction"), (1, "additional_actions"): raw.index(b"/AA"),
         (1, "uri_action"): raw.index(b"/URI (https"), (1, "submit_form"): raw.index(b"/S /Submit"),
+        (2, "not_scanned"): -1, (3, "not_scanned"): -1,
     }
+    why = {r.id: r.found for r in H.scan_tokens(df, "id", max_bytes=20).collect() if r.token == "not_scanned"}
+    assert why == {1: "too_large", 2: "no_header", 3: "no_content"}
+
+
+def test_markup_probes(spark):
+    assert found(spark, '<a title=">" onclick="evil()">x</a>') == [("a", "onclick", "event_handler")]
+    assert found(spark, "<img onerror=alert(1)>") == [("img", "onerror", "event_handler")]
+    assert found(spark, "<a href='java&#115;cript:x'>") == [("a", "href", "javascript_href")]
+    assert found(spark, "<a href='java&#x73;cript&colon;x'>") == [("a", "href", "javascript_href")]
+    assert found(spark, "<img alt=it's onerror=alert(1)>") == [("img", "onerror", "event_handler")]
+    nested = "a<script><script>a</script>evil()</script>b"
+    assert found(spark, nested) == [("script", "", "script_element")]
+    assert H.sanitize_markup(pages(spark, nested), "html").first().clean_html == "ab"
+    long = "<p title='" + "x>" * 20000 + "' onload=y()>t</p>"
+    assert found(spark, long) == [("p", "onload", "event_handler")]
+    assert H.sanitize_markup(pages(spark, long), "html").first().clean_html == long.replace("onload=y()", "")
 
 
 def verdict(spark, rows, mode, fail_open=False):

@@ -174,10 +174,29 @@ def test_csv_text(spark):
     doc = 'a,b,c\r\n1,"x, ""y""",3\r\n\r\n,,\r\n4\r\n5,6,7,8\r\n'
     df = spark.createDataFrame([(1, doc), (2, None)], "id int, t string")
     cells = [(r.row_index, r.column_name, r.value) for r in X.read_csv_text(df, "id", "t").orderBy("row_index", "col_index").collect()]
-    assert cells == [(0, "a", "1"), (0, "b", 'x, "y"'), (0, "c", "3"), (1, "a", "4"), (2, "a", "5"), (2, "b", "6"), (2, "c", "7"), (2, "column_3", "8")]
+    assert cells == [(0, "a", "1"), (0, "b", 'x, "y"'), (0, "c", "3"), (2, "a", "4"), (3, "a", "5"), (3, "b", "6"), (3, "c", "7"), (3, "column_3", "8")]
     assert X.read_csv_text(df, "id", "t", X.CsvOptions(max_rows=1)).select("row_index").distinct().count() == 1
 
 
 def test_xml_depth(spark):
     df = spark.createDataFrame([("<a><b><c/></b></a>",), ("<a/>",)], "t string")
     assert [r[0] for r in df.select(X.xml_depth(F.col("t"))).collect()] == [2, 0]
+
+
+def test_hard_csv(spark):
+    long = "q" * 20_000
+    doc = f'id,note\r\n1,"{long}\nsecond ""line"""\n,\n\n2,plain "x"\r3,"a,b",extra\n4'
+    df = spark.createDataFrame([(1, doc), (2, None), (3, "")], "id int, t string")
+    got = {(r.row_index, r.column_name): r.value for r in X.read_csv_text(df, "id", "t").collect()}
+    assert got == {
+        (0, "id"): "1", (0, "note"): f'{long}\nsecond "line"', (2, "id"): "2", (2, "note"): 'plain "x"',
+        (3, "id"): "3", (3, "note"): "a,b", (3, "column_2"): "extra", (4, "id"): "4",
+    }
+    assert {r.row_index for r in X.read_csv_text(df, "id", "t", X.CsvOptions(max_rows=2)).collect()} == {0}
+
+
+def test_a_huge_declared_count_is_dealt_out(spark):
+    expected = spark.createDataFrame([(1, 3000), (2, 0), (3, 1)], "id int, expected_count bigint")
+    have = spark.createDataFrame([(1, i) for i in range(0, 3000, 2)], "id int, chunk_index bigint")
+    got = {(r.id, r.chunk_index) for r in I.missing_chunks(have, expected, "id", "expected_count").collect()}
+    assert got == {(1, i) for i in range(1, 3000, 2)} | {(3, 0)}

@@ -124,3 +124,34 @@ def test_replay_equals_plain_fold(spark):
         cur[k] = to if ok else s
         assert got[i] == (s, cur[k], ok)
     assert [r.state for r in L.final_states(out, "k", ["ts", "id"]).orderBy("k").collect()] == [cur[k] for k in sorted(cur)]
+
+
+def test_null_keys_are_a_key_of_their_own(spark):
+    rows, df = events(spark)
+    df = df.withColumn("k", F.when(F.col("k") != 0, F.col("k")))  # the hottest key is null
+    bucket = time_bucket(F.col("ts"), 900)
+    prev = {r.id: r.p for r in with_previous(df, ["k"], ["ts", "id"], {"p": "id"}, bucket).collect()}
+    run = {r.id: r.s for r in with_running_sum(df, ["k"], ["ts", "id"], F.col("ok").cast("int"), "s", bucket).collect()}
+    for rs in by_key(rows).values():
+        total = 0
+        for i, r in enumerate(rs):
+            total += r[3]
+            assert prev[r[0]] == (rs[i - 1][0] if i else None)
+            assert run[r[0]] == total
+    from tidewall.operators.audit import sessions
+
+    six = spark.createDataFrame([(None, i, START + dt.timedelta(hours=12 * i)) for i in range(6)], "a int, id int, ts timestamp")
+    assert sessions(six, "a", ["ts", "id"], "ts", 3600).count() == 6
+    log = spark.createDataFrame([(None, 1, START, "approved"), (None, 2, START, "completed"), (7, 3, START, "approved")], "r int, id int, ts timestamp, status string")
+    got = {r.id: (r.state_after, r.accepted) for r in L.replay_state(log, "r", ["ts", "id"], "status").collect()}
+    assert got == {1: ("approved", True), 2: ("approved", False), 3: ("approved", True)}
+
+
+def test_a_limit_of_zero_denies(spark):
+    rows = [(i, 1, START + dt.timedelta(seconds=i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, k int, ts timestamp")
+    got = N.rate_limit(df, "k", ["ts", "id"], "ts", 0, 60).collect()
+    assert [r.allowed for r in got] == [False] * 3
+    assert {r.remaining for r in got} == {0}
+    accounts = spark.createDataFrame([(1, 0)], "k int, hourly_limit int")
+    assert all(r.allowed for r in N.hourly_limit(df, accounts, "k", ["ts", "id"], "ts").collect())

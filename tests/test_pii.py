@@ -90,10 +90,51 @@ def test_gate_never_hides_a_hit():
         for s in samples:
             if re.search(ascii_classes(r.pattern), s):
                 assert pc.match_substring_regex(pa.array([s]), gate).to_pylist() == [True]
-    for odd in (r"a$", r"\Bx", r"(?=x)", r"\p{L}", r"a++", r"[\w]"):
+    for odd in (r"a$", r"a\\$", r"\Bx", r"(?=x)", r"\p{L}", r"a++", r"[a[bc]]x", r"[a&&b]", r"[]a]", r"(?i)[^k]", r"a\b{3}b", "[a"):
         assert gate_pattern(odd) is None
 
 
+def test_gate_passes_whatever_the_exact_scan_finds(spark):
+    import random
+
+    rng = random.Random(12)
+    atoms = [r"\\", r"\b", r"\d", r"\s", r"\w", "a", "b", "d", "9", "[ab]", "[^a]", "[a[bc]]", r"[\d-]", ".", r"\$", "$", "^", "(?:ab)", "(a|d)", r"\.", "k"]
+    tails = ["", "", "", "*", "+", "?", "{2}", "{1,2}", "+?", "++"]
+    patterns = []
+    while len(patterns) < 520:
+        p = rng.choice(["", "", "(?i)"]) + "".join(rng.choice(atoms) + rng.choice(tails) for _ in range(rng.randint(1, 4)))
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(p)
+        except Exception:  # not a pattern
+            continue
+        patterns.append(p)
+    patterns += [r"\\bd", r"[a[bc]]x", r"a\\$"]
+    texts = ["".join(rng.choice("ab9d .$\\-kKxcAéK\x0b\n") for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["\\bd", "cx", "a\\"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    gates = [gate_pattern(p) for p in patterns]
+    assert sum(g is not None for g in gates) > 150
+    exact = df.select("text", *(F.rlike("text", F.lit(p)).alias(f"m{i}") for i, p in enumerate(patterns))).collect()
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for i, g in enumerate(gates):
+        if g is None:
+            continue
+        passed = pc.match_substring_regex(pa.array([r.text for r in exact]), g).to_pylist()
+        for r, ok in zip(exact, passed, strict=True):
+            assert ok or not r[f"m{i}"], (patterns[i], g, r.text)
+
+
+def test_many_hits_stay_linear(spark):
+    text = "x a@b.example " * 3000
+    df = spark.createDataFrame([(text,)], "text string")
+    rules = R.rules_jp()
+    scanned = P.with_matches(df, "text", rules)
+    row = P.redact_text(scanned, "text").first()
+    assert [m.offset for m in row.matches if m.rule == "email"] == [2 + 14 * i for i in range(3000)]
+    assert row.redacted_text == brute_redact(text, rules)
+
+
 def test_byte_offsets(spark):
     df = spark.createDataFrame([(1, "日本 a@b.example")], "id int, text string")
     row = P.pii_scan(df, ["id"], "text", R.rules_jp(), byte_offsets=True).first()

@@ -105,18 +105,18 @@ def test_scan_json_paths(spark):
     doc = '{"email":"a@b.c","n":{"phone":["1"],"kids":[{"full_name":"Z","age":3}]},"x":"y","tel":5,"arr":["email"]}'
     df = spark.createDataFrame([(1, doc), (2, "not json"), (3, None)], "id int, doc string")
     got = {(r.id, r.path, r.value) for r in S.scan_json(df, "id", "doc", FR.default_mappings()).collect()}
-    assert got == {(1, "email", "a@b.c"), (1, "n.kids[0].full_name", "Z")}
+    assert got == {(1, "email", "a@b.c"), (1, "n.kids[0].full_name", "Z"), (2, None, None)}
     flat = {r.path for r in S.scan_json(df, "id", "doc", FR.default_mappings(), arrays=False).collect()}
-    assert flat == {"email"}
+    assert flat == {"email", None}
 
 
 def test_scan_xml(spark):
     doc = '<r><full_name>A</full_name><p email="x@y.z">t</p><q ssn="1"/></r>'
     df = spark.createDataFrame([(1, doc), (2, "<broken")], "id int, doc string")
     got = {(r.path, r.value) for r in S.scan_xml(df, "id", "doc", FR.default_mappings()).collect()}
-    assert got == {("r/full_name", "A"), ("r/p/@email", "x@y.z"), ("r/q/@ssn", "1")}
+    assert got == {("r/full_name", "A"), ("r/p/@email", "x@y.z"), ("r/q/@ssn", "1"), (None, None)}
     parity = {r.path for r in S.scan_xml(df, "id", "doc", FR.default_mappings(), attributes="empty_elements").collect()}
-    assert parity == {"r/full_name", "r/q/@ssn"}
+    assert parity == {"r/full_name", "r/q/@ssn", None}
 
 
 def test_rule_files(spark, tmp_path):

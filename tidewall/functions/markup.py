@@ -1,8 +1,9 @@
-"""Small per-document XML helper used inside tasks."""
+"""Small per-document XML and JSON helpers used inside tasks."""
 
 from __future__ import annotations
 
 import io
+import json
 import xml.etree.ElementTree as ET
 
 
@@ -10,24 +11,60 @@ def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1]
 
 
-def xml_leaves(text: str, max_depth: int, only_empty_attributes: bool) -> list[tuple[str, str, str]]:
-    """(path, field, value) of element texts and attributes; [] when the text is no well-formed XML."""
+def xml_leaves(text: str, max_depth: int, only_empty_attributes: bool) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """(path, field, value) of element texts and attributes, and what was wrong with the text, if anything."""
     out: list[tuple[str, str, str]] = []
     names: list[str] = []
+    status = None
     try:
         for event, el in ET.iterparse(io.BytesIO(text.encode()), events=("start", "end")):
             if event == "start":
                 names.append(_local(el.tag))
                 continue
-            path = "/".join(names)
-            if len(names) <= max_depth:
+            path = "/".join(names) if len(names) <= max_depth else ""
+            if path:
                 value = (el.text or "").strip()
                 if value:
                     out.append((path, names[-1], value))
                 if not only_empty_attributes or (len(el) == 0 and not value):
                     out += [(f"{path}/@{_local(a)}", _local(a), v) for a, v in el.attrib.items() if v.strip()]
+            else:
+                status = "depth_exceeded"
             names.pop()
             el.clear()
     except ET.ParseError:
-        return []
-    return out
+        return "malformed", out
+    return status, out
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def json_leaves(text: str, max_depth: int, arrays: bool) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """(path, key, value) of strings directly under a key in containers down to a depth, and what was wrong, if anything."""
+    try:
+        root = json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return "depth_exceeded", []
+    except ValueError:
+        return "malformed", []
+    out: list[tuple[str, str, str]] = []
+    status = None
+    todo = [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        if not isinstance(node, (dict, list)):
+            continue
+        if depth > max_depth:
+            status = "depth_exceeded"
+        elif isinstance(node, dict):
+            for key, value in node.items():
+                child = f"{path}.{key}" if path else key
+                if isinstance(value, str):
+                    out.append((child, key, value))
+                else:
+                    todo.append((value, child, depth + 1))
+        elif arrays:
+            todo += [(item, f"{path}[{i}]", depth + 1) for i, item in enumerate(node)]
+    return status, out

@@ -21,6 +21,16 @@ def time_bucket(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000)).cast("bigint")
 
 
+def _join_carry(inner: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``__carry`` of the row's key and bucket; a null key is a key of its own."""
+    by = [*keys, BUCKET]
+    right = carry.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(by)), "__carry")
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return inner.join(right, on, "left").drop(*(f"__r{i}" for i in range(len(by))))
+
+
 def _neighbour(
     df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], bucket: Column, forward: bool
 ) -> DataFrame:
@@ -31,7 +41,7 @@ def _neighbour(
     inner = cut.withColumn("__near", step(F.struct(*cols)).over(w))
     edges = cut.groupBy(*keys, BUCKET).agg(pick(F.struct(*cols), F.struct(*order)).alias("__edge"))
     carry = edges.withColumn("__carry", step("__edge").over(Window.partitionBy(*keys).orderBy(BUCKET))).drop("__edge")
-    joined = inner.join(carry, [*keys, BUCKET], "left")
+    joined = _join_carry(inner, carry, keys)
     near = F.coalesce("__near", "__carry")
     return joined.select(*df.columns, *[near[c].alias(out) for out, c in values.items()])
 
@@ -56,7 +66,7 @@ def with_running_sum(
     sums = cut.groupBy(*keys, BUCKET).agg(F.sum("__v").alias("__sum"))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("__carry", F.sum("__sum").over(before)).drop("__sum")
-    return inner.join(carry, [*keys, BUCKET], "left").select(
+    return _join_carry(inner, carry, keys).select(
         *df.columns, (F.col("__part") + F.coalesce("__carry", F.lit(0))).alias(out)
     )
 

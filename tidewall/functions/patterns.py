@@ -36,22 +36,96 @@ def ascii_classes(pattern: str) -> str:
     return "".join(out)
 
 
+_CLASS_CHARS = {"d": "0-9", "s": r" \t\n\x0b\f\r", "w": "A-Za-z0-9_"}
+_COUNT = re.compile(r"\{\d{1,3}(?:,(?:\d{1,3})?)?\}")
+
+
+def _class_end(body: str, start: int) -> int | None:
+    """End of a plain character class that starts at ``start``; None for unions, intersections and odd brackets."""
+    i = start + 1
+    if body[i : i + 1] == "^":
+        i += 1
+    if body[i : i + 1] in ("]", ""):
+        return None
+    while i < len(body):
+        if body[i] == "\\":
+            if i + 1 >= len(body) or (body[i + 1].isalnum() and body[i + 1] not in _CLASS_CHARS):
+                return None
+            i += 2
+        elif body[i] == "]":
+            return i + 1
+        elif body[i] == "[" or body[i : i + 2] == "&&":
+            return None
+        else:
+            i += 1
+    return None
+
+
+def _loose_pattern(pattern: str) -> str | None:
+    """The pattern for RE2, token by token; None at the first thing the engines might read differently."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    body = pattern[len(flags) :]
+    out, i, repeatable = [flags], 0, False
+    while i < len(body):
+        ch, nxt = body[i], body[i + 1 : i + 2]
+        if ch == "\\":
+            if nxt == "b":  # a word edge: left out, unless something repeats it
+                if body[i + 2 : i + 3] in ("*", "+", "?", "{"):
+                    return None
+                i += 2
+                continue
+            if nxt in _CLASS_CHARS:
+                out.append(f"[{_CLASS_CHARS[nxt]}]")
+            elif not nxt or nxt.isalnum() or ord(nxt) > 126:
+                return None
+            else:
+                out.append(ch + nxt)
+            i, repeatable = i + 2, True
+        elif ch == "[":
+            end = _class_end(body, i)
+            if end is None or (flags and nxt == "^"):  # the engines fold case differently
+                return None
+            out.append(ascii_classes(body[i:end]).replace(r"\w", _CLASS_CHARS["w"]))
+            i, repeatable = end, True
+        elif ch == "(":
+            if nxt == "?" and body[i : i + 3] != "(?:":
+                return None
+            step = 3 if nxt == "?" else 1
+            out.append(body[i : i + step])
+            i, repeatable = i + step, False
+        elif ch in "*+?{":
+            count = _COUNT.match(body, i) if ch == "{" else None
+            if not repeatable or (ch == "{" and count is None):
+                return None
+            end = count.end() if count else i + 1
+            if body[end : end + 1] == "+":  # possessive
+                return None
+            end += body[end : end + 1] == "?"
+            out.append(body[i:end])
+            i, repeatable = end, False
+        elif ch in "$^]}":
+            return None
+        else:
+            out.append(ch)
+            i, repeatable = i + 1, ch != "|"
+        if ch == "|":
+            repeatable = False
+    return "".join(out)
+
+
 def gate_pattern(pattern: str) -> str | None:
     """An RE2 pattern that matches wherever the Java pattern does, or None when there is no sure one.
 
     Word edges differ between the engines, so they are dropped, which only lets more texts through.
-    Anything else the engines might read differently (end anchors, letter escapes, look-around,
-    class operators) gives None.
+    Anything else the engines might read differently (anchors, class unions and intersections, letter escapes,
+    look-around, possessive and repeated repeats) gives None.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    body = pattern
-    flags = "(?i)" if body.startswith("(?i)") else ""
-    body = body[len(flags) :]
-    if re.search(r"\\[A-Zace-rt-z0-9]|(?<!\\)\$|&&|\(\?[^:]|[*+?}]\+", body):
+    loose = _loose_pattern(pattern)
+    if loose is None:
         return None
-    loose = flags + ascii_classes(body.replace(r"\b", ""))
     try:
         pc.match_substring_regex(pa.array([""]), loose)
     except pa.ArrowInvalid:

@@ -50,37 +50,48 @@ def gap_lengths(text: Column, pattern: str) -> Column:
     return F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
 
 
+def _blocks(array: Column, size: int = _FOLD_BLOCK) -> Column:
+    """An array cut into arrays of ``size`` elements."""
+    last = F.floor((F.size(array) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(array, b * size + 1, size))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: the one element of an array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hit_offsets(hits: Column, gaps: Column) -> Column:
     """Character offsets of hits, given the gap lengths around them.
 
-    A prefix sum over an array. Runs of 1,024 hits are summed first, so a text with very many hits
-    costs about 1,024 steps per hit and not one step per earlier hit. Both arguments must be
+    A prefix sum over an array, in runs of 1,024 hits: first the sum of each run, then the sums before each run, then
+    the places inside it, so that a hit costs the same however many there are. Both arguments must be
     materialised columns.
     """
-    n = F.size(hits)
-    zero = F.lit(0)
+    add = lambda a, x: a + x
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.greatest(F.size(hits), F.lit(1))), lambda h, g: F.struct(g.alias("g"), F.length(h).alias("l")))
+
+    def places(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["l"]))
+
+        def with_sums(sums: Column) -> Column:
+            def run(block: Column, i: Column) -> Column:
+                start = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), add)
+                return F.aggregate(
+                    block,
+                    F.struct(start.alias("pos"), F.array().cast("array<int>").alias("out")),
+                    lambda acc, x: F.struct(
+                        (acc["pos"] + x["g"] + x["l"]).alias("pos"), F.array_append(acc["out"], acc["pos"] + x["g"]).alias("out")
+                    ),
+                    lambda acc: acc["out"],
+                )
 
-    def run(block: Column) -> Column:
-        done = block * _FOLD_BLOCK
-        start = F.aggregate(F.slice(gaps, F.lit(1), done), zero, lambda a, g: a + g) + F.aggregate(
-            F.slice(hits, F.lit(1), done), zero, lambda a, h: a + F.length(h)
-        )
-        pairs = F.arrays_zip(
-            F.slice(gaps, done + 1, F.least(n - done, F.lit(_FOLD_BLOCK))).alias("g"),
-            F.transform(F.slice(hits, done + 1, F.lit(_FOLD_BLOCK)), lambda h: F.length(h)).alias("l"),
-        )
-        return F.aggregate(
-            pairs,
-            F.struct(start.alias("pos"), F.array().cast("array<int>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["pos"] + x["g"] + x["l"]).alias("pos"),
-                F.array_append(acc["out"], acc["pos"] + x["g"]).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
+            return F.flatten(F.transform(blocks, run))
+
+        return _bound(sums, with_sums)
 
-    blocks = F.sequence(zero, F.floor((n - 1) / _FOLD_BLOCK).cast("int"))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(blocks, run)))
+    cut = _bound(pairs, lambda p: _bound(_blocks(p), places))
+    return F.when(F.size(hits) == 0, F.array().cast("array<int>")).otherwise(cut)
 
 
 def redaction_segments(matches: Column) -> Column:
@@ -98,35 +109,48 @@ def redaction_segments(matches: Column) -> Column:
         )
     )
     empty = F.array().cast("array<struct<s:int,e:int,t:string>>")
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("cur"), empty.alias("out")),
-        lambda acc, m: F.when(m["s"] + m["n"] <= acc["cur"], acc).otherwise(
-            F.struct(
-                (m["s"] + m["n"]).alias("cur"),
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        F.greatest(m["s"], acc["cur"]).alias("s"),
-                        (m["s"] + m["n"]).alias("e"),
-                        F.substring(m["t"], F.greatest(acc["cur"] - m["s"], F.lit(0)) + 1, m["n"]).alias("t"),
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def fold(block: Column, reached: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(reached.alias("cur"), empty.alias("out")),
+            lambda acc, m: F.when(m["s"] + m["n"] <= acc["cur"], acc).otherwise(
+                F.struct(
+                    (m["s"] + m["n"]).alias("cur"),
+                    F.array_append(
+                        acc["out"],
+                        F.struct(
+                            F.greatest(m["s"], acc["cur"]).alias("s"),
+                            (m["s"] + m["n"]).alias("e"),
+                            F.substring(m["t"], F.greatest(acc["cur"] - m["s"], F.lit(0)) + 1, m["n"]).alias("t"),
+                        ),
+                    ).alias("out"),
+                )
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def segments(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda m: m["s"] + m["n"])))
+        reached = lambda ends, i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0))
+        return _bound(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: fold(b, reached(e, i)))))
+
+    # the end reached before a run of matches is the largest end of the runs before it
+    cut = _bound(ordered, lambda o: _bound(_blocks(o), segments))
+    return F.when(F.size(matches) == 0, empty).otherwise(cut)
 
 
 def overwrite_segments(text: Column, segments: Column) -> Column:
-    """Write segments over a text. Long texts go in blocks so that each write copies one block only."""
+    """Write segments over a text. Long texts go in blocks so that each write copies one block only, and
+    in stretches of 32 blocks so that a block looks through the segments of its stretch only."""
+
+    def within(segs: Column, lo: Column, hi: Column) -> Column:
+        return F.filter(segs, lambda s: (s["e"] > lo) & (s["s"] < hi))
 
-    def one(block: Column, index: Column) -> Column:
-        lo = index * _TEXT_BLOCK
+    def one(block: Column, lo: Column, segs: Column) -> Column:
         hi = lo + _TEXT_BLOCK
-        inside = F.filter(segments, lambda s: (s["e"] > lo) & (s["s"] < hi))
         return F.aggregate(
-            inside,
+            within(segs, lo, hi),
             block,
             lambda acc, s: F.overlay(
                 acc,
@@ -139,8 +163,15 @@ def overwrite_segments(text: Column, segments: Column) -> Column:
             ),
         )
 
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % _TEXT_BLOCK), F.lit(0))
-    return F.when(F.size(segments) == 0, text).otherwise(F.array_join(F.transform(blocks, one), ""))
+    def stretch(part: Column, i: Column) -> Column:
+        size = 32 * _TEXT_BLOCK
+        lo = i * size
+        blocks = F.regexp_extract_all(part, F.lit(r"(?s).{1,%d}" % _TEXT_BLOCK), F.lit(0))
+        mine = within(segments, lo, lo + size)
+        return _bound(mine, lambda segs: F.array_join(F.transform(blocks, lambda b, j: one(b, lo + j * _TEXT_BLOCK, segs)), ""))
+
+    stretches = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % (32 * _TEXT_BLOCK)), F.lit(0))
+    return F.when(F.size(segments) == 0, text).otherwise(F.array_join(F.transform(stretches, stretch), ""))
 
 
 def contains_any(col: Column, words) -> Column:

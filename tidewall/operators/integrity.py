@@ -147,8 +147,12 @@ def missing_chunks(chunks: DataFrame, expected: DataFrame, key: str, count: str
         )
     if mode != "gaps":
         raise ValueError("mode must be gaps or tail")
-    wanted = expected.where(F.col(count) > 0).select(
-        key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count).cast("bigint") - 1)).alias("chunk_index")
+    # a declared count may be huge: its blocks of 1,024 are dealt out before they are expanded
+    last = F.col(count).cast("bigint") - 1
+    blocks = expected.where(F.col(count) > 0).select(key, last.alias("__last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / 1024))).alias("__block"))
+    first = F.col("__block") * 1024
+    wanted = blocks.repartition(key, "__block").select(
+        key, F.explode(F.sequence(first, F.least(first + 1023, F.col("__last")))).alias("chunk_index")
     )
     return wanted.join(chunks.select(key, F.col("chunk_index").cast("bigint")), [key, "chunk_index"], "left_anti")
 

@@ -121,15 +121,17 @@ def replay_state(
         right_one = ~F.col(status).isin("approved", "rejected") | F.coalesce(
             F.col(approver) == F.col(assigned), F.lit(False)
         )
-    taken = accepted_moves(events, entity, order, status, right_one, initial)
-    names = [c for c in taken.columns if c != entity]
+    columns = events.columns
+    events = events.withColumn("__entity", F.struct(entity))  # equal structs may hold nulls: a null entity is one of its own
+    taken = accepted_moves(events, "__entity", order, status, right_one, initial)
+    names = [c for c in taken.columns if c != "__entity"]
     at = F.struct(*[F.col(c).alias(c) for c in order])
     before = after = F.lit(initial)
     for n in names:
         before = F.when(F.coalesce(at > F.col(f"{n}.at"), F.lit(False)), F.col(f"{n}.to")).otherwise(before)
         after = F.when(F.coalesce(at >= F.col(f"{n}.at"), F.lit(False)), F.col(f"{n}.to")).otherwise(after)
-    return events.join(taken, entity).select(
-        *events.columns, before.alias("state_before"), after.alias("state_after"), (before != after).alias("accepted")
+    return events.join(taken, "__entity").select(
+        *columns, before.alias("state_before"), after.alias("state_after"), (before != after).alias("accepted")
     )
 
 

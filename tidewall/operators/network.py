@@ -257,8 +257,12 @@ def circuit_states(
     return fold_in_order(events, [node], order, time_bucket(F.col(ts), bucket_seconds), fold, "state string, failures bigint")
 
 
-def limit_fold(limit_col: str, window_seconds: int, ts: str):
-    """Fold for ``fold_in_order``: allow while fewer than the limit were allowed in the window."""
+def limit_fold(limit_col: str, window_seconds: int, ts: str, zero_is_unlimited: bool = False):
+    """Fold for ``fold_in_order``: allow while fewer than the limit were allowed in the window.
+
+    A limit of 0 denies everything, or nothing with ``zero_is_unlimited``. A denied request with nothing in the window to
+    wait for resets one window later.
+    """
     window = window_seconds * 1_000_000
 
     def fold(state, rows):
@@ -272,7 +276,8 @@ def limit_fold(limit_col: str, window_seconds: int, ts: str):
             last = int(t)
             while recent and recent[0] <= t - window:
                 recent.popleft()
-            if limit == 0 or len(recent) < limit:
+            free = zero_is_unlimited and limit == 0
+            if free or len(recent) < limit:
                 if limit:
                     recent.append(last)
                 allowed.append(True)
@@ -281,7 +286,7 @@ def limit_fold(limit_col: str, window_seconds: int, ts: str):
             else:
                 allowed.append(False)
                 remaining.append(0)
-                reset.append(recent[0] + window)
+                reset.append((recent[0] if recent else last) + window)
         while recent and recent[0] <= last - window:
             recent.popleft()
         return json.dumps(list(recent)) if recent else "", {"allowed": allowed, "remaining": remaining, "reset_at_us": reset}
@@ -292,7 +297,7 @@ def limit_fold(limit_col: str, window_seconds: int, ts: str):
 def rate_limit(
     events: DataFrame, key: str, order: list[str], ts: str, limit: int, window_seconds: int, bucket_seconds: int | None = None
 ) -> DataFrame:
-    """Sliding-window limiter; denied requests are not recorded. Adds allowed, remaining, reset_at_us."""
+    """Sliding-window limiter; denied requests are not recorded, and a limit of 0 denies all. Adds allowed, remaining, reset_at_us."""
     with_limit = events.withColumn("__limit", F.lit(limit).cast("bigint"))
     bucket = time_bucket(F.col(ts), bucket_seconds or max(86400, window_seconds))
     return fold_in_order(
@@ -305,7 +310,7 @@ def hourly_limit(events: DataFrame, accounts: DataFrame, account: str, order: li
     joined = events.join(accounts.select(account, F.col("hourly_limit").cast("bigint").alias("__limit")), account, "left")
     known = joined.where("__limit is not null")
     judged = fold_in_order(
-        known, [account], order, time_bucket(F.col(ts), bucket_seconds), limit_fold("__limit", 3600, ts),
+        known, [account], order, time_bucket(F.col(ts), bucket_seconds), limit_fold("__limit", 3600, ts, zero_is_unlimited=True),
         "allowed boolean, remaining bigint, reset_at_us bigint",
     ).select(*events.columns, "allowed")
     unknown = joined.where("__limit is null").select(*events.columns, F.lit(False).alias("allowed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def match_columns(columns: list[str], mappings: list[FieldMapping], min_confiden
         for m in mappings:
             if re.search(name_regex(m.pattern), c) and (best is None or m.confidence > best.confidence):
                 best = m
-        if best is not None and best.confidence > min_confidence:
+        if best is not None and best.confidence >= min_confidence:
             out[c] = best
     return out
 
@@ -143,6 +144,32 @@ def field_report(scan: DataFrame, approximate: bool = False) -> DataFrame:
     return pairs.groupBy(*by).agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("distinct_values"))
 
 
+def _walked(df: DataFrame, key: str, col: str, leaves: Callable, mappings: list[FieldMapping], min_confidence: float) -> DataFrame:
+    """One scan that walks each document inside the tasks; ``leaves(text)`` gives (status or None, [(path, field, value)])."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def walk(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf[col], strict=True):
+                if text is None:
+                    continue
+                status, found = leaves(text)
+                rows += [(k, path, field, value, "found") for path, field, value in found]
+                if status:
+                    rows.append((k, None, None, None, status))
+            yield pd.DataFrame(rows, columns=[key, "path", "field", "value", "status"])
+
+    rows = df.select(key, col).mapInPandas(walk, f"`{key}` {key_type}, path string, field string, value string, status string")
+    typed = rows.withColumn("__f", field_type(F.col("field"), mappings))
+    personal = (F.col("__f.confidence") >= min_confidence) & (F.length(F.trim("value")) > 0)
+    return typed.where((F.col("status") != "found") | personal).select(
+        key, "path", "field", "value", "__f.pii_type", "__f.confidence", "__f.action", "status"
+    )
+
+
 def scan_json(
     df: DataFrame,
     key: str,
@@ -152,36 +179,14 @@ def scan_json(
     arrays: bool = True,
     min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """Personal string values directly under an object key, with their path.
+    """Personal string values directly under an object key, with their path, and a status.
 
-    Each level explodes the containers of the level above, so the rows in flight are the nodes of
-    one level. Documents that are not JSON give no rows.
+    The root lies at depth 0 and containers down to ``depth`` are read. A document that is no JSON gives one row of status
+    'malformed', one with deeper containers a row of status 'depth_exceeded' beside what was found above.
     """
-    root = df.select(
-        F.col(key), F.lit("").alias("path"), F.lit(None).cast("string").alias("field"), F.try_parse_json(col).alias("node")
-    ).where(F.col("node").isNotNull())
-    level, leaves = root, None
-    for _ in range(depth):
-        level = df.sparkSession.sql(
-            f"""
-            select n.`{key}`,
-              case when e.key is null then concat(n.path, '[', e.pos, ']')
-                   when n.path = '' then e.key else concat(n.path, '.', e.key) end as path,
-              e.key as field, e.value as node
-            from {{level}} n, lateral variant_explode(n.node) e
-            """
-            + ("" if arrays else " where e.key is not null"),
-            level=level,
-        )
-        strings = level.where("field is not null and schema_of_variant(node) = 'STRING'")
-        leaves = strings if leaves is None else leaves.unionByName(strings)
-        level = level.where("schema_of_variant(node) like 'OBJECT%' or schema_of_variant(node) like 'ARRAY%'")
-    found = leaves.select(key, "path", "field", F.expr("cast(node as string)").alias("value")).withColumn(
-        "__f", field_type(F.col("field"), mappings)
-    )
-    return found.where((F.col("__f.confidence") > min_confidence) & (F.length(F.trim("value")) > 0)).select(
-        key, "path", "field", "value", "__f.pii_type", "__f.confidence", "__f.action"
-    )
+    from tidewall.functions.markup import json_leaves
+
+    return _walked(df, key, col, lambda text: json_leaves(text, depth, arrays), mappings, min_confidence)
 
 
 def scan_xml(
@@ -193,33 +198,15 @@ def scan_xml(
     min_confidence: float = MIN_CONFIDENCE,
     attributes: str = "all",
 ) -> DataFrame:
-    """Personal element texts and attributes with their path.
+    """Personal element texts and attributes with their path, and a status.
 
     The element names are not known in advance, so a pull parser walks each document inside the
     tasks, one Arrow batch at a time. ``attributes="empty_elements"`` looks at attributes of
-    self-closing elements only. Documents that are not XML give no rows.
+    self-closing elements only. A document that is no well-formed XML gives a row of status 'malformed', one with
+    elements below ``max_depth`` a row of status 'depth_exceeded', beside what was found before.
     """
     if attributes not in ("all", "empty_elements"):
         raise ValueError("attributes must be all or empty_elements")
-    key_type = df.schema[key].dataType.simpleString()
-    only_empty = attributes == "empty_elements"
-
-    def walk(batches):
-        import pandas as pd
-
-        from tidewall.functions.markup import xml_leaves
+    from tidewall.functions.markup import xml_leaves
 
-        for pdf in batches:
-            rows = [
-                (k, path, field, value)
-                for k, text in zip(pdf[key], pdf[col])
-                if text is not None
-                for path, field, value in xml_leaves(text, max_depth, only_empty)
-            ]
-            yield pd.DataFrame(rows, columns=[key, "path", "field", "value"])
-
-    leaves = df.select(key, col).mapInPandas(walk, f"`{key}` {key_type}, path string, field string, value string")
-    found = leaves.withColumn("__f", field_type(F.col("field"), mappings))
-    return found.where(F.col("__f.confidence") > min_confidence).select(
-        key, "path", "field", "value", "__f.pii_type", "__f.confidence", "__f.action"
-    )
+    return _walked(df, key, col, lambda text: xml_leaves(text, max_depth, attributes == "empty_elements"), mappings, min_confidence)

@@ -9,22 +9,65 @@ from tidewall.functions.rows import computed_once, inline_rows
 from tidewall.functions.text import gap_lengths, hit_offsets
 from tidewall.rules import files as R
 
-_TOKEN = r"(?s)<[A-Za-z/!?][^<>]*>|[^<]+|<"
-_ATTR = r"""[A-Za-z_][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"]*"|'[^']*')"""
-_SUSPECT = r"(?i)\son[a-z]+\s*=|javascript:|data:|https?://|style\s*=|<(?:[A-Za-z0-9_]+:)?(?:set|animate)"
+# a tag with its quoted values as units: a > inside them does not end it, a quote elsewhere is a plain character; the
+# repeats are possessive, so a long tag needs no stack
+_INSIDE = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
+_TAG = rf"<[A-Za-z]{_INSIDE}>"
+_TOKEN = rf"(?s)<[A-Za-z]{_INSIDE}>|</[^<>]*+>|<[!?][^<>]*+>|[^<]++|<"
+_ATTR = r"""[A-Za-z_][A-Za-z0-9_:.-]*+\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++)"""
+_SUSPECT = r"(?i)[\s\"'/]on[a-z]+\s*=|javascript|&#|&[a-z]+;|data:|https?://|style\s*=|<(?:[A-Za-z0-9_]+:)?(?:set|animate)"
 THREAT = "array<struct<element:string,attribute:string,threat:string>>"
 
 
-def _element_regex(name: str) -> str:
-    """A whole element with its content; one that is never closed runs to the end of the text."""
-    n = rf"(?:[A-Za-z0-9_]+:)?{name}"
-    return rf"(?is)<{n}(?:\s[^<>]*?)?(?:/>|>.*?(?:</{n}\s*>|\z))"
+def _dangerous_events(text: Column) -> Column:
+    """Opening, closing and self-closing tags of dangerous elements, in order, with the text after each.
 
+    The pieces of the text between them are kept, so that the text can be put together again without what is nested.
+    """
+    names = "|".join(R.DANGEROUS_ELEMENTS)
+    edge = rf"(?is)<(?:[A-Za-z0-9_]+:)?(?:{names})(?=[\s/>]){_INSIDE}>|</(?:[A-Za-z0-9_]+:)?(?:{names})\s*+>"
+    return F.struct(F.regexp_extract_all(text, F.lit(edge), F.lit(0)).alias("tags"), F.split(text, edge, -1).alias("parts"))
+
+
+def _walk_dangerous(events: Column) -> Column:
+    """Which pieces lie outside dangerous elements, and the outermost elements found.
+
+    Only tags of the element's own name count towards its depth; an element that is never closed runs to the end.
+    """
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?(?:[A-Za-z0-9_]+:)?([A-Za-z0-9_.-]+)", 1))
+
+    def step(acc: Column, tag: Column) -> Column:
+        closing, single = F.startswith(tag, F.lit("</")), F.endswith(tag, F.lit("/>"))
+        outside = acc["depth"] == 0
+        own = name(tag) == acc["name"]
+        depth = (
+            F.when(outside, F.when(closing | single, F.lit(0)).otherwise(F.lit(1)))
+            .when(own & closing, acc["depth"] - 1)
+            .when(own & ~single, acc["depth"] + 1)
+            .otherwise(acc["depth"])
+        )
+        opens = outside & ~closing
+        return F.struct(
+            depth.alias("depth"),
+            F.when(opens, name(tag)).otherwise(acc["name"]).alias("name"),
+            F.when(opens, F.array_append(acc["found"], name(tag))).otherwise(acc["found"]).alias("found"),
+            F.array_append(acc["outside"], depth == 0).alias("outside"),
+        )
 
-def _without_dangerous_elements(col: Column) -> Column:
-    for name in R.DANGEROUS_ELEMENTS:
-        col = F.regexp_replace(col, _element_regex(name), "")
-    return col
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("name"), F.array().cast("array<string>").alias("found"), F.array(F.lit(True)).alias("outside")
+    )
+    return F.aggregate(events["tags"], start, step)
+
+
+def _with_dangerous(df: DataFrame, html: str) -> DataFrame:
+    """Adds ``__elements`` (names of dangerous elements) and ``__rest`` (the text without them)."""
+    staged = df.withColumn("__events", computed_once(_dangerous_events(F.col(html))))
+    staged = staged.withColumn("__walk", computed_once(F.when(F.size("__events.tags") > 0, _walk_dangerous(F.col("__events")))))
+    kept = F.array_join(F.filter(F.col("__events.parts"), lambda p, i: F.get(F.col("__walk.outside"), i)), "")
+    rest = F.when(F.col("__walk").isNull(), F.col(html)).otherwise(kept)
+    names = F.coalesce(F.col("__walk.found"), F.array().cast("array<string>"))
+    return staged.withColumn("__rest", computed_once(rest)).withColumn("__elements", names).drop("__events", "__walk")
 
 
 def _tag_name(tag: Column) -> Column:
@@ -35,8 +78,31 @@ def _attr_name(attr: Column) -> Column:
     return F.lower(F.regexp_extract(attr, r"^([^=\s]+)", 1))
 
 
+# --- fixed values: named entities that spell what a value test looks for ---
+_NAMED = {"&colon;": ":", "&tab;": "", "&newline;": "", "&lpar;": "(", "&rpar;": ")", "&sol;": "/", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+# --- end of fixed values ---
+
+
+def _decoded(value: Column) -> Column:
+    """Character references of a value read, and control characters and line breaks, which browsers pass over, left out."""
+    code = lambda m: F.when(
+        F.lower(F.substring(m, 3, 1)) == "x", F.conv(F.regexp_extract(m, r"([0-9A-Fa-f]+);?$", 1), 16, 10).cast("bigint")
+    ).otherwise(F.regexp_extract(m, r"([0-9]+);?$", 1).cast("bigint"))
+    char = lambda m: F.when(code(m).between(32, 126), F.chr(code(m))).when(code(m) < 32, F.lit("")).otherwise(m)
+    refs = r"&#(?:[xX][0-9A-Fa-f]{1,7}+|[0-9]{1,8}+);?"
+    text = F.split(value, refs, -1)
+    found = F.regexp_extract_all(value, F.lit(refs), F.lit(0))
+    read = F.array_join(F.zip_with(text, F.transform(found, char), lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
+    out = F.lower(F.when(F.contains(value, F.lit("&#")), read).otherwise(value))
+    for name, char_ in _NAMED.items():
+        out = F.replace(out, F.lit(name), F.lit(char_))
+    return F.regexp_replace(out, r"[\x00-\x1F]++", "")
+
+
 def _attr_value(attr: Column) -> Column:
-    return F.lower(F.regexp_extract(attr, r"""(?s)=\s*["'](.*)["']$""", 1))
+    raw = F.regexp_extract(attr, r"""(?s)=\s*+(.*)$""", 1)
+    quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
+    return _decoded(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
 
 
 def _attributes(tag: Column) -> Column:
@@ -82,18 +148,12 @@ def with_markup_threats(df: DataFrame, html: str, out: str = "threats") -> DataF
     What sits inside a removed element is not reported on its own. Only tags that can hold a threat
     have their attributes parsed.
     """
-    text = F.col(html)
-    elements = []
-    for name, threat in R.DANGEROUS_ELEMENTS.items():
-        hits = F.regexp_extract_all(text, F.lit(_element_regex(name)), F.lit(0))
-        row = F.struct(F.lit(name).alias("element"), F.lit("").alias("attribute"), F.lit(threat).alias("threat"))
-        elements.append(F.array_repeat(row, F.size(hits)))
-    staged = df.withColumn("__elements", F.concat(*elements)).withColumn(
-        "__tags",
-        F.filter(
-            F.regexp_extract_all(_without_dangerous_elements(text), F.lit(r"<[A-Za-z][^<>]*>"), F.lit(0)),
-            lambda t: t.rlike(_SUSPECT),
-        ),
+    threat_of = F.create_map(*(F.lit(x) for pair in R.DANGEROUS_ELEMENTS.items() for x in pair))
+    staged = _with_dangerous(df, html).withColumn(
+        "__tags", F.filter(F.regexp_extract_all("__rest", F.lit(_TAG), F.lit(0)), lambda t: t.rlike(_SUSPECT))
+    )
+    elements = F.transform(
+        "__elements", lambda n: F.struct(n.alias("element"), F.lit("").alias("attribute"), F.element_at(threat_of, n).alias("threat"))
     )
 
     def tag_threats(tag: Column) -> Column:
@@ -114,8 +174,8 @@ def with_markup_threats(df: DataFrame, html: str, out: str = "threats") -> DataF
         )
         return F.when(_removed_tag(tag), whole).otherwise(parts)
 
-    found = F.concat(F.col("__elements"), F.flatten(F.transform("__tags", tag_threats)))
-    return staged.withColumn(out, computed_once(F.coalesce(found, F.array().cast(THREAT)))).drop("__elements", "__tags")
+    found = F.concat(elements, F.flatten(F.transform("__tags", tag_threats)))
+    return staged.withColumn(out, computed_once(F.coalesce(found, F.array().cast(THREAT)))).drop("__elements", "__tags", "__rest")
 
 
 def scan_markup(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -125,7 +185,7 @@ def scan_markup(df: DataFrame, key: str, html: str) -> DataFrame:
 
 def sanitize_markup(df: DataFrame, html: str, out: str = "clean_html") -> DataFrame:
     """Remove dangerous elements, triggered animations and dangerous attributes; text is untouched."""
-    tokens = F.regexp_extract_all(_without_dangerous_elements(F.col(html)), F.lit(_TOKEN), F.lit(0))
+    staged = _with_dangerous(df, html).withColumn("__tokens", computed_once(F.regexp_extract_all("__rest", F.lit(_TOKEN), F.lit(0))))
 
     def clean(token: Column) -> Column:
         bad = F.filter(_attributes(token), lambda a: _attr_threat(a).isNotNull())
@@ -133,9 +193,9 @@ def sanitize_markup(df: DataFrame, html: str, out: str = "clean_html") -> DataFr
         return F.when(_removed_tag(token), F.lit("")).otherwise(stripped)
 
     cleaned = F.transform(
-        tokens, lambda t: F.when(t.rlike(r"^<[A-Za-z]") & t.rlike(_SUSPECT), clean(t)).otherwise(t)
+        "__tokens", lambda t: F.when(t.rlike(r"^<[A-Za-z]") & t.rlike(_SUSPECT), clean(t)).otherwise(t)
     )
-    return df.withColumn(out, F.array_join(cleaned, ""))
+    return staged.withColumn(out, F.array_join(cleaned, "")).drop("__tokens", "__rest", "__elements")
 
 
 def is_safe_markup(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -155,12 +215,15 @@ def scan_tokens(
 ) -> DataFrame:
     """One row per active-content token of raw files: token, offset (in bytes) and text.
 
-    Bytes are read as Latin-1, one character each, so offsets are byte offsets.
+    Bytes are read as Latin-1, one character each, so offsets are byte offsets. A file over ``max_bytes``, without the
+    header, or without content is not passed over: it gives one row with the token 'not_scanned', offset -1 and the reason.
     """
-    data = files.where(F.octet_length(content) <= max_bytes)
-    text = data.select(key, F.decode(content, "ISO-8859-1").alias("__text"))
-    if header:
-        text = text.where(F.startswith("__text", F.lit(header)))
+    size = F.octet_length(content)
+    starts = F.startswith(F.decode(F.substring(content, 1, len(header or "")), "ISO-8859-1"), F.lit(header)) if header else F.lit(True)
+    why = F.when(size.isNull(), F.lit("no_content")).when(size > max_bytes, F.lit("too_large")).when(~starts, F.lit("no_header"))
+    unread = files.select(key, why.alias("found")).where(F.col("found").isNotNull())
+    unread = unread.select(key, F.lit("not_scanned").alias("token"), F.lit(-1).cast("bigint").alias("offset"), "found")
+    text = files.where(why.isNull()).select(key, F.decode(content, "ISO-8859-1").alias("__text"))
     hits = text.withColumns(
         {f"__h{i}": F.regexp_extract_all("__text", F.lit(rx), F.lit(0)) for i, (_, rx) in enumerate(tokens)}
     )
@@ -178,7 +241,7 @@ def scan_tokens(
         )
         for i, (name, _) in enumerate(tokens)
     ]
-    return inline_rows(gaps, [key], F.concat(*arrays), "token")
+    return inline_rows(gaps, [key], F.concat(*arrays), "token").unionByName(unread)
 
 
 def scan_scripts(df: DataFrame, key: str, text: str, patterns=R.SCRIPT_PATTERNS) -> DataFrame:

@@ -174,7 +174,7 @@ def _(spark, d):
     return U.duration_summary(audit(spark, d), ["event_type"], "processing_time_ms")
 
 
-@query("U14_duration_median")
+@query("U14_duration_median", "select event_type, quantile_disc(processing_time_ms, 0.5) as p50_ms from v_audit where processing_time_ms is not null group by 1")
 def _(spark, d):
     return U.duration_median(audit(spark, d), ["event_type"], "processing_time_ms")
 

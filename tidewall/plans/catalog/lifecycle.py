@@ -33,7 +33,17 @@ def many_requests(spark, d):
     return log(spark, d).withColumn("request_id", F.expr("request_id * 100 + day(ts)"))
 
 
-@query("L2_replay_state")
+@query(
+    "L2_replay_state",
+    """with recursive e as (select event_id, user_id * 100 + day(ts) as request_id, row_number() over (partition by user_id * 100 + day(ts) order by ts, event_id) as n,
+           case event_type when 'signup' then 'approved' when 'view' then 'transferring' when 'click' then 'rejected' when 'purchase' then 'completed' else 'failed' end as status from events),
+       w as (select request_id, cast(0 as bigint) as n, cast(null as bigint) as event_id, '' as status, '' as state_before, 'pending_approval' as state_after, false as accepted from (select distinct request_id from e) x
+         union all
+         select w.request_id, e.n, e.event_id, e.status, w.state_after, case when concat(w.state_after, '>', e.status) in LEGALSET then e.status else w.state_after end,
+           concat(w.state_after, '>', e.status) in LEGALSET
+         from w join e on e.request_id = w.request_id and e.n = w.n + 1)
+       select event_id, request_id, status, state_before, state_after, accepted from w where n > 0""".replace("LEGALSET", LEGAL),
+)
 def _(spark, d):
     out = L.replay_state(many_requests(spark, d), "request_id", ORDER, "status")
     return out.select("event_id", "request_id", "status", "state_before", "state_after", "accepted")
@@ -217,6 +227,11 @@ def _(spark, d):
     return L.approvals_per_day(log(spark, d), "status", "ts").withColumn("day", F.col("day").cast("string"))
 
 
-@query("L15_median_time_in_state")
+@query(
+    "L15_median_time_in_state",
+    """with n as (select status, ts, lead(ts) over (partition by request_id order by ts, event_id) as nx from v_transfer_event),
+       s as (select status, cast(epoch(date_trunc('second', nx)) - epoch(date_trunc('second', ts)) as bigint) as sec from n)
+       select status, quantile_disc(sec, 0.5) as median_seconds from s where sec is not null group by 1""",
+)
 def _(spark, d):
     return L.median_time_in_state(log(spark, d), "request_id", ORDER, "status", "ts")

@@ -184,6 +184,12 @@ def _(spark, d):
     return N.rate_limit(e, "user_id", ORDER, "ts", 3, 12 * 3600).select("event_id", "allowed", "remaining")
 
 
+@query("N12_limit_zero", "select event_id, false as allowed, cast(0 as bigint) as remaining from events")
+def _(spark, d):
+    e = load(spark, d, "events").select("event_id", "user_id", "ts")
+    return N.rate_limit(e, "user_id", ORDER, "ts", 0, 3600).select("event_id", "allowed", "remaining")
+
+
 @query(
     "N13_trailing_rate",
     """select event_id, cast(count(*) over (partition by user_id order by ts range between interval '21599.999999 seconds' preceding and current row) as bigint) as requests_in_window from events""",
@@ -193,7 +199,15 @@ def _(spark, d):
     return N.trailing_rate(e, "user_id", "ts", 6 * 3600, "event_id").select("event_id", "requests_in_window")
 
 
-@query("N14_hourly_limit")
+@query(
+    "N14_hourly_limit",
+    """with recursive e as (select event_id, user_id, ts, user_id % 3 as lim, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id % 9 <> 0),
+       w as (select user_id, cast(0 as bigint) as n, cast(null as bigint) as event_id, []::timestamp[] as seen, false as allowed from (select distinct user_id from e) x
+         union all
+         select e.user_id, e.n, e.event_id, case when e.lim > 0 and len(k.live) < e.lim then list_append(k.live, e.ts) else k.live end, e.lim = 0 or len(k.live) < e.lim
+         from w join e on e.user_id = w.user_id and e.n = w.n + 1, lateral (select list_filter(w.seen, lambda s: s > e.ts - interval 1 hours) as live) k)
+       select event_id, allowed from w where n > 0 union all select event_id, false from events where user_id % 9 = 0""",
+)
 def _(spark, d):
     e = load(spark, d, "events").select("event_id", "user_id", "ts")
     acc = e.select("user_id").distinct().where("user_id % 9 <> 0").withColumn("hourly_limit", F.col("user_id") % 3)

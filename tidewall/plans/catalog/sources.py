@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -17,13 +17,8 @@ from tidewall.sources.tables import list_tables, read_table, scan_files, table_e
 
 
 def scratch(spark, label: str) -> str:
-    """A new folder under the session's checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if "://" in base or base.startswith("file:"):
-        import uuid
-
-        return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{label}-", dir=base)
+    """A new folder under the session's checkpoint folder; Spark makes it on the folder's own file system."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @query("S1_read_table", "select n_name, cast(n_regionkey as bigint) as region from nation")
@@ -70,7 +65,50 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = load(spark, d, "events").select("event_id", "props")
-    return text.read_json_text(docs, "props", max_mb=1).selectExpr("event_id", "variant_get(doc, '$.k', 'bigint') as k")
+    return text.read_json_text(docs, "props", max_mb=1).where("status = 'ok'").selectExpr("event_id", "variant_get(doc, '$.k', 'bigint') as k")
+
+
+JSON_CASES = """case event_id % 3 when 0 then props when 1 then concat('{', props) else concat('{"k":"', repeat('x', 300), '"}') end"""
+
+
+@query(
+    "S4_json_status",
+    "select event_id, case event_id % 3 when 0 then 'ok' when 1 then 'not_json' else 'too_large' end as status, case when event_id % 3 = 0 then cast(json_extract_string(props, '$.k') as bigint) end as k from events",
+)
+def _(spark, d):
+    docs = load(spark, d, "events").selectExpr("event_id", f"{JSON_CASES} as doc_text")
+    return text.read_json_text(docs, "doc_text", max_mb=0.0002).selectExpr("event_id", "status", "variant_get(doc, '$.k', 'bigint') as k")
+
+
+XML_CASES = """case c_custkey % 3 when 0 then concat('<row><id>', c_custkey, '</id></row>') when 1 then concat('<row><id>', c_custkey, '</id>')
+  else concat('<row><a><b><c>', c_custkey, '</c></b></a></row>') end"""
+
+
+@query(
+    "S5_xml_status",
+    "select c_custkey, case c_custkey % 3 when 0 then 'ok' when 1 then 'malformed' else 'depth_exceeded' end as status, case when c_custkey % 3 = 0 then c_custkey end as id from customer",
+)
+def _(spark, d):
+    docs = load(spark, d, "customer").selectExpr("c_custkey", f"{XML_CASES} as doc_text")
+    return text.read_xml_text(docs, "doc_text", "id bigint", max_depth=3, out="r").select("c_custkey", "status", "r.id")
+
+
+HARD_CSV = (
+    "concat('id,note', chr(10), c_custkey, ',\"', repeat('q', 20000), chr(10), 'second \"\"line\"\"\"', chr(10), ',', chr(10), chr(10), "
+    "c_custkey, ',plain \"x\"', chr(13), chr(10), c_custkey, ',beyond')"
+)
+
+
+@query(
+    "S3_hard_csv",
+    """select c_custkey as key, cast(r as bigint) as row_index, cast(c as bigint) as col_index, case c when 0 then 'id' else 'note' end as column_name,
+         md5(case when c = 0 then cast(c_custkey as string) when r = 0 then concat(repeat('q', 20000), chr(10), 'second "line"') else 'plain "x"' end) as value_md5
+       from customer, unnest([0, 2]) as a(r), unnest([0, 1]) as b(c)""",
+)
+def _(spark, d):
+    docs = load(spark, d, "customer").selectExpr("c_custkey as key", f"{HARD_CSV} as doc")
+    cells = text.read_csv_text(docs, "key", "doc", text.CsvOptions(max_rows=3))
+    return cells.select("key", "row_index", "col_index", "column_name", F.md5("value").alias("value_md5"))
 
 
 @query("S4_rejected_json", "select doc_id, 'not_json' as reason from documents where not json_valid(text)")

@@ -66,17 +66,39 @@ def _(spark, d):
     return S.stream_counters(a, "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("X2_stream_counters")
+# a stream sends a window when the watermark, an hour behind the last row, has passed its end
+CLOSED = "<= (select max(ts) from events) - interval 1 hour"
+
+
+@query(
+    "X2_stream_counters",
+    f"""select date_trunc('hour', ts) as window_start, event_type, cast(count(*) as bigint) as events from events group by 1, 2
+        having date_trunc('hour', ts) + interval 1 hour {CLOSED}""",
+)
 def _(spark, d):
-    return run(spark, S.stream_counters(events(spark, d), "ts", ["event_type"]), "counters")
+    out = run(spark, S.stream_counters(events(spark, d), "ts", ["event_type"]), "counters")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("X3_stream_rate")
+@query(
+    "X3_stream_rate",
+    f"""with s as (select user_id, date_trunc('hour', ts) - to_hours(cast(i as int)) as window_start from events, unnest(range(0, 6)) as u(i))
+        select window_start, user_id, cast(count(*) as bigint) as requests from s where window_start + interval 6 hours {CLOSED} group by 1, 2""",
+)
 def _(spark, d):
-    return run(spark, S.stream_rate(events(spark, d), "ts", "user_id", "6 hours", "1 hour"), "rate")
+    out = run(spark, S.stream_rate(events(spark, d), "ts", "user_id", "6 hours", "1 hour"), "rate")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("X3_stream_limiter")
+@query(
+    "X3_stream_limiter",
+    """with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+       w as (select user_id, cast(0 as bigint) as n, cast(null as bigint) as event_id, []::timestamp[] as seen, false as allowed, cast(0 as bigint) as remaining from (select distinct user_id from e) x
+         union all
+         select e.user_id, e.n, e.event_id, case when len(k.live) < 3 then list_append(k.live, e.ts) else k.live end, len(k.live) < 3, cast(greatest(2 - len(k.live), 0) as bigint)
+         from w join e on e.user_id = w.user_id and e.n = w.n + 1, lateral (select list_filter(w.seen, lambda s: s > e.ts - interval 12 hours) as live) k)
+       select event_id as request_id, user_id as client, allowed, remaining from w where n > 0""",
+)
 def _(spark, d):
     with_state_store(spark)
     return run(spark, SF.stream_limiter(events(spark, d), "user_id", "ts", "event_id", 3, 12 * 3600), "limiter")
@@ -108,7 +130,7 @@ def _(spark, d):
     return out.select("file_id", "outcome", "file_md5")
 
 
-@query("X6_stream_dedupe")
+@query("X6_stream_dedupe", "select distinct user_id, event_type from events")
 def _(spark, d):
     out = run(spark, S.stream_dedupe(events(spark, d).select("event_id", "user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "60 days"), "dedupe")
     return out.select("user_id", "event_type")
@@ -124,9 +146,14 @@ def _(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("X7_stream_sessions")
+@query("X7_stream_sessions", f"""
+with p as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as pv from events),
+n as (select *, sum(case when pv is null or ts - pv >= interval 4 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from p)
+select user_id, min(ts) as session_start, max(ts) + interval 4 hours as session_end, cast(count(*) as bigint) as events from n group by user_id, s
+having max(ts) + interval 4 hours {CLOSED}""")
 def _(spark, d):
-    return run(spark, S.stream_sessions(events(spark, d), "ts", "user_id", "4 hours"), "sessions")
+    out = run(spark, S.stream_sessions(events(spark, d), "ts", "user_id", "4 hours"), "sessions")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 RULE_FILE = {

@@ -100,13 +100,46 @@ def _(spark, d):
     return S.scan_json(docs, "c_custkey", "doc", MAPS).select("c_custkey", "path", "value", "pii_type")
 
 
-@query("F3_scan_event_props")
+@query(
+    "F3_scan_event_props",
+    """select event_id, 'user_ref' as path, 'user_ref' as field, cast(user_id as string) as value, 'user_ref' as pii_type, cast(0.9 as double) as confidence,
+         'mask' as action, 'found' as status from events where user_id is not null""",
+)
 def _(spark, d):
     maps = [R.FieldMapping("*user*", "user_ref", 0.9, "mask"), R.FieldMapping("k", "key", 0.9, "mask")]
     quoted = load(spark, d, "events").selectExpr("event_id", "to_json(map('user_ref', cast(user_id as string), 'raw', props)) as doc")
     return S.scan_json(quoted, "event_id", "doc", maps)
 
 
+# documents that are fine, cut short, and two levels too deep
+BROKEN_JSON = """case c_custkey % 3 when 0 then concat('{"email":"c', c_custkey, '@x.org"}') when 1 then concat('{"email":"c', c_custkey)
+  else concat('{"email":"c', c_custkey, '@x.org","a":{"b":{"c":{"email":"deep"}}}}') end"""
+
+
+@query(
+    "F3_json_status",
+    """select c_custkey, 'email' as path, concat('c', cast(c_custkey as string), '@x.org') as value, 'found' as status from customer where c_custkey % 3 <> 1
+       union all select c_custkey, null, null, case c_custkey % 3 when 1 then 'malformed' else 'depth_exceeded' end from customer where c_custkey % 3 > 0""",
+)
+def _(spark, d):
+    docs = load(spark, d, "customer").selectExpr("c_custkey", f"{BROKEN_JSON} as doc")
+    return S.scan_json(docs, "c_custkey", "doc", MAPS, depth=1).select("c_custkey", "path", "value", "status")
+
+
+BROKEN_XML = """case c_custkey % 3 when 0 then concat('<r><email>c', c_custkey, '@x.org</email></r>') when 1 then concat('<r><email>c', c_custkey, '@x.org</email>')
+  else concat('<r><email>c', c_custkey, '@x.org</email><a><b><email>deep</email></b></a></r>') end"""
+
+
+@query(
+    "F4_xml_status",
+    """select c_custkey, 'r/email' as path, concat('c', cast(c_custkey as string), '@x.org') as value, 'found' as status from customer
+       union all select c_custkey, null, null, case c_custkey % 3 when 1 then 'malformed' else 'depth_exceeded' end from customer where c_custkey % 3 > 0""",
+)
+def _(spark, d):
+    docs = load(spark, d, "customer").selectExpr("c_custkey", f"{BROKEN_XML} as doc")
+    return S.scan_xml(docs, "c_custkey", "doc", MAPS, max_depth=2).select("c_custkey", "path", "value", "status")
+
+
 XML_DOC = "concat('<row id=\"', c_custkey, '\"><full_name>', c_name, '</full_name><contact email=\"c', c_custkey, '@x.org\"/><note>plain</note></row>')"
 
 

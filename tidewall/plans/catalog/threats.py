@@ -85,13 +85,64 @@ def _(spark, d):
     return H.sanitize_markup(pages(spark, d), "html").select("page_id", F.md5("clean_html").alias("clean_md5"))
 
 
-@query("T11_scan_tokens")
+# pages whose threats follow from how they are built: (markup, element, attribute, threat, what is left of it)
+HOSTILE = (
+    ('<a title=">" onclick="evil()">x</a>', "a", "onclick", "event_handler", '<a title=">" >x</a>'),
+    ("<img onerror=alert(1)>", "img", "onerror", "event_handler", "<img >"),
+    ('<a href="java&#115;cript:x">l</a>', "a", "href", "javascript_href", "<a >l</a>"),
+    ("<script><script>a</script>evil()</script>", "script", "", "script_element", ""),
+    ("<p title='a > b' class=plain>fine</p>", None, None, None, "<p title='a > b' class=plain>fine</p>"),
+)
+HOSTILE_VALUES = ", ".join(
+    f"({i}, {', '.join('null' if v is None else lit(v) for v in row)})" for i, row in enumerate(HOSTILE)
+)
+
+
+def hostile(spark, d):
+    table = F.array(*(F.lit(row[0]) for row in HOSTILE))
+    page = F.concat(F.lit("<b>"), F.col("page_id").cast("string"), F.lit("</b>"), F.get(table, (F.col("page_id") % len(HOSTILE)).cast("int")), F.lit("<i>end</i>"))
+    return spread(load(spark, d, "pages").select("page_id")).withColumn("html", page)
+
+
+@query(
+    "T9_hostile_markup",
+    f"select page_id, element, attribute, threat from pages join (values {HOSTILE_VALUES}) as v(k, html, element, attribute, threat, clean) on page_id % {len(HOSTILE)} = k where threat is not null",
+)
+def _(spark, d):
+    return H.scan_markup(hostile(spark, d), "page_id", "html")
+
+
+@query(
+    "T10_hostile_markup",
+    f"select page_id, concat('<b>', cast(page_id as string), '</b>', clean, '<i>end</i>') as clean_html from pages join (values {HOSTILE_VALUES}) as v(k, html, element, attribute, threat, clean) on page_id % {len(HOSTILE)} = k",
+)
+def _(spark, d):
+    return H.sanitize_markup(hostile(spark, d), "html").select("page_id", "clean_html")
+
+
+# what is appended to a file: (token found, its text, the rest of what is appended)
+TOKENS = (
+    ("javascript", "/JS (app.alert(1)", ")"), ("open_action", "/OpenAction", ""), ("additional_actions", "/AA <<", " /O 1 0 R >>"),
+    ("uri_action", "/URI (https://x.example)", ""), ("submit_form", "/S /SubmitForm", ""), ("rich_media", "/RichMedia", ""), ("embedded_file", "/EmbeddedFile", ""),
+)
+TOKEN_VALUES = ", ".join(f"({i}, {lit(n)}, {lit(t)}, {lit(r)})" for i, (n, t, r) in enumerate(TOKENS))
+
+
+@query(
+    "T11_scan_tokens",
+    f"""with f as (select doc_id, token, found, concat(case when doc_id % 11 = 0 then 'PDF' else '%PDF-1.4' end, chr(10), text, ' ') as body, rest
+            from documents join (values {TOKEN_VALUES}) as v(k, token, found, rest) on doc_id % {len(TOKENS)} = k),
+        s as (select *, octet_length(encode(body)) + length(found) + length(rest) as size from f)
+        select doc_id, case when size > 20000 or doc_id % 11 = 0 then 'not_scanned' else token end as token,
+          cast(case when size > 20000 or doc_id % 11 = 0 then -1 else octet_length(encode(body)) end as bigint) as offset,
+          case when size > 20000 then 'too_large' when doc_id % 11 = 0 then 'no_header' else found end as found from s""",
+)
 def _(spark, d):
-    tokens = ["/JS (app.alert(1))", "/OpenAction", "/AA << /O 1 0 R >>", "/URI (https://x.example)", "/S /SubmitForm", "/RichMedia", "/EmbeddedFile"]
-    table = F.array(*[F.lit(t) for t in tokens])
-    text = F.concat(F.lit("%PDF-1.4\n"), F.col("text"), F.lit(" "), F.element_at(table, (F.col("doc_id") % len(tokens) + 1).cast("int")))
+    ends = F.array(*(F.lit(t + r) for _, t, r in TOKENS))
+    head = F.when(F.col("doc_id") % 11 == 0, F.lit("PDF\n")).otherwise(F.lit("%PDF-1.4\n"))
+    text = F.concat(head, F.col("text"), F.lit(" "), F.get(ends, (F.col("doc_id") % len(TOKENS)).cast("int")))
     raw = spread(load(spark, d, "documents")).select("doc_id", F.encode(text, "UTF-8").alias("content"))
-    return H.scan_tokens(raw, "doc_id")
+    return H.scan_tokens(raw, "doc_id", max_bytes=20_000)
 
 
 SCRIPTS = """case doc_id % 9 when 0 then ' =cmd|x' when 1 then ' =Exec(1)' when 2 then ' file://a' when 3 then ' JavaScript:1' when 4 then ' run PowerShell'

@@ -18,14 +18,31 @@ class CsvOptions:
     skip_empty_rows: bool = True
 
 
+def _delimiter_class(delimiter: str) -> str:
+    return {"|": r"\|", "\t": r"\t", ".": r"\.", "^": r"\^", "]": r"\]", "\\": r"\\"}.get(delimiter, delimiter)
+
+
+def csv_records(text: Column, delimiter: str = ",") -> Column:
+    """Records of a CSV text. A quoted field may hold line breaks; blank lines are no records.
+
+    The repeats are possessive, which Java runs as loops: a long cell needs no stack.
+    """
+    d = _delimiter_class(delimiter)
+    field = rf'(?:"(?:[^"]++|"")*+(?:"[^{d}\r\n]*+|\z)|[^"{d}\r\n][^{d}\r\n]*+|)'
+    found = F.regexp_extract_all(text, F.lit(rf"({field}(?:{d}{field})*+)(?:\r\n|\n|\r|\z)"), F.lit(1))
+    return F.filter(found, lambda r: F.length(r) > 0)
+
+
 def csv_fields(line: Column, delimiter: str = ",") -> Column:
-    """Fields of one CSV record; a quoted field may hold the delimiter and doubled quotes."""
-    d = {"|": r"\|", "\t": r"\t", ".": r"\."}.get(delimiter, delimiter)
-    cells = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(rf'("(?:[^"]|"")*"|[^{d}]*){d}'), F.lit(1))
+    """Fields of one CSV record; a quoted field may hold the delimiter, line breaks and doubled quotes."""
+    d = _delimiter_class(delimiter)
+    field = rf'"(?:[^"]++|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|"[^{d}]*+|'
+    cells = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(rf"({field}){d}"), F.lit(1))
     return F.transform(
         cells,
         lambda c: F.when(
-            c.rlike('(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+            F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1),
+            F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(c),
     )
 
@@ -33,24 +50,24 @@ def csv_fields(line: Column, delimiter: str = ",") -> Column:
 def read_csv_text(df: DataFrame, key: str, text: str, opts: CsvOptions = CsvOptions()) -> DataFrame:
     """Cells of CSV documents held in a text column: (key, row_index, col_index, column_name, value).
 
-    Records end at line breaks. Short records give fewer cells and long ones unnamed columns. Rows
-    that are empty in every field are skipped. ``max_rows`` keeps the first rows of each document.
+    ``row_index`` numbers all records after the header. Short records give fewer cells and long ones unnamed
+    columns. Records that are empty in every field give no cells. ``max_rows`` reads the first records of each
+    document, empty ones included.
     """
-    lines = F.filter(F.split(F.col(text), "\r\n|\n|\r", -1), lambda s: F.length(s) > 0)
-    staged = df.where(F.col(text).isNotNull()).select(key, lines.alias("__lines"))
+    staged = df.where(F.col(text).isNotNull()).select(key, csv_records(F.col(text), opts.delimiter).alias("__lines"))
     if opts.header:
         names = csv_fields(F.get("__lines", 0), opts.delimiter)
         body = F.when(F.size("__lines") > 1, F.slice("__lines", 2, F.size("__lines"))).otherwise(F.array().cast("array<string>"))
     else:
         names = F.array().cast("array<string>")
         body = F.col("__lines")
+    if opts.max_rows is not None:
+        body = F.slice(body, 1, opts.max_rows)
     rows = F.transform(body, lambda s: csv_fields(s, opts.delimiter))
-    if opts.skip_empty_rows:
-        rows = F.filter(rows, lambda r: F.exists(r, lambda c: F.length(F.trim(c)) > 0))
     capped = staged.select(key, names.alias("__names"), rows.alias("__rows"))
-    if opts.max_rows is not None:
-        capped = capped.withColumn("__rows", F.slice("__rows", 1, opts.max_rows))
     exploded = position_rows(capped, [key, "__names"], F.col("__rows"), "row_index", "__cells")
+    if opts.skip_empty_rows:
+        exploded = exploded.where(F.exists("__cells", lambda c: F.length(c) > 0))
     cells = position_rows(exploded, [key, "__names", "row_index"], F.col("__cells"), "col_index", "value")
     return cells.select(
         key,
@@ -71,20 +88,17 @@ def to_csv_line(columns: list[str], delimiter: str = ",") -> Column:
     return F.concat_ws(delimiter, *[cell(c) for c in columns])
 
 
-def read_json_text(df: DataFrame, col: str, max_mb: float = 10, out: str = "doc") -> DataFrame:
-    """Parse JSON documents within the size limit into VARIANT; the rest is dropped."""
-    small = df.where(F.octet_length(col) <= int(max_mb * 1024 * 1024))
-    return small.withColumn(out, F.try_parse_json(col)).where(F.col(out).isNotNull())
+def read_json_text(df: DataFrame, col: str, max_mb: float = 10, out: str = "doc", status: str = "status") -> DataFrame:
+    """Parse JSON documents into VARIANT. Every row stays; ``status`` is ok, too_large or not_json."""
+    large = F.octet_length(col) > int(max_mb * 1024 * 1024)
+    parsed = df.withColumn(out, F.when(~large, F.try_parse_json(col)))
+    return parsed.withColumn(status, F.when(large, F.lit("too_large")).when(F.col(out).isNull(), F.lit("not_json")).otherwise(F.lit("ok")))
 
 
 def rejected_json_text(df: DataFrame, col: str, max_mb: float = 10) -> DataFrame:
-    """The documents ``read_json_text`` drops, with the reason."""
-    return df.withColumn(
-        "reason",
-        F.when(F.octet_length(col) > int(max_mb * 1024 * 1024), F.lit("too_large")).when(
-            F.try_parse_json(col).isNull(), F.lit("not_json")
-        ),
-    ).where(F.col("reason").isNotNull())
+    """The documents that ``read_json_text`` does not parse, with the reason."""
+    read = read_json_text(df, col, max_mb, "__doc", "reason")
+    return read.where(F.col("reason") != "ok").drop("__doc")
 
 
 def xml_depth(text: Column) -> Column:
@@ -101,6 +115,12 @@ def xml_depth(text: Column) -> Column:
     )
 
 
-def read_xml_text(df: DataFrame, col: str, schema: str, max_depth: int = 100, out: str = "doc") -> DataFrame:
-    """Parse XML documents of a known schema, within a depth limit; malformed ones give null."""
-    return df.where(xml_depth(F.col(col)) <= max_depth).withColumn(out, F.from_xml(col, schema))
+def read_xml_text(df: DataFrame, col: str, schema: str, max_depth: int = 100, out: str = "doc", status: str = "status") -> DataFrame:
+    """Parse XML documents of a known schema. Every row stays; ``status`` is ok, depth_exceeded or malformed."""
+    deep = xml_depth(F.col(col)) > max_depth
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = df.withColumn("__parsed", F.when(~deep, F.from_xml(col, f"{schema}, __bad string", mode)))
+    bad = F.col("__parsed").isNull() | F.col("__parsed.__bad").isNotNull()
+    why = F.when(F.coalesce(deep, F.lit(False)), F.lit("depth_exceeded")).when(bad, F.lit("malformed")).otherwise(F.lit("ok"))
+    staged = parsed.withColumn(status, why)
+    return staged.withColumn(out, F.when(F.col(status) == "ok", F.col("__parsed").dropFields("__bad"))).drop("__parsed")
