@@ -6,9 +6,9 @@ carries a place in its block and a register, and it counts for a text whose weig
 first point of each register is the signature: two texts agree in a register with the probability of
 their weighted Jaccard similarity. Points are drawn in the order of time, and only until every register has one.
 
-Texts are banded by their signatures. In every bucket the smallest text is compared with the others, by the overlap of
-their multisets; texts that are linked already are not compared again, and what is still apart is compared with the next
-smallest texts, until no bucket holds two texts that were neither compared nor linked. No bucket is cut short, and
+Texts are banded by their signatures. In every bucket the text that meets most others is compared with the rest, by the
+overlap of their multisets; texts that are linked already are not compared again, and what is still apart is compared with
+the next ones, until no bucket holds two texts that were neither compared nor linked. No bucket is cut short, and
 none is gathered.
 """
 
@@ -31,7 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 HOT = 256  # comparisons with one text that share a task
-MOST_HEADS = 64  # texts of a bucket that the others are compared with in one round
+MOST_HEADS = 16  # texts of a bucket that the others are compared with in one round
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -156,7 +156,7 @@ def _comparer(size: int, similarity: float):
                     if s >= similarity:
                         found.append((pivot, node, s))
                 else:
-                    raise RuntimeError("a bucket's smallest text is missing")
+                    raise RuntimeError("a pair's first text is missing")
             if found:
                 a, b, s = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "similarity"])
@@ -195,8 +195,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     texts = kept(kept(one).withColumn("node", F.monotonically_increasing_id()))  # numbered once, then read as they are
 
     every = texts.select("node", F.explode("_bands").alias("_bucket"))
-    shared = kept(every.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket"))
-    buckets = kept(every.join(shared, "_bucket"))
+    shared = kept(every.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    met = kept(every.join(shared, "_bucket"))
+    # texts that meet many others come first: the source of a group of copies is closer to them than they are to each other
+    order = met.groupBy("node").agg((-F.sum("_n")).alias("_w"))
+    buckets = kept(met.select("_bucket", "node").join(kept(order), "node"))
     wanted = buckets.select("node").distinct().join(texts.select("node", "_md5", "_doc"), "node")
     have = hashed.select(F.col("_md5"), F.col("_doc"), "_text")
     same = (have["_md5"] == wanted["_md5"]) & have["_doc"].eqNullSafe(wanted["_doc"])
@@ -208,11 +211,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         seen = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = seen.groupBy("_bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
         open_ = kept(seen.join(kept(apart.select("_bucket")), "_bucket"))
-        # the smallest texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
-        order = W.partitionBy("_bucket").orderBy("node")
-        heads = open_.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= heads_each)
-        heads = kept(heads.select("_bucket", F.col("node").alias("pivot"), F.col("root").alias("_proot")))
-        pairs = open_.join(heads, "_bucket").where("node > pivot and root != _proot").select("pivot", "node").distinct()
+        # the first texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
+        first = W.partitionBy("_bucket").orderBy("_w", "node")
+        heads = open_.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= heads_each)
+        heads = kept(heads.select("_bucket", F.col("node").alias("pivot"), F.col("_w").alias("_pw"), F.col("root").alias("_proot")))
+        after = "(_w > _pw or (_w = _pw and node > pivot)) and root != _proot"
+        pairs = open_.join(heads, "_bucket").where(after).select("pivot", "node").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "node"], "left_anti")
         pairs = kept(pairs)
@@ -223,8 +227,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
                 links = found if links is None else kept(links.unionByName(found))
                 roots = kept(components(links))
         used = heads.select("_bucket", F.col("pivot").alias("node"))
-        buckets = kept(open_.select("_bucket", "node").join(used, ["_bucket", "node"], "left_anti"))
-        heads_each = min(8 * heads_each, MOST_HEADS)
+        buckets = kept(open_.select("_bucket", "node", "_w").join(used, ["_bucket", "node"], "left_anti"))
+        heads_each = min(2 * heads_each, MOST_HEADS)
     if links is None:
         links = df.sparkSession.createDataFrame([], "a long, b long, similarity double")
         roots = df.sparkSession.createDataFrame([], "node long, root long")
