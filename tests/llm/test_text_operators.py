@@ -174,7 +174,8 @@ def test_plans_place_every_piece_once_without_gaps(seed):
             assert offset == at
             at += length
         assert at <= 96
-    assert plan.n_sequences <= plan.bound * 1.02 + 1
+    alone = sum(n for length, n in counts.items() if length > 48)  # no two of these share a sequence
+    assert plan.n_sequences <= max(plan.bound, alone) * 1.02 + 1
 
 
 def test_packing_small_cases(spark):

@@ -94,7 +94,7 @@ def _searcher(k: int, trees: int, share: float):
             ids, forest = forests[size]
             queries = np.array([r[2] for r in rows], np.float64)
             found: list[tuple] = []
-            for (key, own, _), q, near in zip(rows, queries, forest.candidates(queries, max(int(share * len(ids)), k + 1)), strict=True):
+            for (key, own, _), q, near in zip(rows, queries, forest.candidates(queries, max(int(share * len(ids)), trees * (k + 1))), strict=True):
                 near = near[ids[near] != own]
                 score = cosines(forest.vectors[near], forest.norms[near], q, float(np.sqrt((q * q).sum())))
                 best = np.lexsort((ids[near], -score))[:k]

@@ -26,7 +26,7 @@ from tidewall.llm import tokens
 from tidewall.session import cut_lineage
 
 CAPACITY = 2048
-ROUNDS = 8
+ROUNDS = 4
 RATE = 2.0  # of the weights' growth with the share not yet covered
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -36,7 +36,7 @@ class LineRules:
     """
 
     chars_per_mark: int = 700
-    heavy_per_word: float = 0.5
+    heavy_per_word: float = 0.4
     short_words: int = 3
     max_loss: float = 0.5
     min_words: int = 20
