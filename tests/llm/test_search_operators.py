@@ -220,6 +220,21 @@ def test_removal_keeps_rows_columns_and_clean_texts(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_texts_of_one_key_are_told_apart(spark):
+    rng = random.Random(21)
+    p = [prose(rng, 60) for _ in range(40)]
+    texts = [f"{i} {prose(rng, 20 + i % 7)} {p[i % 40]} {i}" for i in range(5000)]
+    order = sorted(range(len(texts)), key=lambda i: hashlib.sha256(texts[i].encode()).digest())
+    want = plain_repeats([(n, texts[i]) for n, i in enumerate(order)])
+    got = substrings.repeated_spans(docs(spark, texts + texts[:3], [None] * 5003)).collect()
+    expected = [want[n] for n in range(5000)] + [want[order.index(i)] for i in range(3)]
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(expected)
+    assert {r.doc_id for r in got} == {None}
+    kept = substrings.remove_repeats(docs(spark, texts, [None] * 5000)).collect()
+    digests = {r._row: hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() for r in kept}
+    assert digests == {i: want[n][2] for n, i in enumerate(order)}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "own", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
 

@@ -24,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewall.llm import arrays as A
 from tidewall.llm.store import settled, written
@@ -36,7 +37,6 @@ GRAM = 8
 HOT = 32  # different surroundings of an anchor
 SHARD_WORDS = 100_000  # of reference text, on average
 STREAM_SEGMENTS = 20_000  # streamed against one copy of an automaton
-PLACE = 40  # bits of a word's place; above them are bits of the text's hash, which tell rows of one key apart
 
 
 class SuffixAutomaton:
@@ -117,10 +117,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> It
         yield i, place, g[place], around
 
 
-def _text_tag(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=3).digest(), "big") & 0x7FFFFF
-
-
 def _chunked(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     data, offsets = A.text_buffers(batch.column(column))
     for lo, hi in A.chunks(offsets, most):
@@ -130,21 +126,20 @@ def _chunked(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
 def _finder(length: int, gram: int, full: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column("_doc").to_numpy()
+            docs = batch.column("_t").to_numpy()
             for lo, _, data, offsets in _chunked(batch, "_text"):
                 doc, place, gramhash, around = [], [], [], []
                 for i, p, g, a in anchors(data, offsets, length, gram):
                     if full:
-                        tag = _text_tag(data[offsets[i] : offsets[i + 1]])
                         doc.append(np.full(len(p), docs[lo + i]))
-                        place.append(p + (tag << PLACE))
+                        place.append(p)
                         around.append(a)
                     gramhash.append(g)
                 if not gramhash:
                     continue
                 cols = {"h": np.concatenate(gramhash).view(np.int64)}
                 if full:
-                    cols |= {"c": np.concatenate(around).view(np.int64), "doc": np.concatenate(doc), "place": np.concatenate(place)}
+                    cols |= {"c": np.concatenate(around).view(np.int64), "_t": np.concatenate(doc), "place": np.concatenate(place)}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], names=list(cols))
 
     return find
@@ -167,30 +162,27 @@ def _cutter(length: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            frequent: list[tuple] = []  # texts with hot anchors: document, tag, text, places of the anchors
+            frequent: list[tuple] = []  # texts with hot anchors: document, text, places of the anchors
             docs, texts, lists = (batch.column(c).to_pylist() for c in ("doc", "_text", "_targets"))
             for doc, text, targets in zip(docs, texts, lists, strict=True):
                 raw = text.encode()
                 words = raw.split()
-                tag = _text_tag(np.frombuffer(raw, np.uint8))
-                mine = [t for t in targets or () if t["place"] >> PLACE == tag]
-                if not mine:
-                    out.append((DONE, 0, 0, doc, tag << PLACE, len(words), None, hashlib.sha256(b" ".join(words)).hexdigest()))
+                if not targets:
+                    out.append((DONE, 0, 0, doc, 0, len(words), None, hashlib.sha256(b" ".join(words)).hexdigest()))
                     continue
-                out.append((OPEN, 0, 0, doc, tag << PLACE, len(words), text, None))
-                mask = (1 << PLACE) - 1
+                out.append((OPEN, 0, 0, doc, 0, len(words), text, None))
                 by: dict[tuple, list[int]] = {}
                 hot: list[int] = []
-                for t in mine:
+                for t in targets:
                     if t["shard"] is None:
-                        hot.append(t["place"] & mask)
+                        hot.append(t["place"])
                     else:
-                        by.setdefault((t["role"], t["shard"], t["salts"]), []).append(t["place"] & mask)
+                        by.setdefault((t["role"], t["shard"], t["salts"]), []).append(t["place"])
                 for (role, shard, salts), places in by.items():
                     for lo, hi in _runs(np.unique(places), length - gram, length, len(words)):
-                        out.append((role, shard, salts, doc, (tag << PLACE) | lo, hi - lo, b" ".join(words[lo:hi]).decode(), None))
+                        out.append((role, shard, salts, doc, lo, hi - lo, b" ".join(words[lo:hi]).decode(), None))
                 if hot:
-                    frequent.append((doc, tag, text, hot))
+                    frequent.append((doc, text, hot))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out = []
@@ -212,7 +204,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _windows(frequent: list[tuple], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The windows of hot anchors, with two hashes each (in the columns shard and n_words)."""
-    every, offsets = A.text_buffers(pa.array([f[2] for f in frequent], pa.string()))
+    every, offsets = A.text_buffers(pa.array([f[1] for f in frequent], pa.string()))
     for a, b in A.chunks(offsets, 1_000_000):
         data = every[offsets[a] : offsets[b]]
         starts, ends, first = A.words(data, offsets[a : b + 1] - offsets[a])
@@ -221,7 +213,7 @@ def _windows(frequent: list[tuple], length: int, gram: int) -> Iterator[pa.Recor
         second = A.window_hashes(A.mix(hashes + A.BASE), length).view(np.int64)
         grams = A.window_hashes(hashes, gram)
         at, doc, place = [], [], []
-        for i, (own, tag, _, hot) in enumerate(frequent[a:b]):
+        for i, (own, _, hot) in enumerate(frequent[a:b]):
             lo, hi = int(first[i]), int(first[i + 1])
             g = grams[lo : hi - gram + 1]
             least = np.lib.stride_tricks.sliding_window_view(g, length - gram + 1).argmin(axis=1) + np.arange(hi - lo - length + 1)
@@ -230,7 +222,7 @@ def _windows(frequent: list[tuple], length: int, gram: int) -> Iterator[pa.Recor
             mine = np.flatnonzero(is_hot[least])
             at.append(mine + lo)
             doc.append(np.full(len(mine), own, np.int64))
-            place.append(mine + (tag << PLACE))
+            place.append(mine)
         at = np.concatenate(at)
         n = len(at)
         cols = [
@@ -272,42 +264,54 @@ def _streamer(length: int):
 
 
 def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mask = (1 << PLACE) - 1
     for batch in batches:
         rows = []
-        cols = (batch.column(c).to_pylist() for c in ("doc", "place", "text", "_spans"))
-        for doc, place, text, spans in zip(*cols, strict=True):
+        cols = (batch.column(c).to_pylist() for c in ("doc", "text", "_spans"))
+        for doc, text, spans in zip(*cols, strict=True):
             words = text.encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
             for s in spans or ():
-                if s["lo"] >> PLACE == place >> PLACE:
-                    gone[s["lo"] & mask] += 1
-                    gone[s["hi"] & mask] -= 1
+                gone[s["lo"]] += 1
+                gone[s["hi"]] -= 1
             stay = np.cumsum(gone)[:-1] == 0
             kept = b" ".join(w for w, k in zip(words, stay.tolist(), strict=True) if k)
             cut = np.flatnonzero(np.diff(np.r_[True, stay, True].astype(np.int8)))
             removed = [{"start": int(a), "end": int(b)} for a, b in zip(cut[::2], cut[1::2], strict=True)]
-            rows.append((doc, place, len(words), len(words) - int(stay.sum()), hashlib.sha256(kept).hexdigest(), removed))
+            rows.append((doc, len(words), len(words) - int(stay.sum()), hashlib.sha256(kept).hexdigest(), removed))
         if rows:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc", "place", "n_words", "n_removed", "kept_sha256", "removed"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc", "n_words", "n_removed", "kept_sha256", "removed"])
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """For every row: key, n_words, n_removed, kept_sha256 (of the words that stay, joined by a space), removed (spans of word places).
+def _numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Column]:
+    """The different pairs of key and text: _key, _t (an identity that no two share), _n (rows), doc (a number in the order of key and text hash).
 
-    A word goes if it lies in a window of ``length`` words that also starts earlier: in a row of a smaller key, in the same
-    row before, or, where keys repeat, in a row of the same key whose text has the smaller tag. Rows equal in key and text do not count as
-    earlier than each other. A null key comes before all others. Windows are judged on the input. Words are runs of bytes other than ASCII
-    white space; a null text has none. Texts of fewer words than ``length`` stay whole. Other columns are left out.
+    Also the texts with their _t, one row for each pair, and _t as a column over ``df``. The rows are small: they hold no text.
     """
-    low = F.lit(-(2**63))
-    named = df.select(F.coalesce(F.col(key).cast("long"), low.cast("long")).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    once = named.mapInArrow(_finder(length, gram, False), "h long")
+    spark = df.sparkSession
+    known = F.col(key).cast("long"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    pairs = settled(df.select(known[0].alias("_key"), known[1].alias("_sha")).groupBy("_key", "_sha").agg(F.count("*").alias("_n")))
+    n_pairs, n_rows = pairs.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    salt = 0
+    while pairs.select(F.xxhash64(F.lit(salt), "_key", "_sha").alias("_t")).distinct().count() < n_pairs:
+        salt += 1  # 64 bits that two pairs share would mix them up
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = pairs.withColumn("_t", F.xxhash64(F.lit(salt), "_key", "_sha")).repartitionByRange(n_parts, "_key", "_sha").sortWithinPartitions("_key", "_sha")
+    ids = settled(in_order.select("_key", "_t", "_n", F.monotonically_increasing_id().alias("doc")))
+    t = F.xxhash64(F.lit(salt), *known)
+    texts = df.select(t.alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    if n_pairs < n_rows:  # rows equal in both are worked on once
+        texts = written(texts.groupBy("_t").agg(F.first("_text").alias("_text")), "texts")
+    return ids, texts, t
+
+
+def _spans(ids: DataFrame, named: DataFrame, length: int, gram: int) -> DataFrame:
+    """For every pair of ``_numbered``: _key, _t, _n, n_words, n_removed, kept_sha256, removed."""
+    once = named.select("_t", "_text").mapInArrow(_finder(length, gram, False), "h long")
     twice = settled(once.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"))
-    every = named.mapInArrow(_finder(length, gram, True), "h long, c long, doc long, place long")
-    spots = settled(every.join(twice, "h"))
+    every = named.mapInArrow(_finder(length, gram, True), "h long, c long, _t long, place long")
+    spots = settled(every.join(twice, "h").join(ids.select("_t", "doc"), "_t").drop("_t"))
 
     around = cut_lineage(spots.groupBy("h", "c").agg(F.min(F.struct("doc", "place")).alias("_own")))
     info = around.groupBy("h").agg(F.count("*").alias("_forms"), F.min("_own").alias("_first"))
@@ -320,10 +324,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     load = cut_lineage(load)
     sent = reference.select("doc", "place", shard.alias("shard")).where(F.col("shard").isNotNull()).withColumn("role", F.lit(REFERENCE))
     sent = sent.unionByName(streams.withColumn("role", F.lit(STREAM))).join(load, "shard", "left")
-    targets = settled(sent.groupBy("doc").agg(F.collect_list(F.struct("place", "shard", "salts", "role")).alias("_targets")))
+    targets = sent.groupBy("doc").agg(F.collect_list(F.struct("place", "shard", "salts", "role")).alias("_targets"))
+    targets = settled(ids.select("_t", "doc").join(targets, "doc", "left"))
 
-    texts = named.withColumnRenamed("_doc", "doc")
-    parts = written(texts.join(targets, "doc", "left").select("doc", "_text", "_targets").mapInArrow(_cutter(length, gram), PARTS), "parts")
+    parts = written(named.join(targets, "_t").select("doc", "_text", "_targets").mapInArrow(_cutter(length, gram), PARTS), "parts")
     runs = parts.where(F.col("kind").isin(REFERENCE, STREAM))
     salt = F.explode(F.when(F.col("kind") == REFERENCE, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "place"), F.col("salts")).cast("int"))))
     dealt = runs.select("shard", salt.alias("_salt"), "kind", "doc", "place", "text").repartition("shard", "_salt")
@@ -333,12 +337,27 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     firsts = windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "place")).alias("_own")).select("_own.doc", "_own.place")
     later = windows.join(firsts, ["doc", "place"], "left_anti").select("doc", F.col("place").alias("lo"), (F.col("place") + length).alias("hi"))
     spans = settled(found.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")))
-    open_ = parts.where(F.col("kind") == OPEN).join(spans, "doc", "left").select("doc", "place", "text", "_spans")
+    open_ = parts.where(F.col("kind") == OPEN).join(spans, "doc", "left").select("doc", "text", "_spans")
     removed = "array<struct<start:bigint,end:bigint>>"
-    finished = open_.mapInArrow(_finisher, f"doc long, place long, n_words long, n_removed long, kept_sha256 string, removed {removed}")
-    untouched = parts.where(F.col("kind") == DONE).select("doc", "place", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.array().cast(removed).alias("removed"))
-    whole = finished.unionByName(untouched)
-    return whole.select(F.when(F.col("doc") != low, F.col("doc")).alias(key), "n_words", "n_removed", "kept_sha256", "removed", F.col("place").alias("_tag"))
+    finished = open_.mapInArrow(_finisher, f"doc long, n_words long, n_removed long, kept_sha256 string, removed {removed}")
+    untouched = parts.where(F.col("kind") == DONE).select("doc", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.array().cast(removed).alias("removed"))
+    return finished.unionByName(untouched).join(ids, "doc").drop("doc")
+
+
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """For every row: key, n_words, n_removed, kept_sha256 (of the words that stay, joined by a space), removed (spans of word places).
+
+    A word goes if it lies in a window of ``length`` words that also starts earlier: in a row of a smaller key, in the same
+    row before, or, where keys repeat, in a row of the same key whose text has the smaller SHA-256. Rows equal in key and text do not count as
+    earlier than each other. A null key comes before all others. Windows are judged on the input. Words are runs of bytes other than ASCII
+    white space; a null text has none. Texts of fewer words than ``length`` stay whole. Other columns are left out.
+    """
+    ids, texts, t = _numbered(df, key, text)
+    whole = _spans(ids, texts, length, gram)
+    out = [F.col("_key").alias(key), "n_words", "n_removed", "kept_sha256", "removed"]
+    if ids.where("_n > 1").isEmpty():
+        return whole.select(*out)
+    return df.select(t.alias("_t")).join(whole, "_t").select(*out)
 
 
 def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,39 +374,15 @@ def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], names=["_row", "_text"])
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All rows and columns of ``df``; texts that lose words become their other words joined by a space, the others stay as they are.
 
     See ``repeated_spans`` for what goes and for nulls and repeated keys.
     """
-    spans = repeated_spans(df, key, text, **how).where("n_removed > 0").select(F.col(key).alias("_key"), F.col("kept_sha256").alias("_sha"), F.col("removed").alias("_removed"), F.col("_tag"))
-    spans = cut_lineage(spans.dropDuplicates(["_key", "_tag"]))
-    per_key = spans.groupBy("_key").agg(F.collect_list(F.struct("_tag", "_removed")).alias("_all"))
+    ids, texts, t = _numbered(df, key, text)
+    spans = cut_lineage(_spans(ids, texts, length, gram).where("n_removed > 0").select("_t", F.col("removed").alias("_removed")))
     others = [c for c in df.columns if c != text]
-    named = df.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_text"))
-    joined = named.join(per_key, F.col("_k").eqNullSafe(F.col("_key")), "left")
-    row = named.schema["_row"].dataType
-    return _apply(joined, row, others, text, df.columns)
-
-
-def _apply(joined: DataFrame, row, others: list[str], text: str, columns: list[str]) -> DataFrame:
-    from pyspark.sql import types as T
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def picked():
-            for batch in batches:
-                lists = []
-                for words, every in zip(batch.column("_text").to_pylist(), batch.column("_all").to_pylist(), strict=True):
-                    mine = None
-                    if every:
-                        tag = _text_tag(np.frombuffer((words or "").encode(), np.uint8)) << PLACE
-                        mine = next((e["_removed"] for e in every if e["_tag"] == tag), None)
-                    lists.append(mine)
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(lists, kind)], names=["_row", "_text", "_removed"])
-
-        yield from _keeper(picked())
-
-    out = T.StructType([T.StructField("_row", row), T.StructField("_text", T.StringType())])
-    done = joined.select("_row", "_text", "_all").mapInArrow(own, out)
-    return done.select(*(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns))
+    named = df.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), t.alias("_t"), F.col(text).alias("_text"))
+    row = T.StructType([T.StructField("_row", named.schema["_row"].dataType), T.StructField("_text", T.StringType())])
+    done = named.join(spans, "_t", "left").select("_row", "_text", "_removed").mapInArrow(_keeper, row)
+    return done.select(*(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns))
