@@ -303,6 +303,16 @@ def test_page_languages_use_every_evidence(spark):
     assert language.identify(df.where("false"), model).count() == 0
 
 
+def test_a_late_declaration_counts(spark):
+    model = {x: np.full(language.BUCKETS, -np.log(language.BUCKETS), np.float32) for x in LANGS}
+    late = f"<!-- {'licence ' * 1250} -->"
+    meta = '<meta name=x content="aa"><meta http-equiv="Content-Language" content="bb-XX">'
+    pages = [(0, "https://a.test/", late + "<html class=x lang='cc'><p>1</p>"), (1, "https://b.test/", late + f"<html><head>{meta}</head>"), (2, "https://c.test/", late)]
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert [got[i].declared for i in range(3)] == ["cc", "bb", None]
+    assert language.declared_language("<html " * 200_000 + "<meta http-equiv=content-language " * 20_000) is None
+
+
 def test_hosts_and_domains(spark):
     rows = [("http://A.b.Example.com:80/x", "a.b.example.com", "example.com"), ("https://u:p@news.site.co.uk?q", "news.site.co.uk", "site.co.uk"), ("ftp://localhost/", "localhost", "localhost"), ("mailto:x", None, None), (None, None, None)]
     df = spark.createDataFrame([(r[0],) for r in rows], "url string")

@@ -40,8 +40,11 @@ SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-CONTENT_LANGUAGE = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+OPENING = re.compile(r"<html\b[^>]*", re.I)
+DECLARED = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+META = re.compile(r"<meta\b[^>]*", re.I)
+CONTENT_LANGUAGE = re.compile(r"http-equiv\s*=\s*[\"']?content-language", re.I)
+CONTENT = re.compile(r"(?=content\s*=\s*[\"']?([A-Za-z]{2,3}))", re.I)
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[np.r_[97:123, 128:256]] = np.r_[97:123, 128:256]
 LETTERS[65:91] = np.arange(97, 123)
@@ -53,6 +56,21 @@ def visible_text(page: str) -> str:
     return html_entities.unescape(text) if "&" in text else text
 
 
+def declared_language(page: str) -> str | None:
+    """The language that the markup declares, anywhere in the page: of the first html tag with one, else of a content-language meta tag.
+
+    Every tag is read once, up to its end.
+    """
+    for tag in OPENING.finditer(page):
+        if m := DECLARED.search(tag[0]):
+            return m[1].lower()
+    for tag in META.finditer(page):
+        if m := CONTENT_LANGUAGE.search(tag[0]):
+            if found := CONTENT.findall(tag[0], m.end()):
+                return found[-1].lower()
+    return None
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the four-byte grams of each text over its letters, and where each text's grams start."""
     if not len(data):
@@ -115,10 +133,7 @@ def _reader(model, per_gram: float):
                 total = np.zeros((len(bucket) + 1, table.shape[1]))
                 np.cumsum(table[bucket], axis=0, out=total[1:])
                 scores = (total[starts[1:]] - total[starts[:-1]]) * per_gram
-                declared = []
-                for p in pages:
-                    m = p and (DECLARED.search(p[:5000]) or CONTENT_LANGUAGE.search(p[:5000]))
-                    declared.append(m[1].lower() if m else None)
+                declared = [declared_language(p) if p else None for p in pages]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(declared, pa.string()), pa.array(np.diff(starts)), pa.array(list(scores), pa.list_(pa.float64()))],
                     names=["page_id", "url", "declared", "n_grams", "_text"],
