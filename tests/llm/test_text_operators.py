@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,29 @@ def test_surrogates_keep_type_format_gender_and_coreference(spark):
     assert surrogates._iban_holds(re.search(r"GB[0-9A-Z ]+", new)[0].replace(" ", ""))
 
 
+WIDE = {
+    "phone": ["+33 1 23 45 67 89", "01 23 45 67 89", "+49 30 1234567", "+81 3-1234-5678", "+7 495 123-45-67", "+33 (0)1 23 45 67 89", "(030) 12 34 56 78"],
+    "card": ["2223 0031 2200 3222", "4222222222222", "6304 0001 1234 5678 901"],
+    "token": ["ab1cd2ef3a" * 4],
+    "iban": ["NO93 86 01 11 17 947".replace(" ", "")],
+}
+
+
+def test_number_families_are_found_and_pass_the_gate(spark):
+    for kind, numbers in WIDE.items():
+        for number in numbers:
+            text = f"see {number} there"
+            assert [(text[a:b], k) for a, b, k, _ in surrogates.detect(text)] == [(number, kind)], number
+    words = [w for numbers in WIDE.values() for w in numbers] + TEXT.replace(", ", ". ").split(". ") + ["AB12 CD34 EF56", "x"]
+    gate = pc.match_substring_regex(pa.array(words), surrogates.GATE).to_pylist()
+    assert all(g for g, w in zip(gate, words, strict=True) if surrogates.detect(w))
+    for plain in ("on 05.03.2024 and 05-03-2024", "0.12345678", "4222222222223", "1 2 3 4 5 6 7 8"):
+        assert surrogates.detect(plain) == [], plain
+    texts = [f"call {n} now" for n in WIDE["phone"] + WIDE["card"] + WIDE["token"]]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs(spark, texts)).collect()}
+    assert all(got[i].n_entities == 1 and got[i].text != t and len(got[i].text) == len(t) for i, t in enumerate(texts))
+
+
 def test_permutations_are_one_to_one_and_hang_on_the_key():
     all_ = {surrogates._same_pattern(f"{i:03d}", b"k" * 32) for i in range(1000)}
     assert len(all_) == 1000

@@ -71,7 +71,14 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w.])\+[0-9]{8,14}(?!\w)")),
 )
-GATE = r"@|[0-9]{3}|[0-9]\.[0-9]+\.|AKIA|(?:^|[^\pL\pN])(?i:" + _TITLE + r")\.?[ \x{00a0}]|(?:" + "|".join(n for ns in GIVEN.values() for n in ns.split()) + r")[ \x{00a0}]"
+# looked for where the patterns above find nothing; what is too long or fails its test loses its last groups
+WIDE: tuple[tuple[str, re.Pattern], ...] = (
+    ("card", re.compile(r"(?<![\w.-])(?:[2-68][0-9]{3}(?:[ -]?[0-9]){9,15}|1[0-9]{3}(?:[ -]?[0-9]){11})(?![\w-])")),  # with the Luhn test
+    ("phone", re.compile(r"(?<![\w.])\+[0-9]{1,3}(?:(?:[ .-]?\([0-9]{1,4}\)[ .-]?|[ .-])[0-9]{1,8}){1,7}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w.+-])(?![0-3][0-9]([ .-])[0-3][0-9]\1[0-9]{4}(?![0-9]))(?:\(00?[1-9][0-9]{0,3}\)[ .-]?[0-9]{1,8}|00?[1-9][0-9]{0,3}[ .-][0-9]{1,8})(?:[ .-][0-9]{1,8}){0,6}(?![\w-])")),
+)
+# holds wherever detect() finds something
+GATE = r"@|[0-9]{3}|[0-9]\.[0-9]+\.|AKIA|[0-9a-f]{40}|[A-Z]{2}[0-9]{2}|\+[0-9]|0[1-9]|(?:^|[^\pL\pN])(?i:" + _TITLE + r")\.?[ \x{00a0}]|(?:" + "|".join(n for ns in GIVEN.values() for n in ns.split()) + r")[ \x{00a0}]"
 SPAN = "array<struct<start:int,end:int,kind:string,entity:string>>"
 
 
@@ -113,6 +120,23 @@ def _canonical(kind: str, raw: str) -> str | None:
     return raw
 
 
+def _trimmed(kind: str, raw: str) -> tuple[int, str] | None:
+    """Length and canonical form of the longest run of a match's first groups that is such an entity."""
+    while raw:
+        entity = _canonical(kind, raw)
+        if entity is not None and (kind != "card" or (13 <= len(entity) <= 19 and luhn(entity))):
+            return len(raw), entity
+        raw = raw[: max(raw.rfind(c) for c in " .-") if any(c in raw for c in " .-") else 0]
+    return None
+
+
+def _part_of(kind: str, raw: str, found: tuple) -> bool:
+    """Whether an entity found inside a longer match is a piece of it, not one that stands for itself."""
+    if kind == "card":
+        return found[3] == "phone" or (found[3] == "card" and not luhn(found[4]))
+    return found[3] == "phone" and raw[0] == "+" and not raw.startswith("+1")
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text, in order and without overlap: start, end, kind, canonical form.
 
@@ -124,6 +148,15 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             entity = _canonical(kind, m[0])
             if entity is not None:
                 found.append((m.start(), rank, m.end(), kind, entity))
+    for rank, (kind, pattern) in enumerate(WIDE, len(PATTERNS)):
+        for m in pattern.finditer(text):
+            if not (hit := _trimmed(kind, m[0])):
+                continue
+            lo, hi = m.start(), m.start() + hit[0]
+            over = [f for f in found if f[2] > lo and f[0] < hi]
+            if all(lo <= f[0] and f[2] <= hi and f[2] - f[0] < hi - lo and _part_of(kind, m[0], f) for f in over):
+                found = [f for f in found if f not in over]
+                found.append((lo, rank, hi, kind, hit[1]))
     for m in PERSON.finditer(text):
         gender = GENDER_OF_TITLE.get((m["title"] or "").lower().rstrip(".") , "n") if m["title"] else GENDER_OF_NAME[m["given"].lower()]
         span = m.start("names") if m["title"] else m.start("given")
@@ -132,7 +165,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             own = GENDER_OF_NAME.get(name.lower())
             is_given = len(names) > 1 and i < len(names) - 1
             kind = f"given_{own or gender}" if is_given else "family"
-            found.append((span, len(PATTERNS), span + len(name), f"{kind}_{_script(name)}", name.lower()))
+            found.append((span, len(PATTERNS) + len(WIDE), span + len(name), f"{kind}_{_script(name)}", name.lower()))
             span += len(name) + 1
     found.sort()
     out, free = [], 0
@@ -239,6 +272,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return _walk(step, entity, real) if real(entity) else step(entity)
     if kind == "phone":
         north = lambda x: len(x) == 10 and x[0] in "23456789" and x[3] in "23456789"
+        if entity[0] == "0" and entity[1] != "0":  # a trunk prefix stays one
+            return "0" + _walk(step, entity[1:], lambda x: x[0] != "0")
         return _walk(step, entity, north) if north(entity) else entity[0] + step(entity[1:])
     if kind == "ip":
         octets = [int(o) for o in entity.split(".")]
