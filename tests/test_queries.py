@@ -33,3 +33,10 @@ def test_every_query_is_named_after_the_survey():
     ids = {m.group(1) for m in (re.match(r"([A-Z]\d+)_", n) for n in catalog.QUERIES) if m}
     want = {f"{k}{i}" for k, n in {"S": 12, "P": 19, "K": 6, "F": 9, "A": 21, "L": 15, "U": 15, "I": 16, "T": 31, "N": 17, "C": 7, "X": 10, "E": 6}.items() for i in range(1, n + 1)}
     assert want - ids == set()
+
+
+def test_long_texts_are_scanned_whole(spark, tmp_path):
+    rows = [(i, "word " * 10_000) for i in (0, 1, 11)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.token, r.offset) for r in catalog.QUERIES["T11_scan_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "javascript", 50_010), (1, "open_action", 50_010), (11, "submit_form", 50_010)}

@@ -145,6 +145,19 @@ def _(spark, d):
     return H.scan_tokens(raw, "doc_id", max_bytes=20_000)
 
 
+# T11_scan_tokens and its statement check the status rows; this one scans every text whole, under the default cap
+@query(
+    "T11_scan_whole",
+    f"""select doc_id, token, cast(octet_length(encode(concat('%PDF-1.4', chr(10), text, ' '))) as bigint) as offset, found
+        from documents join (values {TOKEN_VALUES}) as v(k, token, found, rest) on doc_id % {len(TOKENS)} = k""",
+)
+def _(spark, d):
+    ends = F.array(*(F.lit(t + r) for _, t, r in TOKENS))
+    text = F.concat(F.lit("%PDF-1.4\n"), F.col("text"), F.lit(" "), F.get(ends, (F.col("doc_id") % len(TOKENS)).cast("int")))
+    raw = spread(load(spark, d, "documents")).select("doc_id", F.encode(text, "UTF-8").alias("content"))
+    return H.scan_tokens(raw, "doc_id")
+
+
 SCRIPTS = """case doc_id % 9 when 0 then ' =cmd|x' when 1 then ' =Exec(1)' when 2 then ' file://a' when 3 then ' JavaScript:1' when 4 then ' run PowerShell'
   when 5 then ' eval  (x)' when 6 then ' WScript.Shell cmd /C' when 7 then ' document.WRITE' else ' evaluate' end"""
 
