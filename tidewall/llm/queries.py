@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import bagminhash, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
+from tidewall.llm import bagminhash, filter_audit, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
 from tidewall.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,42 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     """The language of every page; the text model is fitted on labelled documents."""
     model = language.fit_text_model(read_table(spark, d, "documents"))
     return language.identify(read_table(spark, d, "pages"), model)
+
+
+AUDIT_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by t) as first_id from d),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    (case when len(words) < 50 then 1 else 0 end)
+    + (case when 100 * len(list_distinct(words)) < 65 * len(words) then 2 else 0 end)
+    + (case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) then 4 else 0 end)
+    + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+    + (case when w.doc_id > first_id then 16 else 0 end) as mask
+  from w left join l on w.doc_id = l.doc_id),
+m as (
+  select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by part, mask),
+c as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 4, 8, 16]) as b),
+o as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from c a, c b, c c, c d, c e where a.b + b.b + c.b + d.b + e.b = 31 and a.b | b.b | c.b | d.b | e.b = 31),
+s as (
+  select filter_order, cast(step as int) as step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+  from o, (select unnest(range(1, 6)) as step))
+select part, filter_order, step,
+  cast(sum(case when mask & (before | bit) = 0 then n else 0 end) as bigint) as kept,
+  cast(sum(case when mask & bit <> 0 and mask & before = 0 then n else 0 end) as bigint) as removed,
+  cast(sum(case when mask & bit <> 0 and mask & before <> 0 then n else 0 end) as bigint) as redundant,
+  cast(sum(case when mask = bit then n else 0 end) as bigint) as unique_fails,
+  cast(sum(case when mask & bit <> 0 and mask & before = 0 then good else 0 end) as bigint) as good_lost,
+  cast(sum(case when mask & bit <> 0 and mask & before = 0 then toxic else 0 end) as bigint) as toxic_lost,
+  cast(sum(case when mask & bit <> 0 then n * (120 // bit_count(mask)) else 0 end) as bigint) as shapley
+from m, s group by part, filter_order, step"""
+
+
+@query("op12_filter_matrix", AUDIT_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, per source."""
+    return filter_audit.audit(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
