@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import bagminhash, filter_audit, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
+from tidewall.llm import bagminhash, digests, filter_audit, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
 from tidewall.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,44 @@ from m, s group by part, filter_order, step"""
 def op12(spark: SparkSession, d: str) -> DataFrame:
     """What five filters remove in each of their 120 orders, per source."""
     return filter_audit.audit(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+DIGEST_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n_chars from documents),
+n as (
+  select *, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as nt,
+    coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as next_id from d),
+e as (select doc_id, next_id, n_chars, t, left(t, n_chars - n_chars // 2) || left(nt, n_chars // 2) as et from n),
+x as (
+  select doc_id, 0 as ed, octet_length(encode(t)) as size, hex(encode(t)) as h from e
+  union all select doc_id, 1, octet_length(encode(et)), hex(encode(et)) from e),
+b as (select doc_id, ed, size, list_transform(regexp_extract_all(h, '..'), lambda y: cast('0x' || y as bigint)) as b from x),
+z as (
+  select doc_id, ed, size,
+    list_transform(list_zip(b, b[2:], b[3:])[:greatest(size - 2, 0)], lambda y: ((((y[1] * 65536 + y[2] * 256 + y[3]) * 2654435761) & 4294967295) >> 24)) as z from b),
+u as (select doc_id, ed, unnest(z) as bucket from z),
+g as (select doc_id, ed, bucket, count(*) as n from u group by all),
+m as (select doc_id, ed, map(list(bucket), list(n)) as m from g group by all),
+c as (
+  select z.doc_id, z.ed, z.size + 1 as size,
+    list_transform(range(0, 256), lambda k: coalesce(m[k], 0)) as c
+  from z left join m on z.doc_id = m.doc_id and z.ed = m.ed),
+q as (select *, list_sort(c)[64] as q1, list_sort(c)[128] as q2, list_sort(c)[192] as q3, length(bin(size)) as o from c),
+p as (
+  select doc_id, ed, 4 * o + (((size << 2) >> (o - 1)) & 3) as len, 16 * q1 // (q3 + 1) as r1, 16 * q2 // (q3 + 1) as r2,
+    list_transform(c, lambda y: (case when y > q3 then 3 when y > q2 then 2 when y > q1 then 1 else 0 end)) as k from q),
+f as (
+  select doc_id, ed, list_concat([len, r1, r2], k) as v,
+    lower(printf('%02x', len) || printf('%x', r1) || printf('%x', r2)
+      || list_aggregate(list_transform(range(0, 128), lambda i: printf('%x', 4 * k[2 * i + 1] + k[2 * i + 2])), 'string_agg', '')) as fp
+  from p)
+select e.doc_id, cast(e.n_chars as bigint) as n_chars, sha256(et) as edited_sha256, a.fp as fingerprint, w.fp as edited_fingerprint,
+  1.0::double - least(list_sum(list_transform(list_zip(a.v, w.v), lambda y: abs(y[1] - y[2]))), 320) / 320::double as near_edited,
+  1.0::double - least(list_sum(list_transform(list_zip(a.v, s.v), lambda y: abs(y[1] - y[2]))), 320) / 320::double as near_next
+from e join f a on a.doc_id = e.doc_id and a.ed = 0 join f w on w.doc_id = e.doc_id and w.ed = 1 join f s on s.doc_id = e.next_id and s.ed = 0"""
+
+
+@query("op13_quartile_digest", DIGEST_SQL)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and how like they are to it and to the next document."""
+    return digests.compare_with_next(read_table(spark, d, "documents"))
