@@ -87,12 +87,12 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words of the texts, and the number of the first word of each text."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words of the texts, and the number of the first word of each text. ``gaps``: bytes in no word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]

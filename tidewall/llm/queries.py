@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import bagminhash, digests, filter_audit, forest, language, nbest, packing, quality, records, shards, substrings, surrogates
+from tidewall.llm import bagminhash, digests, filter_audit, forest, language, lexical, nbest, packing, quality, records, shards, substrings, surrogates
 from tidewall.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,29 @@ from e join f a on a.doc_id = e.doc_id and a.ed = 0 join f w on w.doc_id = e.doc
 def op13(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of every document, its edited text and how like they are to it and to the next document."""
     return digests.compare_with_next(read_table(spark, d, "documents"))
+
+
+RANK_SQL = r"""
+with t as (
+  select doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents where text is not null),
+s as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_terms from t where len(w) > 0),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+u as (select doc_id, len(w) as n, unnest(w) as term from t),
+p as (select doc_id, n, term, count(*) as tf from u where term in (select term from i) group by doc_id, n, term),
+g as (select term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as weight from p, s group by term, n_docs),
+x as (
+  select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+  from i join p using (term) join g using (term), s group by item_id, doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 50"""
+
+
+@query("op11_document_fp_tree", RANK_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical.rank(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), 50)
