@@ -2,8 +2,8 @@
 
 1. Blocks. A task turns the texts of a block into a small matrix in compressed rows: the block's own words, and for each row the
    words it holds and how often.
-2. Dictionary. The distinct words of all blocks get numbers that hold for the whole table, by joins of (block, word); a text is
-   never moved. A block with the numbers of its words is a shard of the matrix.
+2. Dictionary. The distinct words of all blocks meet sorted, which numbers them for the whole table, and every block gets the
+   numbers of its words back; a text is never moved. A block with these numbers is a shard of the matrix.
 3. Row sums are the words of a document, nonzero entries its different words. With the other flags they make a mask per
    document, and everything that is asked of orders of filters follows from the number of documents of each mask.
 """
@@ -17,6 +17,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewall.llm import arrays as A
 from tidewall.llm.store import kept, written
 
-BLOCK = 8_000_000  # bytes of text whose words share a dictionary before there is a global one
+BLOCK = 16_000_000  # bytes of text whose words share a dictionary before there is a global one
 ROW = "doc_id: bigint, part: string, text_id: string, n_upper: int, n_chars: int, n_symbols: int"
 BLOCKS = f"block long, docs array<struct<{ROW}>>, row_start array<int>, col array<int>, times array<int>, word array<binary>"
 SHARDS = f"block long, docs array<struct<{ROW}>>, row_start array<int>, col array<long>, times array<int>"
@@ -91,14 +92,34 @@ def _blocks(most: int):
     return encode
 
 
+def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of sorted words, handed out as lists to the blocks that hold them."""
+    number, last = (TaskContext.get().partitionId() << 33) - 1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column("word")
+        new = np.r_[word[0].as_py() != last, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]
+        ids = number + np.cumsum(new)
+        number, last = int(ids[-1]), word[len(word) - 1].as_py()
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        which, start = np.unique(block[order], return_index=True)
+        start = pa.array(np.r_[start, len(order)], pa.int32())
+        lists = [pa.ListArray.from_arrays(start, pa.array(x[order])) for x in (batch.column("at").to_numpy(), ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(which), *lists], names=["block", "at", "id"])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the global numbers of their words in place of their own."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ids = row.column("ids").flatten().to_numpy(zero_copy_only=False)
+            at, ids = (row.column(c).flatten().flatten().to_numpy(zero_copy_only=False) for c in ("at", "id"))
             col = row.column("col").flatten().to_numpy(zero_copy_only=False)
-            new = pa.array(ids[col] if len(col) else np.zeros(0, np.int64), pa.int64())
+            number = np.empty(len(at), np.int64)
+            number[at] = ids
+            new = pa.array(number[col], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [row.column("block"), row.column("docs"), row.column("row_start"), _listed(new), row.column("times")],
                 names=["block", "docs", "row_start", "col", "times"],
@@ -136,11 +157,16 @@ def document_terms(df: DataFrame, key: str = "doc_id", text: str = "text", part:
     )
     blocks = written(named.mapInArrow(_blocks(block), BLOCKS), "blocks")
     words = blocks.select("block", F.posexplode("word").alias("at", "word"))
-    distinct = kept(words.select("word").distinct(), "words")
-    dictionary = kept(distinct.withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    numbers = words.join(dictionary, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("_ids"))
-    numbered = blocks.drop("word").join(numbers.select("block", F.col("_ids.id").alias("ids")), "block", "left")
-    return numbered.withColumn("ids", F.coalesce("ids", F.array().cast("array<long>"))).mapInArrow(_numbered, SHARDS), dictionary
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_number_words, "block long, at array<int>, id array<long>")
+    numbers = kept(ids.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id")), "numbers")
+    none = F.array()
+    numbered = blocks.drop("word").join(numbers, "block", "left").withColumns(
+        {"at": F.coalesce("at", none.cast("array<array<int>>")), "id": F.coalesce("id", none.cast("array<array<long>>"))}
+    )
+    each = F.explode(F.arrays_zip(F.flatten("at").alias("at"), F.flatten("id").alias("id")))
+    placed = numbers.select("block", each.alias("x")).select("block", "x.at", "x.id")
+    dictionary = placed.join(words, ["block", "at"]).select("word", "id").distinct()
+    return numbered.mapInArrow(_numbered, SHARDS), dictionary
 
 
 def row_counts(shards: DataFrame) -> DataFrame:
