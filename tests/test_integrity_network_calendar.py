@@ -96,6 +96,64 @@ def test_shortest_paths_equal_bfs(spark):
             assert (list(r.hops), r.total_hops, r.status) == (want, len(want) - 1, "ok")
 
 
+@pytest.mark.parametrize("hops", [1, 2, 5])
+def test_paths_from_both_ends_equal_bfs(spark, hops):
+    """Ties go by edge order, here not the order of the nodes; repeated edges, nodes and pairs count once."""
+    rnd = random.Random(40 + hops)
+    links = {(rnd.randrange(60), rnd.randrange(60)): rnd.random() for _ in range(130)}
+    ranked = {e: i for i, e in enumerate(sorted(links, key=links.get))}
+    adj = {}
+    for a, b in sorted(ranked, key=ranked.get):
+        adj.setdefault(a, []).append(b)
+    edges = spark.createDataFrame([(a, b, i) for (a, b), i in ranked.items()] * 2, "from_node bigint, to_node bigint, at bigint")
+    nodes = spark.range(60).withColumnRenamed("id", "node_id")
+    ask = [(rnd.randrange(60), rnd.randrange(62)) for _ in range(300)] + [(7, b) for b in range(60)]
+
+    def first_path(a, b):
+        seen, queue = {a}, deque([[a]])
+        while queue:
+            path = queue.popleft()
+            if path[-1] == b:
+                return path
+            if len(path) <= hops:
+                for n in adj.get(path[-1], []):
+                    if n not in seen:
+                        seen.add(n)
+                        queue.append([*path, n])
+
+    got = N.shortest_path(nodes.union(nodes), edges, spark.createDataFrame(ask, "source bigint, target bigint"), hops, order="at").collect()
+    assert len(got) == len(set(ask))
+    for r in got:
+        want = first_path(r.source, r.target) if r.target < 60 else None
+        assert list(r.hops) == (want or []), (r, want)
+
+
+def test_paths_through_a_hub(spark):
+    """100,000 edges out of one node, which a third of the pairs start from and many paths cross."""
+    n = 100_000
+    out = spark.range(1, n + 1).selectExpr("0L as from_node", "id as to_node")
+    back = spark.range(1, n + 1).where("id % 1000 = 0").selectExpr("id as from_node", "id + 1000000 as to_node")
+    into = spark.range(2_000_000, 2_000_030).selectExpr("id as from_node", "0L as to_node")
+    edges = out.union(back).union(into)
+    nodes = edges.select("from_node").union(edges.select("to_node")).distinct().withColumnRenamed("from_node", "node_id")
+    ask = [(0, 5), (0, 1_001_000), (2_000_003, 1_005_000), (2_000_004, 77), (1_001_000, 0)]
+    got = {(r.source, r.target): list(r.hops) for r in N.shortest_path(nodes, edges, spark.createDataFrame(ask, "source bigint, target bigint"), 3).collect()}
+    assert got == {
+        (0, 5): [0, 5], (0, 1_001_000): [0, 1000, 1_001_000], (2_000_003, 1_005_000): [2_000_003, 0, 5000, 1_005_000], (2_000_004, 77): [2_000_004, 0, 77],
+        (1_001_000, 0): [],
+    }
+
+
+def test_paths_in_empty_tables(spark):
+    none = spark.createDataFrame([], "source bigint, target bigint")
+    nodes, edges = spark.range(3).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0, 1)], "from_node bigint, to_node bigint")
+    assert N.shortest_path(nodes, edges, none, 3).count() == 0
+    ask = spark.createDataFrame([(0, 1), (0, 0), (None, 1)], "source bigint, target bigint")
+    got = N.shortest_path(nodes, edges.where("false"), ask, 3).collect()
+    assert {(r.source, r.target): r.status for r in got} == {(0, 1): "no_path", (0, 0): "ok", (None, 1): "unknown_node"}
+    assert {r.status for r in N.shortest_path(nodes.where("false"), edges, ask, 3).collect()} == {"unknown_node"}
+
+
 def test_hourly_limit(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, a, t0 + dt.timedelta(minutes=20 * i)) for i in range(6) for a in ("two", "free", "unknown")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewall.functions.ordered import (
@@ -17,6 +17,7 @@ from tidewall.functions.ordered import (
 from tidewall.session import cut_lineage
 
 LATENCY_MS_PER_HOP = 10
+HUB_EDGES = 10_000  # edges of a node that share a task
 
 
 def validate_topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,49 +50,105 @@ def ordered_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     return edges.groupBy("from_node", "to_node").agg(F.min(ord_col.cast("bigint")).alias("edge_ord"))
 
 
+def _adjacency(hop: DataFrame) -> DataFrame:
+    """Edges with the number of edges out of and into both of their ends."""
+    out = hop.groupBy("from_node").agg(F.count(F.lit(1)).alias("n"))
+    into = hop.groupBy("to_node").agg(F.count(F.lit(1)).alias("n"))
+    edges = hop.join(out.select("from_node", F.col("n").alias("from_out")), "from_node").join(into.select("to_node", F.col("n").alias("to_in")), "to_node")
+    edges = edges.join(into.select(F.col("to_node").alias("from_node"), F.col("n").alias("from_in")), "from_node", "left")
+    return cut_lineage(edges.join(out.select(F.col("from_node").alias("to_node"), F.col("n").alias("to_out")), "to_node", "left"))
+
+
+class _Ball:
+    """What is reached from one end of the asked pairs, level by level: start, node, ords and hops (both in the order of the path), degree.
+
+    ``rows`` and ``cost`` are the rows of the level and the edges that the next one will meet, null before the first.
+    """
+
+    def __init__(self, starts: DataFrame, edges: DataFrame, forward: bool):
+        self.forward = forward
+        near, far, own, ahead = ("from_node", "to_node", "from_out", "to_out") if forward else ("to_node", "from_node", "to_in", "from_in")
+        self.edges = edges.select(
+            F.col(near).alias("node"), F.col(far).alias("other"), "edge_ord", F.coalesce(ahead, F.lit(0)).alias("next_degree"),
+            F.pmod(F.xxhash64(far), F.ceil(F.col(own) / HUB_EDGES)).alias("salt"),
+        )
+        degree = edges.groupBy(F.col(near).alias("start")).agg(F.min(own).alias("degree"))
+        self.level = starts.distinct().join(degree, "start", "left").select(
+            "start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("ords"),
+            F.array(F.col("start").cast("bigint")).alias("hops"), F.coalesce("degree", F.lit(0)).alias("degree"),
+        )
+        self.reached = self.level.select("start", "node")
+        self.rows = self.cost = None
+
+    def grow(self, open_starts: DataFrame) -> None:
+        """One hop further from the given starts; a node reached before is left out, and of several ways to a node the first by edge order stays."""
+        salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("degree") / HUB_EDGES) - 1))
+        front = self.level.where("degree > 0").join(open_starts.distinct(), "start", "left_semi").withColumn("salt", salts).drop("degree")
+        ords, hops = F.array(F.col("edge_ord")), F.array(F.col("other").cast("bigint"))
+        step = front.join(self.edges, ["node", "salt"]).select(
+            "start", F.col("other").alias("node"), F.col("next_degree").alias("degree"),
+            (F.concat("ords", ords) if self.forward else F.concat(ords, "ords")).alias("ords"),
+            (F.concat("hops", hops) if self.forward else F.concat(hops, "hops")).alias("hops"),
+        )
+        fresh = step.join(self.reached, ["start", "node"], "left_anti")
+        best = fresh.groupBy("start", "node").agg(F.min(F.struct("ords", "hops")).alias("b"), F.min("degree").alias("degree"))
+        seen = Observation()
+        size = best.select("start", "node", "b.ords", "b.hops", "degree").observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("e"))
+        self.level = cut_lineage(size)
+        self.rows, self.cost = seen.get["n"], seen.get["e"]
+        self.reached = self.reached.unionByName(self.level.select("start", "node"))
+
+
+def _with_open(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state of the pairs, kept, and how many of them have no path yet."""
+    seen = Observation()
+    state = cut_lineage(state.observe(seen, F.count_if(F.col("hops").isNull()).alias("n")))
+    return state, seen.get["n"]
+
+
+def _meetings(pairs: DataFrame, ahead: _Ball, back: _Ball, ahead_first: bool) -> DataFrame:
+    """source, target, met (hops) of the pairs whose two levels share a node: the first path by edge order.
+
+    One level is dealt out to the pairs, the other is looked up by start and node.
+    """
+    f = ahead.level.select(F.col("start").alias("source"), "node", F.col("ords").alias("o1"), F.col("hops").alias("h1"))
+    b = back.level.select(F.col("start").alias("target"), "node", F.col("ords").alias("o2"), F.col("hops").alias("h2"))
+    met = pairs.join(f, "source").join(b, ["target", "node"]) if ahead_first else pairs.join(b, "target").join(f, ["source", "node"])
+    whole = met.select("source", "target", F.concat("o1", "o2").alias("ords"), F.concat("h1", F.slice("h2", 2, F.size("h2"))).alias("hops"))
+    return whole.groupBy("source", "target").agg(F.min(F.struct("ords", "hops")).alias("b")).select("source", "target", F.col("b.hops").alias("met"))
+
+
 def shortest_path(
     nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops: int, order: str | None = None
 ) -> DataFrame:
     """Fewest-hop path of each (source, target), at most ``max_hops``; ties go by edge order.
 
-    All sources advance together, one join and one checkpoint per hop. Each (source, node) is reached
-    once: its first path wins and earlier rounds are the visited set, so a round holds at most
-    sources × nodes rows. A source whose targets are all found stops. ``status`` is ok, no_path or
-    unknown_node.
+    Both ends of every asked pair are searched, each one hop at first, then the one whose next step meets fewer edges: a path of n hops
+    is found when the levels n - k from the source and k from the target share a node, so no table of sources and nodes within
+    ``max_hops`` is made. Ends without an open pair stop. The edges of a hub are dealt to several tasks. ``status`` is ok, no_path or
+    unknown_node. Repeated pairs, nodes and edges count once; pairs with a null and empty tables give no path.
     """
-    hop = cut_lineage(ordered_edges(edges, order))
     known = nodes.select(F.col("node_id")).distinct()
     asked = pairs.select("source", "target").distinct()
-    valid = cut_lineage(
-        asked.join(known, asked["source"] == known["node_id"], "left_semi").join(
-            known, F.col("target") == known["node_id"], "left_semi"
-        )
-    )
     none = F.array().cast("array<bigint>")
-    frontier = valid.select("source").distinct().select(
-        "source", F.col("source").alias("node"), F.array(F.col("source").cast("bigint")).alias("hops"), none.alias("ords")
-    )
-    reached = frontier
+    itself = F.when(F.col("source") == F.col("target"), F.array(F.col("source").cast("bigint")))
+    valid = asked.join(known, asked["source"] == known["node_id"], "left_semi").join(known, F.col("target") == known["node_id"], "left_semi")
+    state, left = _with_open(valid.select("source", "target", itself.alias("hops")))
+    open_ = state.where("hops is null")
+    hop = _adjacency(ordered_edges(edges, order))
+    ahead = _Ball(open_.select(F.col("source").alias("start")), hop, True)
+    back = _Ball(open_.select(F.col("target").alias("start")), hop, False)
     for _ in range(max_hops):
-        ends = reached.select("source", F.col("node").alias("target"))
-        open_sources = valid.join(ends, ["source", "target"], "left_anti").select("source").distinct()
-        step = frontier.join(open_sources, "source", "left_semi").join(hop, frontier["node"] == hop["from_node"])
-        fresh = step.select(
-            "source",
-            F.col("to_node").alias("node"),
-            F.array_append("hops", F.col("to_node").cast("bigint")).alias("hops"),
-            F.array_append("ords", F.col("edge_ord")).alias("ords"),
-        ).join(reached.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = cut_lineage(
-            fresh.groupBy("source", "node").agg(F.min(F.struct("ords", "hops")).alias("b")).select("source", "node", "b.hops", "b.ords")
-        )
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    found = valid.join(reached.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops")
-    out = asked.join(found, ["source", "target"], "left").join(
-        valid.withColumn("__valid", F.lit(True)), ["source", "target"], "left"
-    )
+        if not left or ahead.cost == 0 or back.cost == 0:
+            break  # no pair is open, or one end has nowhere to go
+        open_ = state.where("hops is null").select("source", "target")
+        if back.cost is None and ahead.cost is not None or (ahead.cost or 0) > (back.cost or 0):
+            back.grow(open_.select(F.col("target").alias("start")))
+        else:
+            ahead.grow(open_.select(F.col("source").alias("start")))
+        met = _meetings(open_, ahead, back, (ahead.rows or 0) <= (back.rows or 0))
+        state, left = _with_open(state.join(met, ["source", "target"], "left").select("source", "target", F.coalesce("hops", "met").alias("hops")))
+    out = asked.join(state.withColumn("__valid", F.lit(True)), ["source", "target"], "left")
     total = F.size("hops").cast("bigint") - 1
     got = F.col("hops").isNotNull()
     return out.select(
