@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewall.functions.ordered import (
@@ -13,6 +14,7 @@ from tidewall.functions.ordered import (
     with_previous,
     with_running_sum,
 )
+from tidewall.operators import integrity as I
 from tidewall.operators import lifecycle as L
 from tidewall.operators import network as N
 
@@ -97,15 +99,38 @@ def breaker(rs, threshold, cooldown):
     return out
 
 
-def test_breaker_split_and_whole(spark):
-    rows, df = events(spark, seed=9)
+@pytest.mark.parametrize(("keys", "threshold", "cooldown"), [(4, 3, 1800), (1, 2, 90), (40, 1, 6000), (3, 0, 600), (3, 2, 0)])
+def test_breaker_equals_plain_fold(spark, keys, threshold, cooldown):
+    """Also with one key for all rows, and with reports of the same time."""
+    rows, df = events(spark, n=900, keys=keys, seed=9, hot=0.3)
+    rows = [(i, k, t.replace(second=0), ok) for i, k, t, ok in rows]
+    df = spark.createDataFrame(rows, df.schema)
     want = {}
     for rs in by_key(rows).values():
-        want |= breaker(rs, 3, 1800)
-    fold = N.breaker_fold(3, 1800, "ok", "ts")
-    for hot_rows in (10**6, 40):
-        out = fold_in_order(df, ["k"], ["ts", "id"], time_bucket(F.col("ts"), 7200), fold, "state string, failures bigint", hot_rows=hot_rows)
-        assert {r.id: r.state for r in out.collect()} == want
+        want |= breaker(rs, threshold or 10**9, cooldown)
+    out = N.circuit_states(df, "k", ["ts", "id"], "ok", "ts", threshold, cooldown // 3, bucket_seconds=7200).collect()
+    assert {r.id: r.state for r in out} == want
+    for rs in by_key(rows).values():
+        run = 0
+        got = {r.id: r.failures for r in out}
+        for r in rs:
+            run = 0 if r[3] else run + 1
+            assert got[r[0]] == run
+
+
+@pytest.mark.parametrize(("keys", "ttl"), [(1, 60), (1, 4000), (6, 900), (300, 3600), (5, 0)])
+def test_replays_since_accepted_equal_plain_fold(spark, keys, ttl):
+    rows, df = events(spark, n=1500, keys=keys, seed=12, hot=0.2)
+    rows = [(i, None if k == 2 else k, t.replace(second=t.second // 30 * 30), ok) for i, k, t, ok in rows]
+    df = spark.createDataFrame(rows, df.schema)
+    want, since = {}, {}
+    for i, k, t, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = k in since and t - since[k] < dt.timedelta(seconds=ttl)
+        if not want[i]:
+            since[k] = t
+    got = {r.id: r.is_replay for r in I.replays_since_accepted(df, ["k"], "ts", ["ts", "id"], ttl, 1800).collect()}
+    assert got == want
+    assert I.replays_since_accepted(df.where("false"), ["k"], "ts", ["ts", "id"], ttl).count() == 0
 
 
 def test_replay_equals_plain_fold(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewall.session import cut_lineage
@@ -56,19 +56,75 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], values: dict[str
     return _neighbour(df, keys, order, values, bucket, forward=True)
 
 
+def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], bucket: Column, fold: Callable, joint: Callable) -> DataFrame:
+    """Folds the values of all rows up to this one: inside the bucket, and over the buckets before."""
+    cut = df.withColumns({BUCKET: bucket} | {f"__v_{out}": v for out, v in values.items()})
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = cut.select(*cut.columns, *(fold(f"__v_{out}").over(w).alias(f"__part_{out}") for out in values))
+    totals = cut.groupBy(*keys, BUCKET).agg(*(fold(f"__v_{out}").alias(f"__t_{out}") for out in values))
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, BUCKET, F.struct(*(fold(f"__t_{out}").over(before).alias(out) for out in values)).alias("__carry"))
+    joined = _join_carry(inner, carry, keys)
+    return joined.select(*df.columns, *(joint(F.col(f"__part_{out}"), F.col("__carry")[out]).alias(out) for out in values))
+
+
 def with_running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column
 ) -> DataFrame:
     """Add the sum of ``value`` from the first row of the key up to this row."""
+    return _running(df, keys, order, {out: value}, bucket, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
+
+
+def with_running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column) -> DataFrame:
+    """Add the largest ``value`` from the first row of the key up to this row; nulls are passed over."""
+    return _running(df, keys, order, {out: value}, bucket, F.max, F.greatest)
+
+
+def with_next_marked(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column) -> DataFrame:
+    """Add the first ``value`` that is not null from this row of the key on."""
     cut = df.withColumns({BUCKET: bucket, "__v": value})
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = cut.withColumn("__part", F.sum("__v").over(w))
-    sums = cut.groupBy(*keys, BUCKET).agg(F.sum("__v").alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("__carry", F.sum("__sum").over(before)).drop("__sum")
-    return _join_carry(inner, carry, keys).select(
-        *df.columns, (F.col("__part") + F.coalesce("__carry", F.lit(0))).alias(out)
-    )
+    down = [F.col(c).desc() for c in order]
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
+    inner = cut.withColumn("__near", F.last("__v", ignorenulls=True).over(w))
+    place = F.when(F.col("__v").isNotNull(), F.struct(*order))
+    firsts = cut.groupBy(*keys, BUCKET).agg(F.min_by("__v", place).alias("__first"))
+    later = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = firsts.withColumn("__carry", F.last("__first", ignorenulls=True).over(later)).drop("__first")
+    return _join_carry(inner, carry, keys).select(*df.columns, F.coalesce("__near", "__carry").alias(out))
+
+
+def next_after(df: DataFrame, keys: list[str], order: list[str], ts: str, id_col: str, seconds: int, bucket_seconds: int) -> DataFrame:
+    """id_col and ``next_id`` of every row: the first row of its key that lies at least ``seconds`` later (0: the next row)."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    if seconds <= 0:
+        return with_next(df, keys, order, {"next_id": id_col}, time_bucket(F.col(ts), bucket_seconds)).select(id_col, "next_id")
+    slim = df.select(*dict.fromkeys([*keys, *order, id_col]), micros.alias("__t"))
+    ask = slim.withColumns({"__t": F.col("__t") + seconds * 1_000_000, "__row": F.lit(None).cast("bigint")})
+    both = slim.withColumn("__row", F.col(id_col).cast("bigint")).unionByName(ask)  # of one time, the question comes first
+    bucket = F.floor(F.col("__t") / (bucket_seconds * 1_000_000)).cast("bigint")
+    both = both.withColumn("__is_row", F.col("__row").isNotNull())
+    found = with_next_marked(both, keys, ["__t", "__is_row", *order], F.col("__row"), "next_id", bucket)
+    return found.where("not __is_row").select(id_col, "next_id")
+
+
+def reached(jumps: DataFrame, starts: DataFrame) -> DataFrame:
+    """``at`` of all places on the ways from ``starts`` (at) along ``jumps`` (at, to), at most one jump from each place and no way twice to one.
+
+    Jumps double: after k rounds the places up to 2^k jumps away are known and every jump is 2^k long, so rounds are the
+    logarithm of the longest way. Ways that end leave the table; no way is walked by one task.
+    """
+    useful = jumps.where(F.col("to").isNotNull())
+    targets = useful.select(F.col("to").alias("at")).unionByName(starts.select("at")).distinct()
+    seen = Observation()
+    jump = cut_lineage(useful.join(targets, "at", "left_semi").select("at", "to").observe(seen, F.count(F.lit(1)).alias("n")))
+    known = cut_lineage(starts.select("at"))
+    while seen.get["n"]:
+        ahead = cut_lineage(jump.join(known, "at").select(F.col("to").alias("at")))
+        known = known.unionByName(ahead)
+        seen = Observation()
+        twice = jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("__to")), "to").select("at", F.col("__to").alias("to"))
+        jump = cut_lineage(twice.observe(seen, F.count(F.lit(1)).alias("n")))
+    return known
 
 
 def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, out: str, id_col: str) -> DataFrame:

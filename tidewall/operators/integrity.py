@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.functions.ordered import time_bucket, with_previous
+from tidewall.functions.ordered import next_after, reached, time_bucket, with_previous
 from tidewall.functions.rows import position_rows
+from tidewall.session import cut_lineage
 
 CHUNKS_PER_BUCKET = 1024
 
@@ -279,20 +280,16 @@ def replays(events: DataFrame, keys: list[str], ts: str, order: list[str], ttl_s
     return prev.where(gap < ttl_seconds * 1_000_000)
 
 
-def replay_fold(ttl_seconds: int, ts: str):
-    """Exact form for ``fold_in_order``: the TTL runs from the last accepted sighting."""
-
-    def fold(state, rows):
-        import pandas as pd
-
-        since = float(state) if state else None
-        flags = []
-        for t in rows[ts].astype("datetime64[us]").astype("int64"):
-            replay = since is not None and t - since < ttl_seconds * 1_000_000
-            if not replay:
-                since = t
-            flags.append(replay)
-        return ("" if since is None else repr(int(since))), {"is_replay": pd.array(flags, dtype="boolean")}
-
-    return fold
+def replays_since_accepted(events: DataFrame, keys: list[str], ts: str, order: list[str], ttl_seconds: int, bucket_seconds: int = 86400) -> DataFrame:
+    """Adds is_replay (exact form): the TTL runs from the last sighting that was none.
 
+    The sightings accepted are those reached from a key's first one, each by a jump to the first that lies a TTL later; jumps
+    are doubled, so one key may hold all rows. A null key is a key of its own; a row without a time is no replay and accepts nothing.
+    """
+    rows = cut_lineage(events.withColumn("__id", F.monotonically_increasing_id()))
+    timed = rows.where(F.col(ts).isNotNull())
+    jumps = next_after(timed, keys, order, ts, "__id", ttl_seconds, max(bucket_seconds, ttl_seconds))
+    starts = timed.groupBy(*keys).agg(F.min_by("__id", F.struct(*order)).alias("at"))
+    accepted = reached(jumps.select(F.col("__id").alias("at"), F.col("next_id").alias("to")), starts)
+    marked = rows.join(accepted.select(F.col("at").alias("__id"), F.lit(False).alias("__new")), "__id", "left")
+    return marked.select(*events.columns, F.coalesce("__new", F.col(ts).isNotNull()).alias("is_replay"))

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tidewall.functions.ordered import (
     fold_in_order,
+    next_after,
+    reached,
     time_bucket,
     trailing_count,
+    with_next_marked,
     with_previous,
+    with_running_max,
     with_running_sum,
 )
 from tidewall.session import cut_lineage
@@ -270,34 +274,6 @@ def healthy_nodes(nodes: DataFrame, breakers: DataFrame) -> DataFrame:
 
 
 # ---- breakers and limits: ordered folds ----
-def breaker_fold(threshold: int, cooldown_seconds: int, ok: str, ts: str):
-    """Fold for ``fold_in_order``: consecutive failures open a breaker, cooldown half-opens it."""
-    cooldown = cooldown_seconds * 1_000_000
-
-    def fold(state, rows):
-        failures, mode, since = json.loads(state) if state else (0, "closed", 0)
-        seen = []
-        times = rows[ts].astype("datetime64[us]").astype("int64")
-        for t, good in zip(times, rows[ok]):
-            if mode == "open" and t - since >= cooldown:
-                mode = "half_open"
-            if good:
-                failures = 0
-                if mode == "half_open":
-                    mode = "closed"
-            else:
-                failures += 1
-                if mode == "half_open" or (threshold > 0 and failures >= threshold and mode == "closed"):
-                    mode, since = "open", int(t)
-            seen.append((mode, failures))
-        return json.dumps([failures, mode, since if mode == "open" else 0]), {
-            "state": [m for m, _ in seen],
-            "failures": [f for _, f in seen],
-        }
-
-    return fold
-
-
 def circuit_states(
     events: DataFrame,
     node: str,
@@ -308,10 +284,33 @@ def circuit_states(
     heartbeat_seconds: int = 30,
     bucket_seconds: int = 86400,
 ) -> DataFrame:
-    """Breaker state after each report: open after ``threshold`` failures in a row, half-open after
-    three heartbeats, closed by a success then, reopened by a failure."""
-    fold = breaker_fold(threshold, 3 * heartbeat_seconds, ok, ts)
-    return fold_in_order(events, [node], order, time_bucket(F.col(ts), bucket_seconds), fold, "state string, failures bigint")
+    """Adds state and failures after each report: open after ``threshold`` failures in a row, half-open after
+    three heartbeats, closed by a success then, reopened by a failure.
+
+    Where a breaker opens again follows from where it opened: the first report after the heartbeats reopens it if it failed, else
+    the next run of ``threshold`` failures does. Every failure therefore has at most one successor, and the openings are those reached from a
+    node's first run; jumps are doubled, so one node may hold all reports. A null node is a node of its own, a null outcome is a failure, and
+    ``ts`` must not be null. A threshold of 0 never opens.
+    """
+    bucket = time_bucket(F.col(ts), bucket_seconds)
+    cooldown = 3 * heartbeat_seconds
+    good = F.coalesce(F.col(ok), F.lit(False))
+    base = cut_lineage(events.withColumn("__id", F.monotonically_increasing_id()))
+    rows = with_running_sum(base, [node], order, F.when(good, F.lit(0)).otherwise(F.lit(1)), "__bad", bucket)
+    rows = with_running_max(rows, [node], order, F.when(good, F.col("__bad")), "__before", bucket)
+    rows = rows.withColumn("failures", (F.col("__bad") - F.coalesce("__before", F.lit(0))).cast("bigint")).drop("__bad", "__before")
+    opens = F.when(F.col("failures") == (threshold if threshold > 0 else -1), F.col("__id"))
+    rows = cut_lineage(with_next_marked(rows, [node], order, opens, "__opens", bucket))
+    after = next_after(rows, [node], order, ts, "__id", cooldown, max(bucket_seconds, cooldown))
+    tried = rows.select(F.col("__id").alias("next_id"), F.when(good, F.col("__opens")).otherwise(F.col("__id")).alias("to"))
+    jumps = rows.where(~good).select("__id").join(after, "__id").join(tried, "next_id").select(F.col("__id").alias("at"), "to")
+    firsts = rows.where(F.col("__opens") == F.col("__id")).groupBy(node).agg(F.min_by("__id", F.struct(*order)).alias("at"))
+    openings = reached(jumps, firsts).select(F.col("at").alias("__id"), F.lit(True).alias("__opening"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    marked = rows.drop("__opens").join(openings, "__id", "left").withColumn("__t", micros)
+    since = with_running_max(marked, [node], order, F.when(F.col("__opening"), F.col("__t")), "__since", bucket)
+    open_ = F.coalesce(F.col("__opening") | (F.col("__t") - F.col("__since") < cooldown * 1_000_000), F.lit(False))
+    return since.select(*events.columns, F.when(open_, F.lit("open")).otherwise(F.lit("closed")).alias("state"), "failures")
 
 
 def limit_fold(limit_col: str, window_seconds: int, ts: str, zero_is_unlimited: bool = False):

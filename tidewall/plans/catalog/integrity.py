@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewall.functions.ordered import fold_in_order, time_bucket
 from tidewall.operators import integrity as I
 from tidewall.plans.catalog import query
 from tidewall.plans.views import load
@@ -240,5 +239,4 @@ def _(spark, d):
 )
 def _(spark, d):
     e = load(spark, d, "events").select("event_id", "user_id", "ts")
-    out = fold_in_order(e, ["user_id"], ["ts", "event_id"], time_bucket(F.col("ts"), 5 * 86400), I.replay_fold(6 * 3600, "ts"), "is_replay boolean")
-    return out.select("event_id", "is_replay")
+    return I.replays_since_accepted(e, ["user_id"], "ts", ["ts", "event_id"], 6 * 3600, 5 * 86400).select("event_id", "is_replay")

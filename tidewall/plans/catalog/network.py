@@ -150,6 +150,23 @@ def _(spark, d):
     return out.select("event_id", "state", "failures")
 
 
+@query(
+    "N9_circuit_users",
+    """with recursive e as (select event_id, user_id as node_id, ts, event_type not in ('error', 'view') as ok, row_number() over (partition by user_id order by ts, event_id) as n from events),
+       w as (select node_id, cast(0 as bigint) as n, cast(null as bigint) as event_id, 0 as f, 'closed' as m, timestamp '2000-01-01' as since from (select distinct node_id from e) x
+         union all
+         select e.node_id, e.n, e.event_id, case when e.ok then 0 else w.f + 1 end,
+           case when e.ok then case when w.m = 'open' and e.ts - w.since < interval 90 minutes then 'open' else 'closed' end
+             when w.m = 'open' then 'open' when w.f + 1 >= 3 then 'open' else 'closed' end,
+           case when not e.ok and ((w.m = 'open' and e.ts - w.since >= interval 90 minutes) or (w.m = 'closed' and w.f + 1 >= 3)) then e.ts else w.since end
+         from w join e on e.node_id = w.node_id and e.n = w.n + 1)
+       select event_id, m as state, cast(f as bigint) as failures from w where n > 0""",
+)
+def _(spark, d):
+    e = load(spark, d, "events").selectExpr("event_id", "user_id", "ts", "event_type not in ('error', 'view') as ok")
+    return N.circuit_states(e, "user_id", ORDER, "ok", "ts", threshold=3, heartbeat_seconds=1800).select("event_id", "state", "failures")
+
+
 @query(
     "N10_failure_runs",
     """with e as (select event_id, user_id % 25 as node_id, ts, event_type not in ('error', 'view') as ok from events),
