@@ -126,6 +126,10 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _row_counts(_numbered(batches))
+
+
 def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row sums and nonzero entries of every row of the shards."""
     for batch in batches:
@@ -141,15 +145,8 @@ def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def document_terms(df: DataFrame, key: str = "doc_id", text: str = "text", part: str | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix of all texts: (shards, dictionary).
-
-    ``shards``: block, docs (key, part, SHA-256 of the text and counts of characters, one entry per row of the shard),
-    row_start, col (numbers of words), times: compressed rows. ``dictionary``: word (UTF-8), id.
-    Words are runs without ASCII white space, case kept. A null text is empty; empty texts are rows without entries. Repeated rows are
-    rows of their own, null and repeated keys stay. A shard holds ``block`` bytes of text, or one longer text. Other columns of ``df``
-    are not read, so none can clash. An empty table gives no shard and no word.
-    """
+def _matrix(df: DataFrame, key: str, text: str, part: str | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks beside the numbers of their words (at, id), and the dictionary."""
     own = F.coalesce(F.col(text), F.lit(""))
     named = df.select(
         F.col(key).cast("long").alias("doc_id"), (F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")).alias("part"),
@@ -165,7 +162,19 @@ def document_terms(df: DataFrame, key: str = "doc_id", text: str = "text", part:
     )
     each = F.explode(F.arrays_zip(F.flatten("at").alias("at"), F.flatten("id").alias("id")))
     placed = numbers.select("block", each.alias("x")).select("block", "x.at", "x.id")
-    dictionary = placed.join(words, ["block", "at"]).select("word", "id").distinct()
+    return numbered, placed.join(words, ["block", "at"]).select("word", "id").distinct()
+
+
+def document_terms(df: DataFrame, key: str = "doc_id", text: str = "text", part: str | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The document-term matrix of all texts: (shards, dictionary).
+
+    ``shards``: block, docs (key, part, SHA-256 of the text and counts of characters, one entry per row of the shard),
+    row_start, col (numbers of words), times: compressed rows. ``dictionary``: word (UTF-8), id.
+    Words are runs without ASCII white space, case kept. A null text is empty; empty texts are rows without entries. Repeated rows are
+    rows of their own, null and repeated keys stay. A shard holds ``block`` bytes of text, or one longer text. Other columns of ``df``
+    are not read, so none can clash. An empty table gives no shard and no word.
+    """
+    numbered, dictionary = _matrix(df, key, text, part, block)
     return numbered.mapInArrow(_numbered, SHARDS), dictionary
 
 
@@ -189,8 +198,8 @@ def flagged(df: DataFrame, key: str = "doc_id", text: str = "text", part: str =
 
     Nulls, repeats and empty tables as in ``document_terms`` and ``repeats_of_earlier``; a null part is the empty one.
     """
-    shards, _ = document_terms(df, key, text, part, block)
-    rows = repeats_of_earlier(kept(row_counts(shards), "rows"))
+    numbered, _ = _matrix(df, key, text, part, block)
+    rows = repeats_of_earlier(kept(numbered.mapInArrow(_counted, COUNTS), "rows"))  # shards and their sums in one task
     return rows.select(
         "doc_id", "part",
         (F.col("n_words") < MIN_WORDS).alias("A"),
