@@ -93,3 +93,20 @@ def test_an_empty_table_goes_through(spark):
         assert docs.count() == 0
         if "piece" not in docs.columns:
             docs = spark.createDataFrame([], docs.schema)
+
+
+def test_columns_of_the_caller_pass_every_stage(spark):
+    """Names that the operators use themselves, repeated rows, and null keys and texts."""
+    names = ["doc_id", "n_words", "text", "kept", "clean_text", "n_entities", "_row", "root", "class_id", "removed", "n_chars"]
+    rng = random.Random(5)
+    one, two = (f"{prose(rng, 60)} jo.doe@mail.example.com {prose(rng, 30)}." for _ in range(2))
+    rows = [(i, f"mine{i}", t, "k", "c", 99, "r", "o", "cl", "re", len(t or "")) for i, t in [(1, one), (2, two), (None, prose(rng, 50) + "."), (4, None), (5, one), (5, one)]]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n in ('doc_id', 'n_entities', 'n_chars') else 'string'}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == names
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 2, None}
+    assert all((r.n_words, r.n_entities, r._row, r.removed) == (f"mine{1 if k == 1 else 2}" if k else "mineNone", 99, "r", "re") for k, r in got.items())
+    assert all("jo.doe@" not in r.text and r.n_chars == len(r.text) for r in got.values())
