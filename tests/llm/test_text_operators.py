@@ -324,3 +324,55 @@ def test_n_best_of_a_table(spark):
     back = nbest.decode(nbest.n_best(docs(spark, ODD), 1).select("doc_id", F.get("ids", F.lit(0)).alias("ids"))).collect()
     assert all(r.text == (ODD[r.doc_id] or "") for r in back)
     assert nbest.n_best(docs(spark, []), 3).count() == 0
+
+
+NAMES = [
+    ("Mr McDonald came", "Mr ", " came"), ("Dr Jean-Luc Picard's ship", "Dr ", "'s ship"), ("Mr Smith-Jones.", "Mr ", "."), ("Mary-Ann Smith went", "", " went"),
+    ("Mrs O'Brien, and", "Mrs ", ", and"), ("Mr Smith's house", "Mr ", "'s house"), ("James O’Neil", "", ""), ("Dr. Иванов-Петров пришёл", "Dr. ", " пришёл"), ("Mary Smithé ok", "", " ok"),
+]
+
+
+@pytest.mark.parametrize(("text", "before", "after"), NAMES)
+def test_replaced_names_leave_no_remainder(text, before, after):
+    spans = surrogates.detect(text)
+    assert spans[0][0] == len(before) and spans[-1][1] == len(text) - len(after)
+    assert all(text[a[1] : b[0]] == " " for a, b in zip(spans, spans[1:]))
+    assert pc.match_substring_regex(pa.array([text]), surrogates.GATE)[0].as_py()
+    assert surrogates.detect("Mr McDonaldX9 no") == []
+
+
+def test_ipv6_addresses_keep_their_form():
+    rng = random.Random(6)
+    texts = ["2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a"]
+    texts += [":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)) for _ in range(50)]
+    seen = set()
+    for t in texts:
+        (a, b, kind, entity), = surrogates.detect(f"from {t}, at 10:30:22")
+        new = surrogates.surrogate(kind, entity)
+        shown = surrogates.formatted(t, kind, entity, new)
+        assert (a, b, kind) == (5, 5 + len(t), "ip6")
+        assert shown.split(":")[0].lower() == t.split(":")[0].lower() and ("::" in shown) == ("::" in t) and shown.isupper() == t.isupper() and shown != t
+        seen.add(new)
+    assert len(seen) == len(texts)
+    assert surrogates.detect("std::vector abc::def ::1 12:30:45 a::b") == []
+
+
+def test_detection_finds_what_is_planted():
+    """Entities at random places of random prose are found where they are, and nothing else is."""
+    rng = random.Random(77)
+    kinds = {
+        "email": lambda: f"u{rng.randrange(10**6)}.x@mail{rng.randrange(99)}.example.com", "ssn": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), "key": lambda: "AKIA" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(16)),
+        "phone": lambda: f"+1 (415) 555-{rng.randrange(1000, 9999)}",
+    }
+    for _ in range(300):
+        words = [rng.choice(["the", "of", "an", "it", "words", "near", "day."]) for _ in range(rng.randint(0, 30))]
+        want, text = [], ""
+        for w in [*words, None]:
+            if rng.random() < 0.15:
+                kind = rng.choice(list(kinds))
+                value = kinds[kind]()
+                want.append((len(text), len(text) + len(value), kind))
+                text += value + " "
+            text += f"{w} " if w else ""
+        assert [x[:3] for x in surrogates.detect(text)] == want, text

@@ -58,15 +58,20 @@ SYLLABLES = {
 
 GENDER_OF_TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 GENDER_OF_NAME = {n.lower(): g for (_, g), ns in GIVEN.items() for n in ns.split()}
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωάέήίόύώς]+"
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", "a-zß-öø-ÿа-яёα-ωάέήίόύώς"
+_INNER = rf"(?:(?!['’]s(?!\w))['’-]?[{_UP}]?[{_LOW}]++)"  # McDonald, O'Brien, Jean-Luc; an 's at the end is none of the name
+_END = r"(?!\w|-\w|['’](?!s(?!\w))\w)"
+_CAP = rf"[{_UP}]{_INNER}++{_END}"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
-PERSON = re.compile(rf"(?<!\w)(?:(?P<title>(?i:{_TITLE}))\.?[  ])(?P<names>{_CAP}(?:[  ]{_CAP}){{0,2}})|(?<!\w)(?P<given>{'|'.join(n for ns in GIVEN.values() for n in ns.split())})[  ](?P<family>{_CAP})(?!\w)")
+_GIVEN = "|".join(sorted((n for ns in GIVEN.values() for n in ns.split()), key=len, reverse=True))
+PERSON = re.compile(rf"(?<!\w)(?:(?P<title>(?i:{_TITLE}))\.?[  ])(?P<names>{_CAP}(?:[  ]{_CAP}){{0,2}})|(?<!\w)(?P<given>(?:{_GIVEN})(?:-[{_UP}][{_LOW}]++)?)[  ](?P<family>{_CAP})")
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("email", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")),
     ("key", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("token", re.compile(r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,39}[a-f])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{40}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])")),
+    ("ip6", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.[0-9])")),
     ("card", re.compile(r"(?<![\w.-])[3-6][0-9]{3}(?:(?P<s>[ -]?)[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}|[ -]?[0-9]{6}[ -]?[0-9]{5})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w.])\+[0-9]{8,14}(?!\w)")),
@@ -78,7 +83,7 @@ WIDE: tuple[tuple[str, re.Pattern], ...] = (
     ("phone", re.compile(r"(?<![\w.+-])(?![0-3][0-9]([ .-])[0-3][0-9]\1[0-9]{4}(?![0-9]))(?:\(00?[1-9][0-9]{0,3}\)[ .-]?[0-9]{1,8}|00?[1-9][0-9]{0,3}[ .-][0-9]{1,8})(?:[ .-][0-9]{1,8}){0,6}(?![\w-])")),
 )
 # holds wherever detect() finds something
-GATE = r"@|[0-9]{3}|[0-9]\.[0-9]+\.|AKIA|[0-9a-f]{40}|[A-Z]{2}[0-9]{2}|\+[0-9]|0[1-9]|(?:^|[^\pL\pN])(?i:" + _TITLE + r")\.?[ \x{00a0}]|(?:" + "|".join(n for ns in GIVEN.values() for n in ns.split()) + r")[ \x{00a0}]"
+GATE = r"@|[0-9]{3}|[0-9]\.[0-9]+\.|:[0-9A-Fa-f]{0,4}:|AKIA|[0-9a-f]{40}|[A-Z]{2}[0-9]{2}|\+[0-9]|0[1-9]|(?:^|[^\pL\pN])(?i:" + _TITLE + r")\.?[ \x{00a0}]|(?:" + _GIVEN + r")[ \x{00a0}-]"
 SPAN = "array<struct<start:int,end:int,kind:string,entity:string>>"
 
 
@@ -98,6 +103,15 @@ def _iban_holds(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ip6(raw: str) -> str | None:
+    """An address in full, if it is one and not a word pair that happens to be spelt in a to f."""
+    try:
+        address = ipaddress.IPv6Address(raw)
+    except ValueError:
+        return None
+    return None if address.is_loopback or address.is_unspecified or not any(c.isdigit() for c in raw) else address.exploded
+
+
 def _script(name: str) -> str:
     c = name[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -114,6 +128,8 @@ def _canonical(kind: str, raw: str) -> str | None:
         if not 7 <= len(digits) <= 15:
             return None
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
+    if kind == "ip6":
+        return _ip6(raw)
     if kind == "iban":
         plain = raw.replace(" ", "")
         return plain if 15 <= len(plain) <= 34 and _iban_holds(plain) else None
@@ -158,11 +174,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found = [f for f in found if f not in over]
                 found.append((lo, rank, hi, kind, hit[1]))
     for m in PERSON.finditer(text):
-        gender = GENDER_OF_TITLE.get((m["title"] or "").lower().rstrip(".") , "n") if m["title"] else GENDER_OF_NAME[m["given"].lower()]
+        gender = GENDER_OF_TITLE.get((m["title"] or "").lower().rstrip(".") , "n") if m["title"] else GENDER_OF_NAME[m["given"].split("-")[0].lower()]
         span = m.start("names") if m["title"] else m.start("given")
         names = re.split("[  ]", m["names"]) if m["title"] else [m["given"], m["family"]]
         for i, name in enumerate(names):
-            own = GENDER_OF_NAME.get(name.lower())
+            own = GENDER_OF_NAME.get(name.split("-")[0].lower())
             is_given = len(names) > 1 and i < len(names) - 1
             kind = f"given_{own or gender}" if is_given else "family"
             found.append((span, len(PATTERNS) + len(WIDE), span + len(name), f"{kind}_{_script(name)}", name.lower()))
@@ -282,6 +298,13 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         perm = Permutation([256] * (4 - fixed), tweak)
         move = lambda s: ".".join(map(str, octets[:fixed] + perm([int(o) for o in s.split(".")][fixed:])))
         return _walk(move, entity, lambda x: _ip_class(x) == own)
+    if kind == "ip6":  # the first group says what kind of address it is, and groups of zeros stay
+        groups = entity.split(":")
+        own = [i for i in range(1, 8) if groups[i] != "0000"]
+        moved = _same_pattern("".join(groups[i] for i in own), tweak, ("0123456789abcdef",))
+        for k, i in enumerate(own):
+            groups[i] = moved[4 * k : 4 * k + 4]
+        return ":".join(groups)
     if kind == "iban":
         body = step(entity[4:])
         for check in range(2, 99):
@@ -311,6 +334,9 @@ def formatted(raw: str, kind: str, entity: str, new: str) -> str:
         if raw.islower():
             return new
         return "".join(n.upper() if r.isupper() else n for r, n in zip(raw, new, strict=True))
+    if kind == "ip6":
+        shown = new if len(raw) == len(new) else ipaddress.IPv6Address(new).compressed
+        return shown.upper() if raw.isupper() else shown
     if kind.startswith(("given", "family")):
         return new.upper() if raw.isupper() else new.capitalize()
     return new
