@@ -209,6 +209,25 @@ def day_digest(hashed: DataFrame) -> DataFrame:
     )
 
 
+def day_roots(hashed: DataFrame, digits: int = 5, col: str = "link_hash") -> DataFrame:
+    """One row per day: events and the root of a hash tree over its links, whatever their order.
+
+    Leaves hold the links that begin with the same ``digits`` hex digits, sorted, each different one with its number; a node is the SHA-256 of the up to
+    sixteen hashes under it. Every change of a link changes the root, and no task holds more than a leaf; choose
+    ``digits`` so that 16^digits leaves split a day finely enough.
+    """
+    once = hashed.groupBy("event_date", F.col(col).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    item = F.concat_ws("*", "__h", F.col("__n").cast("string"))
+    level = once.groupBy("event_date", F.substring("__h", 1, digits).alias("__p")).agg(
+        F.sum("__n").alias("events"), F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ","), 256).alias("__h")
+    )
+    for d in range(digits - 1, -1, -1):
+        under = F.array_sort(F.collect_list(F.struct("__p", "__h")))
+        joint = F.sha2(F.array_join(F.transform(under, lambda x: x["__h"]), ","), 256)
+        level = level.groupBy("event_date", F.substring("__p", 1, d).alias("__up")).agg(F.sum("events").alias("events"), joint.alias("__h")).withColumnRenamed("__up", "__p")
+    return level.select("event_date", "events", F.col("__h").alias("root"))
+
+
 def custom_fields(df: DataFrame, col: str = "custom_fields") -> DataFrame:
     """Events and distinct values per custom field."""
     pairs = df.select(F.explode(col).alias("field", "value")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))

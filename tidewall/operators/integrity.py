@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.functions.ordered import next_after, reached, time_bucket, with_previous
+from tidewall.functions.ordered import next_after, reached, time_bucket, with_previous, with_running_sum
 from tidewall.functions.rows import position_rows
 from tidewall.session import cut_lineage
 
 CHUNKS_PER_BUCKET = 1024
+FANOUT = 256  # nodes under one node of a hash tree
 
 
 def content_hash(col: Column, algo: str = "sha256") -> Column:
@@ -174,8 +175,8 @@ def reassemble(
     """Content of each file from its chunks in order, checked against the file's hash.
 
     A file is gathered only when it fits a cell: repeats of a chunk are dropped and sizes added up
-    first. A larger file comes back as too_large without content; its chunks are checked one by one
-    with ``verify_chunks``.
+    first. A larger file comes back as too_large without content; ``verified_pages`` checks files of any size
+    against the root of their hash tree and hands on their pages.
     """
     once = chunks.groupBy(key, "chunk_index").agg(F.min("data").alias("data"))
     sizes = once.groupBy(key).agg(
@@ -198,6 +199,49 @@ def reassemble(
     )
 
 
+def merkle_roots(chunks: DataFrame, key: str, data: str = "data", fanout: int = FANOUT) -> DataFrame:
+    """One row per file: pages, total_size and the root of its hash tree.
+
+    A leaf is the SHA-256 of a page's place and of its own SHA-256, so pages that are changed, moved, lost or added give another root. A
+    node is the SHA-256 of the hashes under it in order, ``fanout`` at most, and a single node is the root: no task holds more of a
+    file than that, whatever its size. Repeats of a page count once, the least one; places count from 0 and may miss some. No
+    chunks give no rows.
+    """
+    once = chunks.groupBy(key, F.col("chunk_index").cast("bigint").alias("__i")).agg(F.min(data).alias("__d"))
+    leaf = F.sha2(F.concat_ws(":", "__i", F.sha2(F.col("__d"), 256)), 256)
+    level = cut_lineage(once.select(key, "__i", leaf.alias("__h"), F.octet_length("__d").cast("bigint").alias("__size")))
+    sizes = cut_lineage(level.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.sum("__size").alias("total_size"), (F.max("__i") + 1).alias("__n")))
+    level = level.drop("__size").join(sizes.select(key, F.col("__n").alias("__left")), key)
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    while most > 1:
+        under = F.array_sort(F.collect_list(F.struct("__i", "__h")))
+        nodes = level.groupBy(key, F.floor(F.col("__i") / fanout).cast("bigint").alias("__i")).agg(under.alias("__u"), F.min("__left").alias("__left"))
+        joint = F.sha2(F.array_join(F.transform("__u", lambda x: x["__h"]), ""), 256)
+        level = nodes.select(
+            key, "__i", F.when(F.col("__left") == 1, F.col("__u")[0]["__h"]).otherwise(joint).alias("__h"),
+            F.ceil(F.col("__left") / fanout).cast("bigint").alias("__left"),
+        )
+        most = -(-most // fanout)
+    return sizes.drop("__n").join(level.select(key, F.col("__h").alias("root")), key)
+
+
+def verified_pages(chunks: DataFrame, files: DataFrame, key: str, root: str = "root", data: str = "data", fanout: int = FANOUT) -> DataFrame:
+    """The pages of every file of ``files`` (key and expected root), each with the byte it starts at and the file's status: ok or hash_mismatch.
+
+    The content of a file is its pages by chunk_index; nothing is gathered, so files of any size are checked and handed on. Repeats of
+    a page count once; files without a page give no row.
+    """
+    roots = merkle_roots(chunks, key, data, fanout).select(key, F.col("root").alias("__root"))
+    status = cut_lineage(
+        files.select(key, F.col(root).alias("__want")).join(roots, key).select(key, F.when(F.col("__root") == F.col("__want"), F.lit("ok")).otherwise(F.lit("hash_mismatch")).alias("status"))
+    )
+    once = chunks.groupBy(key, F.col("chunk_index").cast("bigint").alias("chunk_index")).agg(F.min(data).alias(data))
+    sized = cut_lineage(once.join(status, key)).withColumn("__size", F.octet_length(data).cast("bigint"))
+    bucket = F.floor(F.col("chunk_index") / CHUNKS_PER_BUCKET).cast("bigint")
+    placed = with_running_sum(sized, [key], ["chunk_index"], F.col("__size"), "__end", bucket)
+    return placed.select(key, "chunk_index", (F.col("__end") - F.col("__size")).alias("start"), data, "status")
+
+
 def chunk_mismatch(df: DataFrame, data: str = "data", expected: str = "expected_md5") -> DataFrame:
     """Arriving chunks whose MD5 is not the announced one."""
     return df.withColumn("actual_md5", F.md5(data)).where(F.col("actual_md5") != F.col(expected))

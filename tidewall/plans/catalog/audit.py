@@ -145,6 +145,20 @@ def _(spark, d):
     return U.day_digest(U.audit_hash(audit(spark, d)))
 
 
+@query(
+    "U11_day_roots",
+    """with h as (select event_id, ts, sha256(concat('{"event_id":', event_id, ',"event_type":"', event_type, '","actor_id":"', actor_id, '"}')) as event_hash from v_audit),
+       p as (select *, lag(event_hash) over (partition by cast(ts as date) order by ts, event_id) as prev from h),
+       k as (select cast(ts as date) as event_date, sha256(concat(coalesce(prev, ''), ':', event_hash)) as link from p),
+       o as (select event_date, link, count(*) as n from k group by 1, 2),
+       l2 as (select event_date, link[1:2] as p, sum(n) as n, sha256(string_agg(concat(link, '*', n), ',' order by link)) as h from o group by 1, 2),
+       l1 as (select event_date, p[1:1] as p, sum(n) as n, sha256(string_agg(h, ',' order by p)) as h from l2 group by 1, p[1:1])
+       select event_date, cast(sum(n) as bigint) as events, sha256(string_agg(h, ',' order by p)) as root from l1 group by 1""",
+)
+def _(spark, d):
+    return U.day_roots(U.audit_hash(audit(spark, d), ["event_id", "event_type", "actor_id"]), 2)
+
+
 @query(
     "U12_custom_fields",
     """with p as (select unnest(['k', 'type']) as field, unnest([json_extract_string(props, '$.k'), event_type]) as v from events)

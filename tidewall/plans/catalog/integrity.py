@@ -63,6 +63,34 @@ def _(spark, d):
     return out.select("doc_id", "page", "chunks", F.md5(F.array_join("chunk_list", ",")).alias("list_md5"))
 
 
+# pages of a tree with four hashes under a node, as deep as the longest file needs
+TREE = f"""{PARTS}, l0 as (select doc_id, chunk_index as i, sha256(concat(chunk_index, ':', sha256(data))) as h, count(*) over (partition by doc_id) as n, octet_length(encode(data)) as size from parts),
+s as (select doc_id, count(*) as pages, cast(sum(size) as bigint) as total_size from l0 group by 1)"""
+for _n in range(1, 9):
+    TREE += f""",
+l{_n} as (select doc_id, i // 4 as i, case when min(n) = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h, (min(n) + 3) // 4 as n from l{_n - 1} group by doc_id, i // 4)"""
+
+
+@query("I3_merkle_roots", f"with {TREE} select s.doc_id, s.pages, s.total_size, l8.h as root from s join l8 on l8.doc_id = s.doc_id")
+def _(spark, d):
+    return I.merkle_roots(parts(spark, d), "doc_id", fanout=4)
+
+
+@query(
+    "I9_verified_pages",
+    f"""with {PARTS}, x as (select *, {HURT} and doc_id % 2 = 0 as hurt from parts), t as (select doc_id, bool_or(hurt) as bad from x group by 1),
+        y as (select doc_id, chunk_index, case when hurt then concat(data, '!') else data end as data from x)
+        select y.doc_id, chunk_index, cast(sum(octet_length(encode(data))) over (partition by y.doc_id order by chunk_index) - octet_length(encode(data)) as bigint) as start,
+          md5(data) as page_md5, case when bad then 'hash_mismatch' else 'ok' end as status from y join t on t.doc_id = y.doc_id""",
+)
+def _(spark, d):
+    sent = parts(spark, d)
+    files = I.merkle_roots(sent, "doc_id").select("doc_id", "root")
+    hurt = sent.withColumn("data", F.expr(f"case when {HURT} and doc_id % 2 = 0 then concat(data, '!') else data end"))
+    twice = hurt.unionByName(hurt.where("chunk_index % 3 = 0"))
+    return I.verified_pages(twice, files, "doc_id").select("doc_id", "chunk_index", "start", F.md5("data").alias("page_md5"), "status")
+
+
 SEALED = f"""{PARTS}, h as (select *, sha256(data) as data_hash from parts),
 p as (select *, lag(data_hash) over (partition by doc_id order by chunk_index) as prev from h),
 sealed as (select *, sha256(concat('{{"chunk_index":', chunk_index, ',"data_hash":"', data_hash, '","sequence_nonce":', chunk_index + 1,
