@@ -137,3 +137,45 @@ def test_rule_files(spark, tmp_path):
     policy.write_text('{"rules":[{"id":"x","effect":"allow"}]}')
     with pytest.raises(ValueError):
         load_rules(spark, str(policy), "policy")
+
+
+def test_json_of_any_depth_keeps_what_lies_above_the_limit():
+    import json
+    import random
+
+    from tidewall.functions import markup
+
+    deep = '{"email":"a@b.c","x":' + "[" * 20_000 + '{"y":"z"}' + "]" * 20_000 + ',"after":{"phone":"1"}}'
+    status, found = markup.json_leaves(deep, 10, True)
+    assert status == "depth_exceeded" and sorted(found) == [("after.phone", "phone", "1"), ("email", "email", "a@b.c")]
+    assert markup.json_leaves(deep[:-1], 10, True) == ("malformed", [])
+    assert markup.json_leaves(deep + "]", 10, True) == ("malformed", [])
+
+    def value(rng, depth):
+        kind = rng.randrange(9 if depth else 6)
+        if kind >= 6:
+            n = rng.randrange(4)
+            return [value(rng, depth - 1) for _ in range(n)] if kind == 6 else {rng.choice("abcé\\\"") * rng.randrange(3): value(rng, depth - 1) for _ in range(n)}
+        return rng.choice([None, True, 1.5, -3, 2e20, "s", "é\n\"", ""])
+
+    def strings_only(x):
+        if isinstance(x, dict):
+            return {k: strings_only(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [strings_only(v) for v in x]
+        return x if isinstance(x, str) else None
+
+    rng = random.Random(4)
+    for _ in range(500):
+        text = json.dumps(value(rng, 4), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert markup._deep_json(text) == strings_only(json.loads(text))
+        cut = text[: rng.randrange(len(text))] + rng.choice(["", ",", "}", "]", "x", '"', ":"]) + text[rng.randrange(len(text)) :]
+        try:
+            want = strings_only(json.loads(cut, parse_constant=markup._no_constant))
+        except ValueError:
+            want = ValueError
+        try:
+            got = markup._deep_json(cut)
+        except ValueError:
+            got = ValueError
+        assert got == want, cut
