@@ -105,7 +105,11 @@ def _(spark, d):
     return K.required_controls(classed, "doc_id", SCHEME, mandatory=True).select("doc_id", "level_id", "control_id", "spec")
 
 
-@query("K5_scheme_first_match")
+@query(
+    "K5_scheme_first_match",
+    f"""with {FLAGS}, b as (select doc_id, arg_min(level_id, ord) as level_id from hits group by 1)
+        select coalesce(b.level_id, 'high') as level_id, count(*) as "count" from f left join b on b.doc_id = f.doc_id group by 1""",
+)
 def _(spark, d):
     scheme = secrecy_scheme(LEVELS, RULES, fallback="high", conflict="first")
     return K.classify_secrecy(typed(spark, d), "pii_types", scheme).groupBy("level_id").count()
