@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import math
 
@@ -148,3 +149,54 @@ def test_mail_zone_without_domains(spark):
     df = spark.createDataFrame([(1, "a@x", "b@x")], "id int, s string, r string")
     assert H.mail_zone(df, "id", "s", "r", []).first().zone == "external_to_external"
     assert H.mail_zone(df, "id", "s", "r", ["@X"]).first().zone == "internal_to_internal"
+
+
+def test_byte_pairs_equal_a_walk():
+    """Scores by places in runs of lead bytes equal those of a walk from left to right; also on real texts."""
+    import random
+
+    from tidewall.operators import files
+
+    def walk(data):
+        good, i = {"s": 0, "e": 0}, 0
+        while i < len(data):
+            kind = "s" if files.SJIS_LEAD[data[i]] else "e" if files.EUC_LEAD[data[i]] else None
+            if kind:
+                trail = files.SJIS_TRAIL if kind == "s" else files.EUC_TRAIL
+                good[kind] += i + 1 == len(data) or bool(trail[data[i + 1]])
+                i += 1
+            i += 1
+        return float(good["s"]), float(good["e"])
+
+    rng = random.Random(3)
+    cases = [b"", b"\x81", b"a\xa1", "日本語のテキスト".encode("shift_jis"), "日本語のテキスト、漢字".encode("euc_jp")]
+    cases += [bytes(rng.choice([rng.randrange(256), rng.randrange(128, 256), 65]) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    for data in cases:
+        assert files._japanese_scores(data) == walk(data), data
+
+
+def test_window_entropies_equal_one_by_one():
+    import random
+
+    from tidewall.operators import files
+
+    rng = random.Random(4)
+    for n, win, most in ((64, 32, 4096), (1000, 64, 3), (999, 33, 4), (70, 35, 4096), (5000, 512, 2)):
+        data = bytes(rng.choice([rng.randrange(256), 65, 66]) for _ in range(n))
+        want = [files._shannon(data[s : s + win]) for s in range(0, n - win + 1, win // 2)]
+        assert list(files._window_entropies(data, win, most)) == pytest.approx(want, abs=1e-9)
+
+
+def test_declared_encodings_come_before_any_guess(spark):
+    from tidewall.operators import files
+
+    sjis, euc = "日本語のテキスト".encode("shift_jis"), "日本語".encode("euc_jp")
+    rows = [
+        (0, sjis, "x-sjis", "Shift_JIS", 1.0), (1, euc, "EUC-JP", "EUC-JP", 1.0), (2, b"plain", "iso-8859-1", "windows-1252", 1.0), (3, b"plain", None, "UTF-8", 1.0),
+        (4, b"plain", "nonsense", "UTF-8", 1.0), (5, b"\xff\xfea\x00", "utf-8", "UTF-16LE", 1.0), (6, b"\xe9t\xe9", "utf-8", "UTF-8", 0.3), (7, "é".encode(), " Latin1 ", "windows-1252", 1.0),
+        (8, b"\x1b$B$3\x1b(B", "", "ISO-2022-JP", 0.95), (9, b"\x1b$B$3\x1b(B", "iso-2022-jp", "ISO-2022-JP", 1.0), (10, None, "utf-8", "UTF-8", 0.3),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, content binary, said string")
+    got = {r.id: (r.encoding, r.encoding_confidence) for r in files.detect_encoding(df, "content", declared="said").collect()}
+    assert got == {r[0]: r[3:] for r in rows}
+    assert files.detect_encoding(df, "content").columns == ["id", "content", "said", "encoding", "encoding_confidence", "is_unicode"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,24 +112,69 @@ def best_detection(dets: DataFrame, key: str) -> DataFrame:
 
 
 # ---- bytes ----
+def _between(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+SJIS_LEAD, SJIS_TRAIL = _between((0x81, 0x9F), (0xE0, 0xEF)), _between((0x40, 0x7E), (0x80, 0xFC))
+EUC_LEAD, EUC_TRAIL = _between((0xA1, 0xDF), (0xF0, 0xFE)), _between((0xA1, 0xFE))
+# declared name -> name of the encoding, and Python's codec that reads it
+DECLARED = {
+    label: known
+    for known, labels in {
+        ("UTF-8", "utf-8"): "utf-8 utf8 unicode-1-1-utf-8",
+        ("UTF-16LE", "utf-16-le"): "utf-16 utf-16le unicode ucs-2",
+        ("UTF-16BE", "utf-16-be"): "utf-16be",
+        ("Shift_JIS", "cp932"): "shift_jis shift-jis sjis x-sjis ms_kanji windows-31j ms932 csshiftjis",
+        ("EUC-JP", "euc_jp"): "euc-jp x-euc-jp cseucpkdfmtjapanese",
+        ("ISO-2022-JP", "iso2022_jp"): "iso-2022-jp csiso2022jp",
+        ("windows-1252", "latin-1"): "windows-1252 cp1252 x-cp1252 iso-8859-1 iso8859-1 latin1 l1 ascii us-ascii",
+        ("GBK", "gbk"): "gbk gb2312 gb_2312-80 chinese x-gbk",
+        ("Big5", "big5hkscs"): "big5 big5-hkscs x-x-big5 cn-big5",
+        ("EUC-KR", "cp949"): "euc-kr korean ks_c_5601-1987 windows-949",
+    }.items()
+    for label in labels.split()
+}
+
+
 def _japanese_scores(data: bytes) -> tuple[float, float]:
-    """Valid lead bytes of Shift_JIS and EUC-JP in one left-to-right walk over byte pairs."""
-    seen = {"s": [0, 0], "e": [0, 0]}
-    i, n = 0, len(data)
-    while i < n:
-        b = data[i]
-        if 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xEF:
-            kind, valid = "s", lambda t: 0x40 <= t <= 0x7E or 0x80 <= t <= 0xFC
-        elif 0xA1 <= b <= 0xFE:
-            kind, valid = "e", lambda t: 0xA1 <= t <= 0xFE
-        else:
-            i += 1
+    """Lead bytes of Shift_JIS and EUC-JP with a valid byte after them, counted from left to right.
+
+    A lead takes the next byte with it. The byte before a run of possible leads is none, so a run begins with a lead and every
+    other byte of it is one: where a pair begins follows from the place in the run, and the text is a few array passes.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    could = SJIS_LEAD[raw] | EUC_LEAD[raw]
+    at = np.arange(len(raw))
+    begins = could & ~np.r_[False, could[:-1]]
+    leads = np.flatnonzero(could & ((at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0))
+    follows = np.r_[raw, 0][leads + 1]
+    last = leads + 1 == len(raw)
+    scores = []
+    for lead, trail in ((SJIS_LEAD, SJIS_TRAIL), (EUC_LEAD, EUC_TRAIL)):
+        own = lead[raw[leads]]
+        scores.append(float((own & (trail[follows] | last)).sum()))
+    return scores[0], scores[1]
+
+
+@F.pandas_udf(T.StringType())
+def _declared_encoding(data: pd.Series, declared: pd.Series) -> pd.Series:
+    """The declared encoding, if it is a known one and the bytes are text of it."""
+    out: list[str | None] = []
+    for d, label in zip(data, declared, strict=True):
+        name, codec = DECLARED.get((label or "").strip().lower(), (None, None))
+        if d is None or name is None:
+            out.append(None)
             continue
-        seen[kind][0] += 1
-        if i + 1 < n and not valid(data[i + 1]):
-            seen[kind][1] += 1
-        i += 2
-    return tuple(float(lead - bad) for lead, bad in (seen["s"], seen["e"]))
+        try:
+            bytes(d).decode(codec)
+            out.append(name)
+        except UnicodeDecodeError:
+            out.append(None)
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("confidence", T.DoubleType())]))
@@ -145,39 +191,41 @@ def _japanese_encoding(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["name", "confidence"])
 
 
-def detect_encoding(df: DataFrame, col: str, fallback: str = "UTF-8") -> DataFrame:
+def detect_encoding(df: DataFrame, col: str, fallback: str = "UTF-8", declared: str | None = None) -> DataFrame:
     """Encoding and confidence of binary text.
 
-    Byte order mark, ISO-2022-JP escape, valid UTF-8 are tested in the JVM; only what is left goes
-    to Python for the byte-pair score.
+    In this order: byte order mark; the encoding named in column ``declared``, if the bytes are text of it; ISO-2022-JP escape; valid
+    UTF-8; the byte-pair score; the fallback. A declared name that is null, empty, unknown or wrong is passed over. Only rows with a declared name and
+    rows that nothing else decides go to Python. Null content has the fallback at confidence 0.3.
     """
     data = F.col(col)
     head = F.hex(F.substring(data, 1, 3))
     latin = F.decode(data, "ISO-8859-1")
     escape = F.contains(latin, F.lit("\x1b$B")) | F.contains(latin, F.lit("\x1b$@"))
-    sure = (
+    mark = (
         F.when(head == "EFBBBF", F.lit("UTF-8"))
         .when(F.startswith(head, F.lit("FEFF")), F.lit("UTF-16BE"))
         .when(F.startswith(head, F.lit("FFFE")), F.lit("UTF-16LE"))
-        .when(escape, F.lit("ISO-2022-JP"))
-        .when(F.is_valid_utf8(data), F.lit("UTF-8"))
     )
-    staged = df.withColumn("__sure", sure)
+    found = F.when(escape, F.lit("ISO-2022-JP")).when(F.is_valid_utf8(data), F.lit("UTF-8"))
+    staged = df.withColumn("__mark", mark).withColumn("__said", F.lit(None).cast("string"))
+    if declared is not None:
+        asked = F.col("__mark").isNull() & (F.length(F.trim(F.col(declared))) > 0)
+        staged = staged.withColumn("__said", _declared_encoding(F.when(asked, data), F.col(declared)))
+    staged = staged.withColumn("__certain", F.coalesce("__mark", "__said")).withColumn("__sure", F.coalesce("__certain", found))
     staged = staged.withColumn("__guess", _japanese_encoding(F.when(F.col("__sure").isNull(), F.col(col))))
     return staged.withColumns(
         {
             "encoding": F.coalesce("__sure", "__guess.name", F.lit(fallback)),
-            "encoding_confidence": F.when(F.col("__sure") == "ISO-2022-JP", F.lit(0.95))
+            "encoding_confidence": F.when(F.col("__certain").isNull() & (F.col("__sure") == "ISO-2022-JP"), F.lit(0.95))
             .when(F.col("__sure").isNotNull(), F.lit(1.0))
             .otherwise(F.coalesce("__guess.confidence", F.lit(0.3))),
             "is_unicode": F.coalesce("__sure", "__guess.name", F.lit(fallback)).startswith("UTF"),
         }
-    ).drop("__sure", "__guess")
+    ).drop("__sure", "__guess", "__mark", "__said", "__certain")
 
 
 def _shannon(data) -> float:
-    import numpy as np
-
     n = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
     p = n[n > 0] / len(data)
     return float(-(p * np.log2(p)).sum()) + 0.0
@@ -194,8 +242,26 @@ def entropy(df: DataFrame, col: str, out: str = "entropy") -> DataFrame:
     return df.withColumn(out, _entropy(F.col(col).cast("binary")))
 
 
-def _window_entropies(data, win: int) -> list[float]:
-    return [_shannon(data[s : s + win]) for s in range(0, len(data) - win + 1, win // 2)]
+def _window_entropies(data, win: int, most: int = 4096) -> np.ndarray:
+    """Entropy of every window of ``win`` bytes, half a window apart.
+
+    One histogram per half window serves all windows, each of which is two of them in a row (and one byte, if ``win`` is odd). ``most``
+    windows are worked on at once.
+    """
+    raw, step = np.frombuffer(data, np.uint8), win // 2
+    n = (len(raw) - win) // step + 1
+    out = np.empty(n)
+    for lo in range(0, n, most):
+        hi = min(lo + most, n)
+        part = raw[lo * step : (hi + 1) * step]
+        block = np.repeat(np.arange(hi - lo + 1), step)
+        half = np.bincount(block * 256 + part, minlength=(hi - lo + 1) * 256).reshape(-1, 256)
+        counts = half[:-1] + half[1:]
+        if win % 2:
+            counts[np.arange(hi - lo), raw[np.arange(lo, hi) * step + win - 1]] += 1
+        p = counts / win
+        out[lo:hi] = -(p * np.log2(np.where(counts, p, 1.0))).sum(axis=1)
+    return out
 
 
 def entropy_anomaly(df: DataFrame, key: str, col: str, win: int = 1024) -> DataFrame:
@@ -213,8 +279,8 @@ def entropy_anomaly(df: DataFrame, key: str, col: str, win: int = 1024) -> DataF
                 rows.append((None, 0, 0, 0.0))
                 continue
             whole = _shannon(d)
-            off = [abs(e - whole) for e in _window_entropies(d, win)]
-            rows.append((whole, sum(whole > 0 and o / whole > 0.15 for o in off), len(d) // (win // 2), max(off, default=0.0)))
+            off = np.abs(_window_entropies(d, win) - whole)
+            rows.append((whole, int((off / whole > 0.15).sum()) if whole > 0 else 0, len(d) // (win // 2), float(off.max())))
         return pd.DataFrame(rows, columns=["entropy", "suspicious", "windows", "max_deviation"]).astype(
             {"suspicious": "int64", "windows": "int64"}
         )

@@ -100,6 +100,22 @@ def _(spark, d):
     )
 
 
+@query(
+    "T5_declared_encoding",
+    """select doc_id, case when doc_id % 4 = 0 then 'windows-1252' when doc_id % 4 = 1 and length(text) > 0 then 'UTF-16BE' else 'UTF-8' end as encoding,
+         cast(1 as double) as encoding_confidence, doc_id % 4 = 1 and length(text) > 0 or doc_id % 4 > 0 as is_unicode from documents""",
+)
+def _(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    raw = docs.withColumns(
+        {
+            "content": F.when(F.col("doc_id") % 4 == 0, F.encode("text", "ISO-8859-1")).when(F.col("doc_id") % 4 == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8")),
+            "declared": F.expr("case doc_id % 4 when 0 then 'ISO-8859-1' when 1 then 'utf-8' when 2 then 'UTF-8' end"),
+        }
+    )
+    return T.detect_encoding(spread(raw), "content", declared="declared").select("doc_id", "encoding", "encoding_confidence", "is_unicode")
+
+
 BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: x)"
 
 
