@@ -179,3 +179,21 @@ def test_json_of_any_depth_keeps_what_lies_above_the_limit():
         except ValueError:
             got = ValueError
         assert got == want, cut
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    from tidewall.functions.patterns import regex_error
+    from tidewall.operators import policy
+    from tidewall.rules import pii
+
+    for good in ("(?<year>[0-9]{4})", "[a-z&&[^b]]+", "\\p{IsHiragana}+", "a++"):
+        assert regex_error(good) is None
+        assert pii.valid_rules([pii.TextRule("r", good, "mask")])
+    for bad in ("(?P<year>[0-9]{4})", "(", "[a", "a**"):
+        assert regex_error(bad)
+        assert not pii.valid_rules([pii.TextRule("r", bad, "mask")])
+        assert spark.range(1).select(policy.cond_regex(F.lit("2024"), bad).alias("x")).first().x is False
+    assert regex_error("a*") == "pattern matches the empty string"
+    df = spark.createDataFrame([("b",), ("a",)], "s string")
+    assert {r.s: r.x for r in df.select("s", policy.cond_regex(F.col("s"), "^[a-z&&[^b]]$").alias("x")).collect()} == {"a": True, "b": False}
+    assert df.select(policy.cond_regex(F.col("s"), "z*").alias("x")).first().x

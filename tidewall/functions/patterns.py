@@ -175,3 +175,26 @@ def may_match(text: Column, patterns: list[str], spark: SparkSession) -> Column:
 
 def bit_is_set(bits: Column, i: int) -> Column:
     return bits.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+
+
+EMPTY_MATCH = "pattern matches the empty string"
+
+
+def regex_error(pattern: str) -> str | None:
+    """Why a pattern is refused, or None: no regex, or one that matches the empty string.
+
+    With a running session the engine that will run it is asked, Java's; it takes ``(?<name>...)`` and class
+    intersections and refuses ``(?P<name>...)``. Without one Python's must do.
+    """
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    context = SparkContext._active_spark_context
+    try:
+        if context is None:
+            empty = re.compile(pattern).match("") is not None
+        else:
+            empty = context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").lookingAt()
+    except (re.error, IllegalArgumentException) as e:
+        return str(e).splitlines()[0]
+    return EMPTY_MATCH if empty else None

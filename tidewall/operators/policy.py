@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.functions.net import cidr_high, cidr_low, in_cidr, ip_to_long, network_class
+from tidewall.functions.patterns import EMPTY_MATCH, regex_error
 from tidewall.functions.rows import inline_rows
 from tidewall.rules.pii import pattern_error
 
@@ -47,12 +48,8 @@ def cond_lt(attr: Column, value) -> Column:
 
 
 def cond_regex(attr: Column, pattern: str) -> Column:
-    """An unusable pattern is false; it is checked here because it would fail the whole job."""
-    import re
-
-    try:
-        re.compile(pattern)
-    except re.error:
+    """An unusable pattern is false; it is checked here, by the engine that runs it, because it would fail the whole job."""
+    if regex_error(pattern) not in (None, EMPTY_MATCH):
         return F.lit(False)
     return _known(attr.cast("string").rlike(pattern))
 

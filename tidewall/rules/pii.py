@@ -6,12 +6,13 @@ Patterns use ASCII digit classes and no look-around, so Java regex, RE2 and Rust
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewall.functions.patterns import regex_error
+
 ACTION_RANK = {"alert_only": 1, "mask": 2, "block": 3}
 
 # --- fixed values: patterns, actions, mask characters and regions of the rule packs ---
@@ -92,11 +93,7 @@ def rules_kr() -> list[TextRule]:
 
 def pattern_error(pattern: str) -> str | None:
     """Why a pattern is refused, or None. Checked before planning: a bad regex fails a Spark job."""
-    try:
-        compiled = re.compile(pattern)
-    except re.error as e:
-        return str(e)
-    return "pattern matches the empty string" if compiled.match("") else None
+    return regex_error(pattern)
 
 
 def valid_rules(rules: list[TextRule]) -> list[TextRule]:
