@@ -35,18 +35,6 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-SHARD_SQL = """
-with d as (
-  select doc_id, coalesce(octet_length(encode(text)), 0) + 1 as size from documents),
-p as (
-  select doc_id, size, coalesce(sum(size) over (order by doc_id, size rows between unbounded preceding and 1 preceding), 0) as before,
-    row_number() over (order by doc_id, size) - 1 as rank, sum(size) over () as total from d),
-s as (select *, least(cast(((2 * before + size) * 8) // (2 * total) as bigint), 7) as shard from p)
-select doc_id, cast(size as bigint) as size, cast(shard as int) as shard, cast(rank - min(rank) over (partition by shard) as bigint) as slot,
-  cast(before as bigint) as first_byte, 'bytes' as law, cast(null as int) as grown_shard
-from s"""
-
-
 @query("op10_byte_shards")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """Every document in one of eight contiguous shards of nearly equal bytes."""
