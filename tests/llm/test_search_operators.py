@@ -122,6 +122,41 @@ def test_a_link_between_later_texts_of_a_bucket_is_found(spark):
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+@pytest.mark.parametrize("with_source", [True, False])
+def test_a_large_group_of_copies_below_and_above_the_threshold(spark, with_source, monkeypatch):
+    """Copies of one text with few and many edits: classes equal those of all pairs, few pairs are compared, one text meets over HOT."""
+    rng = random.Random(31)
+    source = prose(rng, 130)
+    texts = [source] * with_source + [near_copy(rng, source, rng.choice([1, 1, 2, 2, 3, 5, 7, 9])) for _ in range(1500)]
+    bags = [{k: n for k, n in bag(t).items()} for t in texts]
+    numbers = {}
+    held = [np.array(sorted(numbers.setdefault((g, i), len(numbers)) for g, n in b.items() for i in range(n))) for b in bags]
+    dense = np.zeros((len(texts), len(numbers)), np.float32)
+    for row, at in zip(dense, held, strict=True):
+        row[at] = 1
+    both = dense @ dense.T
+    size = dense.sum(axis=1)
+    like = both / (size[:, None] + size[None, :] - both) >= 0.8
+    low = np.arange(len(texts))
+    while True:  # smallest member of each component
+        new = np.where(like, low[None, :], len(texts)).min(axis=1)
+        if (new == low).all():
+            break
+        low = new
+    compared = []
+
+    def counted(pairs, *how, real=bagminhash._compared):
+        compared.extend(r["count"] for r in pairs.groupBy("pivot").count().collect())
+        return real(pairs, *how)
+
+    monkeypatch.setattr(bagminhash, "_compared", counted)
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(docs(spark, texts)).collect()}
+    assert got == {i: int(low[i]) for i in range(len(texts))}
+    if with_source:
+        assert max(compared) > bagminhash.HOT
+        assert sum(compared) < 10 * len(texts)
+
+
 def test_null_and_repeated_keys_and_empty_tables(spark):
     rng = random.Random(4)
     t = prose(rng, 60)

@@ -7,9 +7,10 @@ first point of each register is the signature: two texts agree in a register wit
 their weighted Jaccard similarity. Points are drawn in the order of time, and only until every register has one.
 
 Texts are banded by their signatures. In every bucket the text that meets most others is compared with the rest, by the
-overlap of their multisets; texts that are linked already are not compared again, and what is still apart is compared with
-the next ones, until no bucket holds two texts that were neither compared nor linked. No bucket is cut short, and
-none is gathered.
+overlap of their multisets, which links most copies to their source; texts that are linked are not compared again.
+Of what is apart after that, every pair of a bucket is judged by an exact bound inside the join: shingles are dealt to ``CLASSES``
+classes, and two texts have no more in common than, class by class, the smaller of their two numbers. Only pairs that the bound
+lets through are rows, and those are compared. No bucket is cut short, and none is gathered.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import Window as W
 
 from tidewall.llm import arrays as A
 from tidewall.llm.components import components
-from tidewall.llm.store import kept, written
+from tidewall.llm.store import kept, new_folder, written
 
 U = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 HOT = 256  # comparisons with one text that share a task
-MOST_HEADS = 16  # texts of a bucket that the others are compared with in one round
+HEADS = (1,)  # texts of a bucket that the others are compared with, round by round, before all that can be similar are
+CLASSES = 1024  # of shingles; numbers of a class are told apart up to 2
 GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -164,6 +166,38 @@ def _comparer(size: int, similarity: float):
     return compare
 
 
+def _sketcher(size: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size of each text's bag; bits of the classes that hold at least one and at least two of its shingles; how many lie beyond two."""
+        for batch in batches:
+            data, offsets = A.text_buffers(batch.column("_text"))
+            for lo, hi in A.chunks(offsets):
+                text, shingle, weight = bags(*shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size))
+                nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                unit = A.mix(np.repeat(shingle, weight) + nth.astype(np.uint64) * GOLD) % U(CLASSES)
+                cell, number = np.unique(np.repeat(text, weight) * CLASSES + unit.astype(np.int64), return_counts=True)
+                owner, place = cell // CLASSES, cell % CLASSES
+                bits = np.zeros((hi - lo, 2 * CLASSES // 64), np.uint64)
+                for level in (1, 2):
+                    held = number >= level
+                    at = (level - 1) * (CLASSES // 64) + place[held] // 64
+                    np.bitwise_or.at(bits, (owner[held], at), U(1) << (place[held] % 64).astype(np.uint64))
+                beyond = np.bincount(owner, np.maximum(number - 2, 0), hi - lo).astype(np.int64)
+                total = np.bincount(text, weight, hi - lo).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(lo, hi - lo), pa.array(total), pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())), pa.array(beyond)],
+                    names=["node", "_size", "_bits", "_beyond"],
+                )
+
+    return sketch
+
+
+def _most_common() -> str:
+    """An upper bound of the shingles that two sketches a and b share."""
+    both = " + ".join(f"bit_count(a._bits[{i}] & b._bits[{i}])" for i in range(2 * CLASSES // 64))
+    return f"({both} + least(a._beyond, b._beyond))"
+
+
 def _compared(pairs: DataFrame, store: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (pivot, node) whose texts are similar. A pivot of many pairs is sent to several tasks, one per ``HOT`` pairs."""
     hot = kept(pairs.groupBy("pivot").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT))
@@ -179,6 +213,35 @@ def _compared(pairs: DataFrame, store: DataFrame, size: int, similarity: float)
     return dealt.select("pivot", "node", "_text").mapInArrow(_comparer(size, similarity), "a long, b long, similarity double")
 
 
+class _Grown:
+    """Rows of the rounds of a loop: each round writes its own folder, and all of them are read together."""
+
+    def __init__(self, df: DataFrame, kind: str):
+        self.spark, self.schema, self.kind, self.folders = df.sparkSession, df.schema, kind, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.folders.append(new_folder(self.spark, self.kind))
+        df.write.parquet(self.folders[-1])
+        return self.spark.read.schema(self.schema).parquet(self.folders[-1])
+
+    def rows(self) -> DataFrame:
+        if not self.folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.folders)
+
+
+def _joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """node, root of every linked node after another round of links. Only the links between different roots are new work."""
+    if roots is None:
+        return kept(components(found))
+    ends = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
+    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    moved = kept(components(ends.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))))
+    new = moved.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    before = roots.join(new, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return kept(before.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Classes of near-duplicates: (texts, links).
 
@@ -197,44 +260,50 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     every = texts.select("node", F.explode("_bands").alias("_bucket"))
     shared = kept(every.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
     met = kept(every.join(shared, "_bucket"))
-    # texts that meet many others come first: the source of a group of copies is closer to them than they are to each other
-    order = met.groupBy("node").agg((-F.sum("_n")).alias("_w"))
-    buckets = kept(met.select("_bucket", "node").join(kept(order), "node"))
-    wanted = buckets.select("node").distinct().join(texts.select("node", "_md5", "_doc"), "node")
+    wanted = met.select("node").distinct().join(texts.select("node", "_md5", "_doc"), "node")
     have = hashed.select(F.col("_md5"), F.col("_doc"), "_text")
     same = (have["_md5"] == wanted["_md5"]) & have["_doc"].eqNullSafe(wanted["_doc"])
-    store = written(have.join(wanted.select("_md5", "_doc", "node"), same).select("node", "_text").dropDuplicates(["node"]), "texts")
+    store = written(have.join(wanted, same).select("node", "_text").dropDuplicates(["node"]), "texts")
+    sketches = kept(store.mapInArrow(_sketcher(size), "node long, _size long, _bits array<long>, _beyond long"))
+    # texts that meet many others come first: the source of a group of copies is closer to them than they are to each other
+    order = met.groupBy("node").agg((-F.sum("_n")).alias("_w")).join(sketches.select("node", "_size"), "node")
+    buckets = kept(met.select("_bucket", "node").join(kept(order), "node"))
 
-    tested = links = roots = None
-    heads_each = 1
-    while not buckets.isEmpty():
+    tested = _Grown(df.sparkSession.createDataFrame([], "pivot long, node long"), "tested")
+    links = _Grown(df.sparkSession.createDataFrame([], "a long, b long, similarity double"), "links")
+    roots = None
+    for heads_each in (*HEADS, None):
         seen = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = seen.groupBy("_bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
         open_ = kept(seen.join(kept(apart.select("_bucket")), "_bucket"))
-        # the first texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
-        first = W.partitionBy("_bucket").orderBy("_w", "node")
-        heads = open_.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= heads_each)
-        heads = kept(heads.select("_bucket", F.col("node").alias("pivot"), F.col("_w").alias("_pw"), F.col("root").alias("_proot")))
-        after = "(_w > _pw or (_w = _pw and node > pivot)) and root != _proot"
-        pairs = open_.join(heads, "_bucket").where(after).select("pivot", "node").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "node"], "left_anti")
-        pairs = kept(pairs)
+        if open_.isEmpty():
+            break
+        if heads_each:
+            # the first texts of every bucket; Spark keeps no more of a bucket than these before it moves rows
+            first = W.partitionBy("_bucket").orderBy("_w", "node")
+            heads = kept(open_.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= heads_each).drop("_r"))
+            rows, possible = open_, f"least(a._size, b._size) >= {similarity} * greatest(a._size, b._size) - 1e-6"
+        else:
+            heads = rows = open_.join(sketches.drop("_size"), "node")
+            possible = f"{_most_common()} * {1 + similarity} >= {similarity} * (a._size + b._size) - 1e-6"
+        after = "a._bucket = b._bucket and b.root != a.root and (b._w > a._w or (b._w = a._w and b.node > a.node))"
+        pairs = heads.alias("a").join(rows.alias("b"), F.expr(f"{after} and {possible}"))
+        pairs = pairs.select(F.col("a.node").alias("pivot"), F.col("b.node").alias("node")).distinct()
+        if tested.folders:
+            pairs = pairs.join(tested.rows(), ["pivot", "node"], "left_anti")
+        pairs = tested.add(pairs)
         if not pairs.isEmpty():
-            tested = pairs if tested is None else kept(tested.unionByName(pairs))
-            found = kept(_compared(pairs, store, size, similarity))
+            found = links.add(_compared(pairs, store, size, similarity))
             if not found.isEmpty():
-                links = found if links is None else kept(links.unionByName(found))
-                roots = kept(components(links))
-        used = heads.select("_bucket", F.col("pivot").alias("node"))
-        buckets = kept(open_.select("_bucket", "node", "_w").join(used, ["_bucket", "node"], "left_anti"))
-        heads_each = min(2 * heads_each, MOST_HEADS)
-    if links is None:
-        links = df.sparkSession.createDataFrame([], "a long, b long, similarity double")
+                roots = _joined(roots, found)
+        if heads_each:
+            used = heads.select("_bucket", F.col("node"))
+            buckets = kept(open_.drop("root").join(used, ["_bucket", "node"], "left_anti"))
+    if roots is None:
         roots = df.sparkSession.createDataFrame([], "node long, root long")
     rooted = texts.join(roots, "node", "left").select("_md5", "_doc", F.coalesce("root", "node").alias("root"))
     smallest = kept(rooted.groupBy("root").agg(F.min("_doc").alias("class_id")))
-    return rooted.join(smallest, "root").select("_md5", "_doc", "class_id", "root"), links
+    return rooted.join(smallest, "root").select("_md5", "_doc", "class_id", "root"), links.rows()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
