@@ -1,12 +1,16 @@
 """Packing of token sequences by a configuration linear program over the histogram of lengths.
 
-A configuration is a multiset of lengths that fits one sequence. Only the histogram, at most ``capacity`` numbers,
-reaches the driver. There, prices of lengths are kept by multiplicative weights, and a knapsack dynamic program finds
-the configurations of most price; what the program has not covered is worth more in the next round. Shares of the
-configurations are rounded down to whole sequences as the rounds go, and the few pieces left over are
-placed best-fit into the gaps and into new sequences. The plan is a table of runs (length, rank) ->
-(sequence, offset), whose size does not depend on the number of documents; the cluster ranks the
-pieces of each length by prefix sums over partitions and looks them up.
+A configuration is a multiset of lengths that fits one sequence; the program covers the pieces of every length by as few
+configurations as it can. Only the histogram, at most ``capacity`` numbers, reaches the driver. There the program is solved by
+multiplicative weights: a length weighs less the more of it is covered, and drops out once it is covered in full. Weights over
+counts are prices; a knapsack dynamic program finds the dearest configurations, which grow together until none of them is near the
+dearest any more, and the prices of that moment bound the program's value from below. The fractional shares, scaled so that no length is
+covered beyond its pieces, are rounded down to whole sequences, and what they leave is a smaller program of the same
+kind. Pieces left in the end are placed best-fit into the gaps and into new sequences; where plain best-fit
+packs all pieces in fewer sequences, its packing is taken.
+
+The plan is a table of runs (length, rank) -> (sequence, offset), whose size does not depend on the number of documents; the cluster
+ranks the pieces of each length by prefix sums over partitions and looks them up.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from tidewall.llm import tokens
 from tidewall.session import cut_lineage
 
 CAPACITY = 2048
-ROUNDS = 4
-RATE = 2.0  # of the weights' growth with the share not yet covered
+ROUNDS = 2  # programs solved, the second on what the first one left
+EFFORT = 2000  # times that a length is covered in part before it drops out, over a power of the number of lengths
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,24 +46,26 @@ class Plan:
     n_sequences: int
     total: int
     capacity: int
+    value: float  # no more than the program's value
 
     @property
     def bound(self) -> int:
         """No packing has fewer sequences."""
-        return -(-self.total // self.capacity)
+        return max(-(-self.total // self.capacity), int(np.ceil(self.value - 1e-6)))
 
 
 def _priced(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: most price within each size, and the last length used for it (0: one less suffices)."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for v in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, v, "right"))
-        best[v] = best[v - 1]
-        if n:
-            worth = best[v - lengths[:n]] + prices[:n]
-            k = int(worth.argmax())
-            if worth[k] > best[v] + 1e-12:
-                best[v], last[v] = worth[k], lengths[k]
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    for v in range(int(lengths[0]), capacity + 1):
+        n = upto[v]
+        worth = best[v - lengths[:n]] + prices[:n]
+        k = worth.argmax()
+        if worth[k] > best[v - 1] * (1 + 1e-12):
+            best[v], last[v] = worth[k], lengths[k]
+        else:
+            best[v] = best[v - 1]
     return best, last
 
 
@@ -74,35 +80,92 @@ def _configuration(anchor: int, last: np.ndarray, capacity: int) -> dict[int, in
     return config
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Configurations with whole multiplicities, and the counts that they leave over."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    given = np.maximum(left, 1)
-    sizes = np.arange(capacity + 1)
-    weight = sizes / capacity  # the area: a dual solution of the program within one part of its worth
-    chosen: list[tuple[dict[int, int], int]] = []
+def fractional(counts: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """Shares of configurations that cover all counts, how often each length is covered at them, and a lower bound of the program's value.
+
+    Lengths are in ascending order; a configuration is a tuple of (length, number).
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    demand = np.array([counts[k] for k in lengths.tolist()], float)
+    slot = np.zeros(capacity + 1, np.int64)
+    slot[lengths] = np.arange(len(lengths))
+    enough = max(6.0, effort / len(lengths) ** 0.8)
+    eps = min(0.5, (np.log(len(lengths) + 1) / enough) ** 0.5)
+    covered, open_ = np.zeros(len(lengths)), np.ones(len(lengths), bool)
+    log_weight = np.log(demand * lengths)  # the area: at first, prices are the lengths
+    shares: dict[tuple, float] = {}
+    bound = 0.0
+    while open_.any():
+        scale = log_weight[open_].max()
+        weight = np.where(open_, np.exp(log_weight - scale), 0.0)
+        price = weight / demand
+        best, last = _priced(lengths[open_], price[open_], capacity)
+        dearest = best[capacity]
+        bound = max(bound, weight.sum() / dearest)
+        anchors = lengths[open_ & (price + best[capacity - lengths] >= dearest * (1 - eps))].tolist()
+        configs = [_configuration(k, last, capacity) for k in anchors]
+        size = np.array([len(c) for c in configs])
+        first = np.cumsum(size) - size
+        row = slot[np.array([k for c in configs for k in c])]
+        times = np.array([v for c in configs for v in c.values()], float)
+        amount = np.array([counts[k] / c[k] for k, c in zip(anchors, configs, strict=True)])  # what covers the anchor alone
+        grown = np.zeros(len(configs))
+        while open_.any():
+            weight = np.where(open_, np.exp(log_weight - scale), 0.0)
+            near = np.add.reduceat((weight / demand)[row] * times, first) >= dearest * (1 - eps)
+            if not near.any():
+                break
+            now = np.where(near, amount, 0.0)
+            add = np.bincount(row, np.repeat(now, size) * times, len(lengths)) / demand
+            step = 1 / add[open_].max()
+            grown += step * now
+            covered += step * add
+            log_weight -= eps * step * add
+            open_ &= covered < enough
+        for config, x in zip(configs, grown.tolist(), strict=True):
+            if x:
+                key = tuple(sorted(config.items()))
+                shares[key] = shares.get(key, 0.0) + x
+    return shares, covered, bound
+
+
+def _rounded(shares: dict[tuple, float], left: dict[int, int], scale: float, up: bool, fullest: bool = False) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole multiplicities of the configurations, the largest share (or the fullest) first, as far as there are pieces; and what is left."""
+    left, chosen = dict(left), []
+    fill = (lambda c: -sum(k * v for k, v in c)) if fullest else (lambda c: 0)
+    for config, x in sorted(shares.items(), key=lambda c: (fill(c[0]), -c[1], c[0])):
+        if not up and x * scale < 1:
+            continue
+        times = min(int(np.ceil(x * scale - 1e-6) if up else x * scale + 1e-6), *(left.get(k, 0) // v for k, v in config))
+        if times > 0:
+            chosen.append((dict(config), times))
+            for k, v in config:
+                left[k] -= times * v
+    return chosen, {k: n for k, n in left.items() if n}
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, effort: int = EFFORT) -> tuple[list[list[tuple[dict[int, int], int]]], list[dict[int, int]], float]:
+    """Ways to round the program: configurations with whole multiplicities, the counts they leave over; and a lower bound.
+
+    Two ways round the whole cover up at once, one rounds down what is covered nowhere twice and solves a program for the rest.
+    """
+    left = {k: n for k, n in counts.items() if n > 0}
+    ways: list[list[tuple[dict[int, int], int]]] = []
+    rests: list[dict[int, int]] = []
+    sofar: list[tuple[dict[int, int], int]] = []
+    bound = 0.0
     for t in range(rounds):
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
+        if not left or t and not sofar:
             break
-        share = left / given
-        weight = weight * np.exp(RATE / rounds * (share - share[lengths].mean()) * (sizes > 0))
-        _, last = _priced(lengths, weight[lengths], capacity)
-        for anchor in lengths[::-1].tolist():
-            if not left[anchor]:
-                continue
-            config = _configuration(anchor, last, capacity)
-            if sum(k * v for k, v in config.items()) < capacity:  # not full: left for a later round
-                continue
-            portion = max(1, int(left[anchor]) // max(1, (rounds - t) // 2))
-            times = min(portion // config[anchor], *(int(left[k]) // v for k, v in config.items()))
-            if times > 0:
-                for k, v in config.items():
-                    left[k] -= times * v
-                chosen.append((config, times))
-    return chosen, {int(k): int(left[k]) for k in np.flatnonzero(left)}
+        shares, covered, value = fractional(left, capacity, effort)
+        bound = bound if t else value
+        for fullest in (False, True):
+            chosen, rest = _rounded(shares, left, 1 / covered.min(), True, fullest)
+            ways.append(sofar + chosen)
+            rests.append(rest)
+        chosen, left = _rounded(shares, left, 1 / covered.max(), False)
+        sofar = sofar + chosen
+    return ways, rests, bound
 
 
 def best_fit(counts: dict[int, int], gaps: dict[int, list[list[int]]], n_sequences: int, capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -142,32 +205,34 @@ def best_fit(counts: dict[int, int], gaps: dict[int, list[list[int]]], n_sequenc
     return placed, n_sequences
 
 
-def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """A plan for ``counts`` pieces of every length from 1 to ``capacity``."""
+def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, effort: int = EFFORT) -> Plan:
+    """A plan for ``counts`` pieces of every length from 1 to ``capacity``, in no more sequences than plain best-fit takes."""
     total = sum(k * v for k, v in counts.items())
-    runs: list[tuple[int, int, int, int]] = []
-    n = 0
-    if counts.get(capacity):
-        runs.append((capacity, counts[capacity], 0, 0))
-        n = counts[capacity]
-    gaps: dict[int, list[list[int]]] = {}
-    chosen, left = configurations({k: v for k, v in counts.items() if k < capacity}, capacity, rounds)
-    for config, times in chosen:
-        offset = 0
-        for length, copies in sorted(config.items(), reverse=True):
-            for _ in range(copies):
-                runs.append((length, times, n, offset))
-                offset += length
-        if offset < capacity:
-            gaps.setdefault(capacity - offset, []).append([n, times])
-        n += times
-    more, n = best_fit(left, gaps, n, capacity)
-    runs += more
+    fills = counts.get(capacity, 0)
+    shorter = {k: v for k, v in counts.items() if k < capacity and v}
+    ways, rests, value = configurations(shorter, capacity, rounds, effort)
+    runs, n = best_fit(shorter, {}, fills, capacity)
+    for chosen, left in zip(ways, rests, strict=True):
+        some, gaps, at = [], {}, fills
+        for config, times in chosen:
+            offset = 0
+            for length, copies in sorted(config.items(), reverse=True):
+                for _ in range(copies):
+                    some.append((length, times, at, offset))
+                    offset += length
+            if offset < capacity:
+                gaps.setdefault(capacity - offset, []).append([at, times])
+            at += times
+        more, at = best_fit(left, gaps, at, capacity)
+        if at <= n:
+            runs, n = some + more, at
+    if fills:
+        runs.append((capacity, fills, 0, 0))
     runs.sort(key=lambda r: (r[0], r[2], r[3]))
     length, number, sequence, offset = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else ([], [], [], [])))
     done = np.cumsum(number) - number
     first = done - done[np.searchsorted(length, length)] if len(length) else done
-    return Plan(length, first, sequence, offset, n, total, capacity)
+    return Plan(length, first, sequence, offset, n, total, capacity, fills + value)
 
 
 def _cutter(file: str, end_id: int, capacity: int):
