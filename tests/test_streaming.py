@@ -134,3 +134,67 @@ def test_sessions_and_link_hash_change(spark):
     assert whole[1] == cut[1] and whole[3] != cut[3]
     assert U.day_digest(U.audit_hash(df)).count() == 1
     assert df.select(F.to_date("ts")).distinct().count() == 1
+
+
+class FakeState:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return FakeValue(self, name)
+
+    def getListState(self, name, schema):
+        return FakeValue(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class FakeValue:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name, [] if self.name == "chunks" else None)
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = value
+
+    put = update
+
+    def appendList(self, more):
+        self.store.calls += 1
+        self.store.values.setdefault(self.name, []).extend(more)
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.values.pop(self.name, None)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_a_bucket_of_requests_is_one_read_and_one_write():
+    store, machine = FakeState(), SF.ApprovalMachine("bigint", 6)
+    machine.init(store)
+    us = 1_000_000
+    rows = [(0, k, (k + s) * us, status, None) for k in (*range(500), None) for s, status in ((0, "completed"),) if k is not None] + [(0, None, None, None, None), (0, 7, 8 * us, "approved", None), (0, 8, 20 * us, "approved", None)]
+    out = [tuple(r) for r in machine.handleInputRows((0,), iter(rows), At(0))]
+    assert store.calls <= 3 and len(out) == 504
+    assert (7, "pending_approval", "approved", True, 8 * us) in out and (8, "pending_approval", "expired", True, 14 * us) in out and (8, "expired", "expired", False, 20 * us) in out
+    assert store.timers == {SF.NO_TIME_MS + 6000}
+    out = [tuple(r) for r in machine.handleExpiredTimer((0,), At(9000), At(SF.NO_TIME_MS + 6000))]
+    assert sorted((r[0] is not None, r[0] or 0) for r in out) == [(False, 0), (True, 0), (True, 1), (True, 2)] and 9000 in store.timers
+

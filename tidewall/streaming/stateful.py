@@ -7,13 +7,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from tidewall.operators.lifecycle import APPROVAL_MOVES
 
 MOVES = frozenset(APPROVAL_MOVES)
+MOVE = Row("request_id", "state_before", "state_after", "accepted", "at")
+NO_TIME_MS = -9223372036855  # before all times: of a row without one
 
 
 def _ms(t) -> int:
@@ -26,61 +29,83 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class ApprovalMachine(StatefulProcessor):
-    """State per request; a request still pending at its expiry becomes expired by a timer."""
+    """State of the requests of one bucket; a request still pending at its expiry becomes expired by a timer.
 
-    def __init__(self, ts: str, status: str, expiry_seconds: int):
-        self.ts, self.status, self.expiry_ms = ts, status, expiry_seconds * 1000
+    Calls to the state store cost more than the moves themselves, so a bucket of requests is read and written as one
+    value, and one timer stands at the earliest expiry of its pending requests.
+    """
+
+    def __init__(self, kind: str, expiry_seconds: int):
+        self.kind, self.expiry_ms = kind, expiry_seconds * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, expires bigint")
+        self.requests = handle.getValueState("requests", f"request_id array<{self.kind}>, status array<string>, expires array<bigint>")
+
+    def _known(self) -> dict:
+        request, status, expires = self.requests.get() or ((), (), ())
+        return dict(zip(request, zip(status, expires, strict=True), strict=True))
+
+    @staticmethod
+    def _next_expiry(known: dict) -> int | None:
+        return min((expires for status, expires in known.values() if status == "pending_approval"), default=None)
+
+    def _keep(self, known: dict, timer: int | None) -> None:
+        """Write the bucket; ``timer`` is the one that stands already."""
+        status, expires = zip(*known.values(), strict=True)
+        self.requests.update((list(known), list(status), list(expires)))
+        due = self._next_expiry(known)
+        if due is not None and due != timer:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self.state.get() if self.state.exists() else None
-        out = []
-        batch = _in_order(rows, [self.ts, self.status])
-        for at, target in zip(batch[self.ts], batch[self.status]):
-            t = _ms(at)
-            if known is None:
-                known = ("pending_approval", t + self.expiry_ms)
-                self.handle.registerTimer(known[1])
-            before, expires = known
+        known = self._known()
+        timer = self._next_expiry(known)
+        batch = [(r[1], r[2], r[3]) for r in rows]
+        batch.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or ""))
+        for request, at, target in batch:
+            t = NO_TIME_MS if at is None else at // 1000
+            before, expires = known.get(request) or ("pending_approval", t + self.expiry_ms)
             if before == "pending_approval" and t > expires:
-                known = ("expired", expires)
-                out.append((key[0], before, "expired", True, pd.Timestamp(expires, unit="ms")))
+                yield MOVE(request, before, "expired", True, expires * 1000)
                 before = "expired"
             legal = (before, target) in MOVES
-            known = (target if legal else before, expires)
-            out.append((key[0], before, known[0], legal, at))
-        if known is not None:
-            self.state.update(known)
-        yield pd.DataFrame(out, columns=["request_id", "state_before", "state_after", "accepted", "at"])
+            known[request] = (target if legal else before, expires)
+            yield MOVE(request, before, known[request][0], legal, at)
+        self._keep(known, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
-            return
-        status, expires = self.state.get()
-        if status == "pending_approval":
-            self.state.update(("expired", expires))
-            yield pd.DataFrame(
-                [(key[0], status, "expired", True, pd.Timestamp(expires, unit="ms"))],
-                columns=["request_id", "state_before", "state_after", "accepted", "at"],
-            )
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        known = self._known()
+        due = [(request, expires) for request, (status, expires) in known.items() if status == "pending_approval" and (expires <= fired or expires < now)]
+        if due:
+            for request, expires in due:
+                known[request] = ("expired", expires)
+                yield MOVE(request, "pending_approval", "expired", True, expires * 1000)
+            self._keep(known, None)
 
     def close(self) -> None:
         pass
 
 
-def stream_approvals(events: DataFrame, key: str, ts: str, status: str, expiry_seconds: int = 72 * 3600, lateness: str = "1 hour") -> DataFrame:
-    """Every move of every request: state before and after, accepted or not, and timed expiries."""
+def stream_approvals(
+    events: DataFrame, key: str, ts: str, status: str, expiry_seconds: int = 72 * 3600, lateness: str = "1 hour", buckets: int = 16384
+) -> DataFrame:
+    """Every move of every request: state before and after, accepted or not, and timed expiries.
+
+    Requests are dealt to ``buckets`` by a hash of their key; a bucket is one key of the state store. The number cannot change between
+    two runs on one checkpoint.
+    """
     kind = events.schema[key].dataType.simpleString()
-    schema = StructType.fromDDL(f"request_id {kind}, state_before string, state_after string, accepted boolean, at timestamp")
-    return (
+    schema = StructType.fromDDL(f"request_id {kind}, state_before string, state_after string, accepted boolean, at bigint")
+    moves = (
         events.select(key, ts, status)
         .withWatermark(ts, lateness)
-        .groupBy(key)
-        .transformWithStateInPandas(ApprovalMachine(ts, status, expiry_seconds), schema, "Append", "EventTime")
+        .select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("request_id"), F.unix_micros(ts).alias("micros"), F.col(status).alias("status"), F.col(ts).alias("ts"))
+        .groupBy("bucket")
+        .transformWithState(ApprovalMachine(kind, expiry_seconds), schema, "Append", "EventTime")
     )
+    return moves.withColumn("at", F.timestamp_micros("at"))
 
 
 class LimiterMachine(StatefulProcessor):
