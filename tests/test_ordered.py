@@ -180,3 +180,16 @@ def test_a_limit_of_zero_denies(spark):
     assert {r.remaining for r in got} == {0}
     accounts = spark.createDataFrame([(1, 0)], "k int, hourly_limit int")
     assert all(r.allowed for r in N.hourly_limit(df, accounts, "k", ["ts", "id"], "ts").collect())
+
+
+def test_a_role_of_most_members_is_no_single_task(spark):
+    """Requests of one role are dealt to many tasks, and who has no approver is told without the pairs."""
+    requests = spark.range(400).selectExpr("id as request_id", "id % 2 as template_id", "'d' as department").coalesce(1)
+    templates = spark.createDataFrame([(0, "role", ["ADMIN"], None), (1, "custom", None, [])], "template_id bigint, pool string, roles array<string>, user_ids array<string>")
+    members = spark.range(300).selectExpr("'Admin' as role", "concat('u', id) as user_id")
+    out = L.select_approvers(requests, templates, members, spark.createDataFrame([], "department string, head_id string"))
+    found = out.where("error is null")
+    assert found.select(F.spark_partition_id()).distinct().count() > 4 and found.count() == 200 * 300
+    assert sorted(r.request_id for r in out.where("error is not null").collect()) == list(range(1, 400, 2))
+    anti = out.where("error is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "user_id" not in anti
