@@ -69,3 +69,11 @@ def test_audit_filters_are_pushed(spark, tmp_path):
     assert "EqualTo(event_type,x)" in text
     stats = plan(U.audit_query(spark.read.parquet(path), event_type="x").select("event_id"))
     assert "ReadSchema: struct<event_id:int,event_type:string>" in stats
+
+
+def test_small_rows_that_become_long_texts_are_dealt_out(spark):
+    from tidewall.plans import catalog
+
+    catalog.load_all()
+    cells = catalog.QUERIES["S3_hard_csv"](spark, "/root/testdata/sf0.001")
+    assert cells.select(F.spark_partition_id()).distinct().count() > 4

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewall.operators import audit as U
 from tidewall.plans.catalog import query
 from tidewall.plans.views import load
-from tidewall.session import checkpoint_dir
+from tidewall.session import checkpoint_dir, spread
 from tidewall.sources import sinks, text
 from tidewall.sources.rules import load_rules
 from tidewall.sources.tables import list_tables, read_table, scan_files, table_exists
@@ -43,7 +43,7 @@ NOTE = "concat('a \"', c_mktsegment, '\", b')"
 
 
 def csv_docs(spark, d):
-    c = load(spark, d, "customer").withColumn("note", F.expr(NOTE))
+    c = spread(load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")).withColumn("note", F.expr(NOTE))
     line = text.to_csv_line(CSV_COLS)
     blank = F.when(F.col("c_custkey") % 10 == 0, F.lit("\n,,,")).otherwise(F.lit(""))
     return c.select("c_custkey", F.concat(F.lit(",".join(CSV_COLS) + "\n"), line, blank).alias("doc"))
@@ -106,7 +106,8 @@ HARD_CSV = (
        from customer, unnest([0, 2]) as a(r), unnest([0, 1]) as b(c)""",
 )
 def _(spark, d):
-    docs = load(spark, d, "customer").selectExpr("c_custkey as key", f"{HARD_CSV} as doc")
+    # a key of 8 bytes becomes a text of 20,000: the keys are dealt out, not the texts
+    docs = spread(load(spark, d, "customer").select("c_custkey")).selectExpr("c_custkey as key", f"{HARD_CSV} as doc")
     cells = text.read_csv_text(docs, "key", "doc", text.CsvOptions(max_rows=3))
     return cells.select("key", "row_index", "col_index", "column_name", F.md5("value").alias("value_md5"))
 
