@@ -77,3 +77,12 @@ def test_small_rows_that_become_long_texts_are_dealt_out(spark):
     catalog.load_all()
     cells = catalog.QUERIES["S3_hard_csv"](spark, "/root/testdata/sf0.001")
     assert cells.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_documents_to_walk_are_dealt_out(spark):
+    from tidewall.plans import catalog
+
+    catalog.load_all()
+    for name in ("F4_scan_xml", "F3_scan_json"):
+        found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert found.select(F.spark_partition_id()).distinct().count() > 4, name
