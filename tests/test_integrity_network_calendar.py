@@ -308,3 +308,30 @@ def test_a_huge_declared_count_is_dealt_out(spark):
     have = spark.createDataFrame([(1, i) for i in range(0, 3000, 2)], "id int, chunk_index bigint")
     got = {(r.id, r.chunk_index) for r in I.missing_chunks(have, expected, "id", "expected_count").collect()}
     assert got == {(1, i) for i in range(1, 3000, 2)} | {(3, 0)}
+
+
+def test_chunks_dealt_out_by_file_are_not_moved_again(spark):
+    """Only rows of whole texts and of nodes travel: no exchange lies above the chunks."""
+    from tidewall.plans import catalog
+    from tidewall.plans.catalog import integrity as Q
+
+    catalog.load_all()
+    d = "/root/testdata/sf0.01"
+
+    def exchanges_over_chunks(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+        at = [i for i, x in enumerate(plan) if "Generate posexplode" in x]
+        depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+        above = []
+        for i in at:
+            d0 = depth(plan[i])
+            for x in reversed(plan[:i]):
+                if depth(x) < d0:
+                    d0 = depth(x)
+                    above.append(x)
+                    if "partial_" in x:  # one row per file or run of chunks from here on
+                        break
+        return [x for x in above if "Exchange" in x]
+
+    assert exchanges_over_chunks(I.envelopes(Q.parts(spark, d), "doc_id")) == []
+    assert exchanges_over_chunks(I._pages_once(Q.parts(spark, d), "doc_id", "data", 256)) == []

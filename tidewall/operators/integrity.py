@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewall.functions.ordered import next_after, reached, time_bucket, with_previous, with_running_sum
@@ -199,25 +199,34 @@ def reassemble(
     )
 
 
-def merkle_roots(chunks: DataFrame, key: str, data: str = "data", fanout: int = FANOUT) -> DataFrame:
-    """One row per file: pages, total_size and the root of its hash tree.
+def _pages_once(chunks: DataFrame, key: str, data: str, fanout: int) -> DataFrame:
+    """Pages without their repeats (key, __node, __i, __d); a node holds ``fanout`` neighbouring places."""
+    placed = chunks.select(key, F.col("chunk_index").cast("bigint").alias("__i"), F.col(data).alias("__d"))
+    return placed.withColumn("__node", F.floor(F.col("__i") / fanout).cast("bigint")).groupBy(key, "__node", "__i").agg(F.min("__d").alias("__d"))
 
-    A leaf is the SHA-256 of a page's place and of its own SHA-256, so pages that are changed, moved, lost or added give another root. A
-    node is the SHA-256 of the hashes under it in order, ``fanout`` at most, and a single node is the root: no task holds more of a
-    file than that, whatever its size. Repeats of a page count once, the least one; places count from 0 and may miss some. No
-    chunks give no rows.
-    """
-    once = chunks.groupBy(key, F.col("chunk_index").cast("bigint").alias("__i")).agg(F.min(data).alias("__d"))
+
+def _lowest_nodes(once: DataFrame, key: str) -> DataFrame:
+    """The nodes right above the pages: first leaf, hash of all leaves, number and bytes of the pages, last place. Leaves are written nowhere."""
     leaf = F.sha2(F.concat_ws(":", "__i", F.sha2(F.col("__d"), 256)), 256)
-    level = cut_lineage(once.select(key, "__i", leaf.alias("__h"), F.octet_length("__d").cast("bigint").alias("__size")))
-    sizes = cut_lineage(level.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.sum("__size").alias("total_size"), (F.max("__i") + 1).alias("__n")))
-    level = level.drop("__size").join(sizes.select(key, F.col("__n").alias("__left")), key)
-    most = sizes.agg(F.max("__n")).first()[0] or 0
+    leaves = once.select(key, "__node", "__i", leaf.alias("__h"), F.octet_length("__d").cast("bigint").alias("__size"))
+    under = F.array_sort(F.collect_list(F.struct("__i", "__h")))
+    nodes = leaves.groupBy(key, "__node").agg(under.alias("__u"), F.count(F.lit(1)).alias("__pages"), F.sum("__size").alias("__size"), F.max("__i").alias("__last"))
+    joint = F.sha2(F.array_join(F.transform("__u", lambda x: x["__h"]), ""), 256)
+    return cut_lineage(nodes.select(key, "__node", F.col("__u")[0]["__h"].alias("__first"), joint.alias("__joint"), "__pages", "__size", "__last"))
+
+
+def _roots(nodes: DataFrame, key: str, fanout: int) -> DataFrame:
+    sizes = cut_lineage(nodes.groupBy(key).agg(F.sum("__pages").alias("pages"), F.sum("__size").alias("total_size"), (F.max("__last") + 1).alias("__n")))
+    level = nodes.join(sizes.select(key, "__n"), key).select(
+        key, F.col("__node").alias("__i"), F.when(F.col("__n") == 1, F.col("__first")).otherwise(F.col("__joint")).alias("__h"),
+        F.ceil(F.col("__n") / fanout).cast("bigint").alias("__left"),
+    )
+    most = -(-(sizes.agg(F.max("__n")).first()[0] or 0) // fanout)
     while most > 1:
         under = F.array_sort(F.collect_list(F.struct("__i", "__h")))
-        nodes = level.groupBy(key, F.floor(F.col("__i") / fanout).cast("bigint").alias("__i")).agg(under.alias("__u"), F.min("__left").alias("__left"))
+        above = level.groupBy(key, F.floor(F.col("__i") / fanout).cast("bigint").alias("__i")).agg(under.alias("__u"), F.min("__left").alias("__left"))
         joint = F.sha2(F.array_join(F.transform("__u", lambda x: x["__h"]), ""), 256)
-        level = nodes.select(
+        level = above.select(
             key, "__i", F.when(F.col("__left") == 1, F.col("__u")[0]["__h"]).otherwise(joint).alias("__h"),
             F.ceil(F.col("__left") / fanout).cast("bigint").alias("__left"),
         )
@@ -225,21 +234,36 @@ def merkle_roots(chunks: DataFrame, key: str, data: str = "data", fanout: int =
     return sizes.drop("__n").join(level.select(key, F.col("__h").alias("root")), key)
 
 
+def merkle_roots(chunks: DataFrame, key: str, data: str = "data", fanout: int = FANOUT) -> DataFrame:
+    """One row per file: pages, total_size and the root of its hash tree.
+
+    A leaf is the SHA-256 of a page's place and of its own SHA-256, so pages that are changed, moved, lost or added give another root. A
+    node is the SHA-256 of the hashes under it in order, ``fanout`` at most, and a single node is the root: no task holds more of a
+    file than that, whatever its size. Repeats of a page count once, the least one; places count from 0 and may miss some. No
+    chunks give no rows. Chunks that are dealt out by ``key`` already are not moved again.
+    """
+    return _roots(_lowest_nodes(_pages_once(chunks, key, data, fanout), key), key, fanout)
+
+
 def verified_pages(chunks: DataFrame, files: DataFrame, key: str, root: str = "root", data: str = "data", fanout: int = FANOUT) -> DataFrame:
     """The pages of every file of ``files`` (key and expected root), each with the byte it starts at and the file's status: ok or hash_mismatch.
 
     The content of a file is its pages by chunk_index; nothing is gathered, so files of any size are checked and handed on. Repeats of
-    a page count once; files without a page give no row.
+    a page count once; files without a page give no row. Only the lowest nodes of the trees are written down and summed over a file; a page
+    takes the start of its node from there.
     """
-    roots = merkle_roots(chunks, key, data, fanout).select(key, F.col("root").alias("__root"))
-    status = cut_lineage(
-        files.select(key, F.col(root).alias("__want")).join(roots, key).select(key, F.when(F.col("__root") == F.col("__want"), F.lit("ok")).otherwise(F.lit("hash_mismatch")).alias("status"))
+    once = _pages_once(chunks, key, data, fanout)
+    nodes = _lowest_nodes(once, key)
+    roots = _roots(nodes, key, fanout).select(key, F.col("root").alias("__root"))
+    status = files.select(key, F.col(root).alias("__want")).join(roots, key).select(key, F.when(F.col("__root") == F.col("__want"), F.lit("ok")).otherwise(F.lit("hash_mismatch")).alias("status"))
+    bucket = F.floor(F.col("__node") / CHUNKS_PER_BUCKET).cast("bigint")
+    summed = with_running_sum(nodes.select(key, "__node", "__size"), [key], ["__node"], F.col("__size"), "__end", bucket)
+    starts = summed.select(key, "__node", (F.col("__end") - F.col("__size")).alias("__base")).join(status, key)
+    size = F.octet_length("__d").cast("bigint")
+    within = once.withColumn("__before", F.sum(size).over(Window.partitionBy(key, "__node").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)) - size)
+    return within.join(starts, [key, "__node"]).select(
+        key, F.col("__i").alias("chunk_index"), (F.col("__base") + F.col("__before")).alias("start"), F.col("__d").alias(data), "status"
     )
-    once = chunks.groupBy(key, F.col("chunk_index").cast("bigint").alias("chunk_index")).agg(F.min(data).alias(data))
-    sized = cut_lineage(once.join(status, key)).withColumn("__size", F.octet_length(data).cast("bigint"))
-    bucket = F.floor(F.col("chunk_index") / CHUNKS_PER_BUCKET).cast("bigint")
-    placed = with_running_sum(sized, [key], ["chunk_index"], F.col("__size"), "__end", bucket)
-    return placed.select(key, "chunk_index", (F.col("__end") - F.col("__size")).alias("start"), data, "status")
 
 
 def chunk_mismatch(df: DataFrame, data: str = "data", expected: str = "expected_md5") -> DataFrame:
