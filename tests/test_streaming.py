@@ -198,3 +198,15 @@ def test_a_bucket_of_requests_is_one_read_and_one_write():
     out = [tuple(r) for r in machine.handleExpiredTimer((0,), At(9000), At(SF.NO_TIME_MS + 6000))]
     assert sorted((r[0] is not None, r[0] or 0) for r in out) == [(False, 0), (True, 0), (True, 1), (True, 2)] and 9000 in store.timers
 
+
+def test_decision_files_are_written_by_several_tasks(spark, monkeypatch):
+    from tidewall.plans import catalog
+    from tidewall.plans.catalog import streams
+
+    catalog.load_all()
+    seen = []
+    monkeypatch.setattr(streams.S, "stream_decision_files", lambda spark, path, **k: seen.append(path) or spark.readStream.format("rate").load().selectExpr("'a' as decided_file_id", "'b' as target_state"))
+    monkeypatch.setattr(streams, "run", lambda spark, stream, label: stream)
+    catalog.QUERIES["X9_stream_decision_files"](spark, "/root/testdata/sf0.01")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(seen[0]).select("path").collect()
+    assert len(files) == 100 and len({f.path.rsplit("/", 1)[1].split("-")[1] for f in files}) > 1

@@ -197,7 +197,10 @@ def _(spark, d):
     names = load(spark, d, "supplier").selectExpr(
         "concat(s_suppkey, case when s_suppkey % 5 = 0 then '.note' when s_suppkey % 2 = 0 then '.approved' else '.rejected' end) as decision", "'x' as value"
     )
-    names.write.partitionBy("decision").text(f"{base}/in")
+    # every task makes and commits the files of its decisions; the driver moves none
+    names.repartition(spark.sparkContext.defaultParallelism * 4, "decision").write.partitionBy("decision").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).text(f"{base}/in")
     out = run(spark, S.stream_decision_files(spark, f"{base}/in", name_in_path=r"decision=([^/]+)/[^/]+$"), "decided")
     return out.select("decided_file_id", "target_state")
 
