@@ -199,6 +199,18 @@ def test_a_bucket_of_requests_is_one_read_and_one_write():
     assert sorted((r[0] is not None, r[0] or 0) for r in out) == [(False, 0), (True, 0), (True, 1), (True, 2)] and 9000 in store.timers
 
 
+def test_chunks_of_a_batch_are_one_write_and_are_read_once():
+    store, machine = FakeState(), SF.AssemblyMachine(10)
+    machine.init(store)
+    parts = lambda *at: iter([(5, None, i, f"{i},", 300, 0) for i in at])
+    assert list(machine.handleInputRows((5,), parts(*range(200), *range(50)), At(0))) == []
+    assert store.calls <= 4
+    assert list(machine.handleInputRows((5,), parts(*range(150, 290)), At(0))) == []  # 50 come again
+    out = list(machine.handleInputRows((5,), parts(*range(285, 300)), At(0)))
+    assert [tuple(r)[:3] for r in out] == [(5, "complete", 300)] and out[0]["content"] == "".join(f"{i}," for i in range(300))
+    assert "chunks" not in store.values and list(machine.handleInputRows((5,), parts(1), At(0))) == []
+
+
 def test_decision_files_are_written_by_several_tasks(spark, monkeypatch):
     from tidewall.plans import catalog
     from tidewall.plans.catalog import streams

@@ -16,6 +16,7 @@ from tidewall.operators.lifecycle import APPROVAL_MOVES
 
 MOVES = frozenset(APPROVAL_MOVES)
 MOVE = Row("request_id", "state_before", "state_after", "accepted", "at")
+FILE = Row("file_id", "outcome", "chunks", "file_md5", "content")
 NO_TIME_MS = -9223372036855  # before all times: of a row without one
 
 
@@ -148,50 +149,65 @@ def stream_limiter(events: DataFrame, key: str, ts: str, id_col: str, limit: int
 
 
 class AssemblyMachine(StatefulProcessor):
-    """Chunks of a file until all are there; an idle file is dropped by a timer."""
+    """Chunks of a file until all are there; an idle file is dropped by a timer.
 
-    def __init__(self, ts: str, idle_seconds: int):
-        self.ts, self.idle_ms = ts, idle_seconds * 1000
+    Chunks are written as one list per batch and read back when they may be complete. Of a chunk that comes twice the
+    first counts.
+    """
+
+    def __init__(self, idle_seconds: int):
+        self.idle_ms = idle_seconds * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "chunk_index bigint", "data string")
+        self.chunks = handle.getListState("chunks", "chunk_index bigint, data string")
+        # received: chunks in the list; one that came in several batches counts in each until the list is read
         self.seen = handle.getValueState("seen", "expected bigint, received bigint, last bigint")
 
+    def _stored(self) -> dict[int, str]:
+        out: dict[int, str] = {}
+        for i, data in self.chunks.get():
+            out.setdefault(i, data)
+        return out
+
     def handleInputRows(self, key, rows, timerValues):
-        expected, received, last = self.seen.get() if self.seen.exists() else (0, 0, 0)
+        expected, received, last = self.seen.get() or (0, 0, 0)
         if received < 0:
             return
-        for pdf in rows:
-            for i, data, n, t in zip(pdf["chunk_index"], pdf["data"], pdf["expected_count"], pdf[self.ts]):
-                if not self.chunks.containsKey((int(i),)):
-                    received += 1
-                    self.chunks.updateValue((int(i),), (data,))
-                expected, last = int(n), max(last, _ms(t))
-        if expected and received >= expected:
-            parts = [self.chunks.getValue((i,))[0] for i in range(expected)]
-            content = "".join(parts)
-            self.chunks.clear()
+        fresh: dict[int, str] = {}
+        for _, _, i, data, n, t in rows:
+            fresh.setdefault(int(i), data)
+            expected, last = int(n), max(last, t)
+        parts = fresh
+        if received and received + len(fresh) >= expected:
+            stored = self._stored()
+            parts = fresh | stored
+            fresh = {i: data for i, data in fresh.items() if i not in stored}
+            if len(stored) < received:
+                self.chunks.put(list(stored.items()))
+                received = len(stored)
+        if expected and received + len(fresh) >= expected and all(i in parts for i in range(expected)):
+            content = "".join(parts[i] for i in range(expected))
+            if received:
+                self.chunks.clear()
             self.seen.update((expected, -1, last))
-            yield pd.DataFrame(
-                [(key[0], "complete", expected, hashlib.md5(content.encode()).hexdigest(), content)],
-                columns=["file_id", "outcome", "chunks", "file_md5", "content"],
-            )
+            yield FILE(key[0], "complete", expected, hashlib.md5(content.encode()).hexdigest(), content)
         else:
-            self.seen.update((expected, received, last))
+            if fresh:
+                self.chunks.appendList(list(fresh.items()))
+            self.seen.update((expected, received + len(fresh), last))
             self.handle.registerTimer(last + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.seen.exists():
+        seen = self.seen.get()
+        if seen is None:
             return
-        _, received, last = self.seen.get()
+        _, received, last = seen
         if received >= 0 and expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
+            received = len(self._stored())
             self.chunks.clear()
             self.seen.clear()
-            yield pd.DataFrame(
-                [(key[0], "dropped_idle", received, None, None)],
-                columns=["file_id", "outcome", "chunks", "file_md5", "content"],
-            )
+            yield FILE(key[0], "dropped_idle", received, None, None)
 
     def close(self) -> None:
         pass
@@ -204,7 +220,7 @@ def stream_assemble(chunks: DataFrame, key: str, ts: str, idle_seconds: int = 36
     return (
         chunks.select(key, ts, "chunk_index", "data", "expected_count")
         .withWatermark(ts, lateness)
-        .groupBy(key)
-        .transformWithStateInPandas(AssemblyMachine(ts, idle_seconds), schema, "Append", "EventTime")
+        .select(F.col(key).alias("file_id"), ts, "chunk_index", "data", "expected_count", F.coalesce(F.unix_millis(ts), F.lit(NO_TIME_MS)).alias("millis"))
+        .groupBy("file_id")
+        .transformWithState(AssemblyMachine(idle_seconds), schema, "Append", "EventTime")
     )
-
