@@ -326,6 +326,27 @@ def test_n_best_of_a_table(spark):
     assert nbest.n_best(docs(spark, []), 3).count() == 0
 
 
+def test_spans_go_through_the_lattice_together(monkeypatch):
+    """Many spans at once give the ways, scores and losses that each gives alone; only long ones go alone."""
+    lattice = nbest.segmenter().lattice
+    random.seed(6)
+    texts = ["▁the", "t", "é", "☃", "😀", "\x00", "hen" * 30] + ["".join(random.choice("then▁é☃😀") for _ in range(random.randint(1, 20))) for _ in range(300)]
+    codes = np.array([ord(c) for t in texts for c in t], np.int64)
+    ids, count, numbers = lattice.best_and_losses(codes, np.array([len(t) for t in texts]))
+    for text, own, (score, loss) in zip(texts, np.split(ids, np.cumsum(count)[:-1]), numbers, strict=True):
+        assert (own.tolist(), score, loss) == lattice.best_and_loss(text), text
+    alone = []
+    plain = nbest.Lattice.best_and_loss
+    monkeypatch.setattr(nbest.Lattice, "best_and_loss", lambda self, text: alone.append(text) or plain(self, text))
+    work = nbest.Segmenter()
+    words = ["then the hen", "", None, "ten " * 50, "x" + "then" * 30, "é☃ 😀"]
+    got = [w[0][1].tolist() for w in work.segment(words, 1)]
+    assert [lattice.decode(i) for i in got] == [w or "" for w in words]
+    assert all(len(t) > nbest.LONG_SPAN for t in alone)
+    monkeypatch.setattr(nbest, "AT_ONCE", 3)
+    assert [w[0][1].tolist() for w in nbest.Segmenter().segment(words, 1)] == got
+
+
 NAMES = [
     ("Mr McDonald came", "Mr ", " came"), ("Dr Jean-Luc Picard's ship", "Dr ", "'s ship"), ("Mr Smith-Jones.", "Mr ", "."), ("Mary-Ann Smith went", "", " went"),
     ("Mrs O'Brien, and", "Mrs ", ", and"), ("Mr Smith's house", "Mr ", "'s house"), ("James O’Neil", "", ""), ("Dr. Иванов-Петров пришёл", "Dr. ", " пришёл"), ("Mary Smithé ok", "", " ok"),

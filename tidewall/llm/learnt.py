@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-Learn = Callable[[np.ndarray], tuple[list, np.ndarray]]
+Learn = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Learnt:
-    """Ids and numbers of pieces. Lookups are array operations; only pieces not met before are learnt one by one.
+    """Ids and numbers of pieces. Lookups are array operations; only pieces not met before are learnt.
 
     ``most`` bounds the memory: beyond it the store starts afresh.
     """
@@ -26,7 +26,7 @@ class Learnt:
         self.numbers = np.zeros((0, self.width))
 
     def slots(self, hashes: np.ndarray, learn: Learn) -> np.ndarray:
-        """Row of every piece. ``learn`` gets the positions of the pieces to learn and returns their ids and numbers."""
+        """Row of every piece. ``learn`` gets the positions of the pieces to learn and returns ids, where each piece's begin, how many it has, and its numbers."""
         keys, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -36,11 +36,9 @@ class Learnt:
             if len(self.keys) and len(self.keys) + int(new.sum()) > self.most:
                 self.clear()
                 new[:] = True
-            found, numbers = learn(sample[new])
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))
+            ids, first, n, numbers = learn(sample[new])
             put = np.searchsorted(self.keys, keys[new])
-            self.at = np.insert(self.at, put, np.cumsum(n) - n + len(self.ids))
+            self.at = np.insert(self.at, put, first + len(self.ids))
             self.n = np.insert(self.n, put, n)
             self.numbers = np.insert(self.numbers, put, numbers, axis=0)
             self.keys = np.insert(self.keys, put, keys[new])

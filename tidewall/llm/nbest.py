@@ -5,9 +5,9 @@ A forward Viterbi pass gives every place of the lattice the best score of a way
 their scores and the search stops at the n-th.
 
 No piece of the vocabulary spans a pair of neighbouring characters that is inside no piece, so the lattice
-falls apart there into spans. Equal spans share one Viterbi pass; across the chain of spans the
-same search runs on losses against the best, and only the n - 1 spans with the least second-best
-loss can differ from the best way.
+falls apart there into spans. Equal spans share one Viterbi pass, which goes through many spans at once, place by
+place; across the chain of spans the same search runs on losses against the best, and only the n - 1 spans with the
+least second-best loss can differ from the best way.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SPACE = "▁"
 OFFSET = 2.7  # of the Zipf law that turns a piece's rank into a probability
 BYTE_COST = 10.0  # how much less likely than the rarest piece a byte is
 KNOWN_SPANS = 400_000
+LONG_SPAN = 64  # characters beyond which a span goes through the lattice by itself
+AT_ONCE = 250_000  # characters of spans that go through it together
 
 
 class Lattice:
@@ -60,6 +62,7 @@ class Lattice:
         self.longest = max(map(len, ids))
         self.byte_score = min(self.score.values()) - BYTE_COST
         inside = {(ord(a) << 21) | ord(b) for p in ids for a, b in zip(p, p[1:], strict=False)}
+        self._trie()
         self.pairs = np.array(sorted(inside), np.int64)
         self.ascii_pair = np.zeros(128 * 128, bool)
         for code in inside:
@@ -67,6 +70,105 @@ class Lattice:
             if a < 128 and b < 128:
                 self.ascii_pair[a * 128 + b] = True
 
+    def _trie(self) -> None:
+        """The pieces as a tree: sorted steps (node, character), the node after each, and the piece at every node, if any."""
+        steps: dict[int, int] = {}
+        piece_at = {}
+        for piece, i in self.ids.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault((node << 21) | ord(c), len(steps) + 1)
+            piece_at[node] = i
+        self.steps = np.array(sorted(steps), np.int64)
+        self.after_step = np.array([steps[s] for s in self.steps.tolist()], np.int64)
+        # a number for every edge: a piece, a character of one to four bytes, none
+        n = len(self.pieces)
+        self.piece_at = np.full(len(steps) + 1, n + 4, np.int32)
+        self.piece_at[list(piece_at)] = list(piece_at.values())
+        self.edge_score = np.full(n + 5, -np.inf)
+        for piece, i in self.ids.items():
+            self.edge_score[i] = self.score[piece]
+        self.edge_score[n : n + 4] = [self.byte_score * k for k in range(1, 5)]
+
+    def _edges_of_all(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Edge of every length (row) that ends at every character; ``left``: characters up to the end of the span, this one included."""
+        n = len(self.pieces)
+        out = np.full((self.longest + 1, len(codes)), n + 4, np.int32)
+        at = np.arange(len(codes))
+        node = np.zeros(len(codes), np.int64)
+        for length in range(1, self.longest + 1):
+            step = (node << 21) | codes[at + length - 1]
+            slot = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            found = self.steps[slot] == step
+            at, node = at[found], self.after_step[slot[found]]
+            out[length, at + length - 1] = self.piece_at[node]
+            more = left[at] > length
+            at, node = at[more], node[more]
+        alone = np.flatnonzero(out[1] == n + 4)
+        out[1, alone] = n + np.searchsorted([0x80, 0x800, 0x10000], codes[alone], "right")
+        return out
+
+    def best_and_losses(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``best_and_loss`` of many spans at once: ids of all of them in a row, how many each has, and score and loss of each.
+
+        ``codes`` are the characters of all spans in a row, ``size`` the characters of each span. Places are laid out by their
+        distance from the start of the span, the longest spans first, so that a step of the pass is a step of all spans.
+        """
+        spans_n, longest, none = len(size), int(size.max()), len(self.pieces) + 4
+        first = np.cumsum(size) - size
+        span = np.repeat(np.arange(spans_n), size)
+        end = np.arange(len(codes)) - first[span] + 1
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(spans_n, np.int64)
+        rank[order] = np.arange(spans_n)
+        reach = np.r_[spans_n, np.cumsum(np.bincount(size, minlength=longest + 1)[::-1])[::-1][1:]]  # spans of so many characters at least
+        base = np.cumsum(reach) - reach
+        put = base[end] + rank[span]  # place after every character
+        edge = np.full((self.longest + 1, len(codes) + spans_n), none, np.int32)
+        edge[:, put] = self._edges_of_all(codes, size[span] - end + 1)
+
+        best, after = np.zeros(len(codes) + spans_n), np.zeros(len(codes) + spans_n)
+        back = np.zeros(len(best), np.int64)
+        for e in range(1, longest + 1):
+            n, here = int(reach[e]), int(base[e])
+            top, by = np.full(n, -np.inf), np.zeros(n, np.int64)
+            for length in range(min(e, self.longest), 0, -1):  # of equal ways the one with the longest last piece
+                way = best[base[e - length] : base[e - length] + n] + self.edge_score[edge[length, here : here + n]]
+                better = way > top
+                top[better], by[better] = way[better], length
+            best[here : here + n], back[here : here + n] = top, by
+        for e in range(longest - 1, -1, -1):
+            top = np.full(int(reach[e + 1]), -np.inf)
+            for length in range(1, min(longest - e, self.longest) + 1):
+                n, there = int(reach[e + length]), int(base[e + length])
+                np.maximum(top[:n], after[there : there + n] + self.edge_score[edge[length, there : there + n]], out=top[:n])
+            after[base[e] : base[e] + len(top)] = top
+
+        own = np.zeros(len(best), bool)
+        own[base[size] + rank] = True
+        for e in range(longest, 0, -1):
+            here = np.arange(base[e], base[e] + reach[e])
+            here = here[own[here]]
+            own[base[e - back[here]] + here - base[e]] = True
+        second = np.full(len(best), -np.inf)
+        level = np.repeat(np.arange(longest + 1), reach)
+        for length in range(1, min(longest, self.longest) + 1):
+            to = np.flatnonzero((edge[length] != none) & ~(own & (back == length)))
+            start = base[level[to] - length] + to - base[level[to]]
+            second[to] = np.maximum(second[to], best[start] + self.edge_score[edge[length, to]] + after[to])
+        score = best[base[size] + rank]
+        loss = np.maximum(score - np.maximum.reduceat(second[put], first), 0.0)
+
+        cut = np.flatnonzero(own[put])
+        taken = edge[back[put[cut]], put[cut]].astype(np.int64)
+        count = np.where(taken < len(self.pieces), 1, taken - len(self.pieces) + 1)
+        ids = np.repeat(taken, count)
+        as_bytes = ids >= len(self.pieces)
+        if as_bytes.any():
+            plain = codes[cut[taken >= len(self.pieces)]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            ids[as_bytes] = self.byte_id[np.frombuffer(plain.encode("utf-8", "surrogatepass"), np.uint8)]
+        return ids.astype(np.uint32), np.bincount(span[cut], count, spans_n).astype(np.int64), np.stack([score, loss], axis=1)
+
     def edges(self, text: str, end: int) -> list[tuple[int, float]]:
         """Pieces of the text that end at a place: where they start and their scores."""
         out = []
@@ -192,8 +294,27 @@ class Segmenter:
         hashes = A.run_hashes(A.mix(codes.astype(np.uint64) + A.U(1)), starts, ends, A.WORDS)
 
         def learn(at: np.ndarray):
-            found = [self.lattice.best_and_loss(whole[starts[i] : ends[i]]) for i in at.tolist()]
-            return [f[0] for f in found], np.array([f[1:] for f in found]).reshape(-1, 2)
+            size = ends[at] - starts[at]
+            long = size > LONG_SPAN
+            part = np.where(long, -1, np.cumsum(np.where(long, 0, size)) // AT_ONCE)
+            count, numbers = np.zeros(len(at), np.int64), np.zeros((len(at), 2))
+            found, done = [], []
+            for p in np.unique(part[~long]).tolist():
+                own = np.flatnonzero(part == p)
+                n = size[own]
+                chars = codes[np.repeat(starts[at[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                few, count[own], numbers[own] = self.lattice.best_and_losses(chars.astype(np.int64), n)
+                found.append(few)
+                done.append(own)
+            for i in np.flatnonzero(long).tolist():
+                few, *numbers[i] = self.lattice.best_and_loss(whole[starts[at[i]] : ends[at[i]]])
+                count[i] = len(few)
+                found.append(np.array(few, np.uint32))
+                done.append([i])
+            done = np.concatenate(done)
+            first = np.empty(len(at), np.int64)
+            first[done] = np.cumsum(count[done]) - count[done]
+            return np.concatenate(found), first, count, numbers
 
         slots = self.known.slots(hashes, learn)
         ids, count = self.known.gather(slots)
