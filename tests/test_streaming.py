@@ -1,11 +1,14 @@
 import datetime as dt
+import gzip
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from tidewall.operators import audit as U
 from tidewall.sources import sinks
+from tidewall.sources.digests import Md5, file_digests
 from tidewall.sources.tables import scan_files
 from tidewall.streaming import stateful as SF
 from tidewall.streaming import streams as S
@@ -116,6 +119,26 @@ def test_audit_sinks(spark, tmp_path):
     )
 
 
+def test_file_digests_read_large_files_in_ranges(spark, tmp_path):
+    """Files above the range have the MD5 of all their bytes, whatever their lines, and no task is given a whole one."""
+    r = random.Random(3)
+    made = {
+        "random.bin": r.randbytes(70_000), "ends.bin": r.randbytes(40_000) + b"\r\n", "feeds.bin": b"\n" * 30_001, "one line.bin": b"\x00" * 50_000,
+        "mark.bin": b"\xef\xbb\xbf" + r.randbytes(30_000) + b"\n", "a%20[b].bin": b"\nx\n" * 9_000, "edge.bin": r.randbytes(10_000), "over.bin": r.randbytes(10_001),
+        "small.bin": b"abc", "packed.bin.gz": gzip.compress(r.randbytes(20_000)), "unread.txt": r.randbytes(20_000),
+    }
+    (tmp_path / "sub").mkdir()
+    for i, (name, data) in enumerate(made.items()):
+        (tmp_path / ("sub" if i % 2 else ".") / name).write_bytes(data)
+    got = {x.name: (x["size"], x.md5, x.magic) for x in file_digests(spark, str(tmp_path), "*.bin*", most=10_000).collect()}
+    want = {n: (len(d), hashlib.md5(d).hexdigest(), d[:4].hex().upper()) for n, d in made.items() if n != "unread.txt"}
+    assert got == want
+    assert file_digests(spark, str(tmp_path), "*.bin*", most=1 << 20).count() == len(want)
+    for k in (0, 63, 64, 65):
+        half = Md5(Md5().update(made["random.bin"][:k]).state)
+        assert half.update(made["random.bin"][k:]).hexdigest() == want["random.bin"][1]
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_bytes(b"hello")

@@ -12,8 +12,9 @@ from tidewall.plans.catalog import query
 from tidewall.plans.views import load
 from tidewall.session import checkpoint_dir, spread
 from tidewall.sources import sinks, text
+from tidewall.sources.digests import file_digests
 from tidewall.sources.rules import load_rules
-from tidewall.sources.tables import list_tables, read_table, scan_files, table_exists
+from tidewall.sources.tables import list_tables, read_table, table_exists
 
 
 def scratch(spark, label: str) -> str:
@@ -35,7 +36,7 @@ def _(spark, d):
 
 @query("S2_scan_files")
 def _(spark, d):
-    return scan_files(spark, d, "*.parquet").select("name", "size", F.md5("content").alias("md5"), F.hex(F.substring("content", 1, 4)).alias("magic"))
+    return file_digests(spark, d, "*.parquet").select("name", "size", "md5", "magic")
 
 
 CSV_COLS = ["c_custkey", "c_name", "c_mktsegment", "note"]
