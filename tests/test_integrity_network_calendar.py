@@ -28,6 +28,35 @@ def test_chunks_round_trip(spark):
     assert {r.id: r.n for r in whole} == {i: len(t.encode()) for i, t in rows}
 
 
+def test_repeated_chunks_reassemble_in_sort_merge_joins(spark, tmp_path):
+    """The query's chunks come twice and meet their files in joins without a broadcast, as large tables do."""
+    import hashlib
+
+    from tidewall.plans.catalog import QUERIES, load_all
+
+    load_all()
+    rows = [(1, "日本語" * 90), (2, "x" * 64 * 9 + "y"), (3, ""), (4, "z" * 64 * 30), (5, None), (None, "no key"), (6, "short"), (6, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sent(i, text):
+        cut = [text[k : k + 64] for k in range(0, max(len(text), 1), 64)]
+        return len(cut), "".join(c + "!" * ((i * 7 + k * 13) % 29 == 0 and i % 2 == 0) for k, c in enumerate(cut))
+
+    want = []
+    for i, text in rows:
+        if i is not None and text is not None:
+            n, content = sent(i, text)
+            want.append((i, n, hashlib.md5(content.encode()).hexdigest(), "ok" if content == text else "hash_mismatch"))
+    assert {w[3] for w in want} == {"ok", "hash_mismatch"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [(r.doc_id, r.chunk_count, r.content_md5, r.status) for r in QUERIES["I9_reassemble"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted(want)
+
+
 def test_hash_trees_of_files(spark):
     """Roots equal a plain tree; a changed, moved, lost or added page gives another root; pages come with their places."""
     import hashlib
