@@ -155,6 +155,25 @@ def test_the_matrix_has_one_number_for_every_word(spark):
     assert filter_audit.audit(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_shards_of_a_block_are_bounded_and_share_its_words(spark):
+    """Rows stay small however large the block, across batches too; the numbers of words hold for all shards."""
+    rng = random.Random(8)
+    texts = [words(rng, 30) for _ in range(50)] + [f"w{i} " * 20_000 for i in range(40)] + [None, "", " ".join(f"u{i}" for i in range(40_000))]
+    df = docs(spark, texts).coalesce(1)
+    shards, dictionary = filter_audit.document_terms(df)
+    name = {r.id: bytes(r.word).decode() for r in dictionary.collect()}
+    assert len(name) == len(set(name.values())) > 40_000  # more words than a stretch
+    rows, got = {}, shards.collect()
+    for s in got:
+        assert sum(d.n_chars for d in s.docs) <= filter_audit.SHARD
+        for d, a, b in zip(s.docs, s.row_start[:-1], s.row_start[1:], strict=True):
+            rows[d.doc_id] = Counter({name[c]: t for c, t in zip(s.col[a:b], s.times[a:b], strict=True)})
+    assert len({s.block for s in got}) == len(got) > 3
+    assert rows == {i: Counter((t or "").split()) for i, t in enumerate(texts)}
+    counts = {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.row_counts(shards).collect()}
+    assert counts == {i: (sum(c.values()), len(c)) for i, c in rows.items()}
+
+
 def plain_digest(text):
     raw = (text or "").encode()
     counts = [0] * digests.BUCKETS

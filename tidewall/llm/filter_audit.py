@@ -1,9 +1,9 @@
 """What filters remove alone, together and in every order, over a sparse document-term matrix.
 
 1. Blocks. A task turns the texts of a block into a small matrix in compressed rows: the block's own words, and for each row the
-   words it holds and how often.
-2. Dictionary. The distinct words of all blocks meet sorted, which numbers them for the whole table, and every block gets the
-   numbers of its words back; a text is never moved. A block with these numbers is a shard of the matrix.
+   words it holds and how often. Both are written as many rows of bounded size: shards of the matrix, and stretches of the words.
+2. Dictionary. The distinct words of all blocks meet sorted, which numbers them for the whole table, and the numbers of a block's
+   words pass a task just ahead of its shards, one after the other; a text is never moved, and no task holds a block as a whole.
 3. Row sums are the words of a document, nonzero entries its different words. With the other flags they make a mask per
    document, and everything that is asked of orders of filters follows from the number of documents of each mask.
 """
@@ -26,8 +26,13 @@ from tidewall.llm import arrays as A
 from tidewall.llm.store import kept, written
 
 BLOCK = 16_000_000  # bytes of text whose words share a dictionary before there is a global one
+SHARD = 1_000_000  # bytes of text in a shard
+STRETCH = 16_384  # words in a row
+HELD = 500_000  # numbers of words that are handed out together
+GROUP = 16_000_000  # bytes of rows that are written, and so read again, together
 ROW = "doc_id: bigint, part: string, text_id: string, n_upper: int, n_chars: int, n_symbols: int"
-BLOCKS = f"block long, docs array<struct<{ROW}>>, row_start array<int>, col array<int>, times array<int>, word array<binary>"
+MATRIX = f"docs array<struct<{ROW}>>, row_start array<int>, col array<int>, times array<int>"
+BLOCKS = f"block long, shard long, {MATRIX}, first int, word array<binary>"
 SHARDS = f"block long, docs array<struct<{ROW}>>, row_start array<int>, col array<long>, times array<int>"
 COUNTS = f"{ROW.replace(':', '')}, n_words long, n_distinct long"
 
@@ -52,7 +57,8 @@ def _per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(marks, dtype=np.int64)][offsets])
 
 
-def _block(number: int, batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _shard(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Documents, row_start, col and times of the texts, and the words that col counts from 0."""
     n = len(offsets) - 1
     starts, ends, first = A.words(data, offsets)
     length = ends - starts
@@ -63,38 +69,70 @@ def _block(number: int, batch: pa.RecordBatch, data: np.ndarray, offsets: np.nda
     n_words = max(len(coded.dictionary), 1)
     cell = np.repeat(np.arange(n), np.diff(first)) * n_words + coded.indices.to_numpy(zero_copy_only=False)
     cell, times = np.unique(cell, return_counts=True)
+    # copies, since a slice would keep the whole batch until the block is full
+    own = batch.select(["doc_id", "part", "text_id"]).take(pa.array(np.arange(n)))
     docs = pa.StructArray.from_arrays(
         [
-            *(batch.column(c) for c in ("doc_id", "part", "text_id")),
+            *own.columns,
             pa.array(_per_text((data >= 65) & (data <= 90), offsets), pa.int32()),
             pa.array(_per_text((data & 0xC0) != 0x80, offsets), pa.int32()),
             pa.array(_per_text(IS_SYMBOL[data], offsets), pa.int32()),
         ],
         ["doc_id", "part", "text_id", "n_upper", "n_chars", "n_symbols"],
     )
-    row_start = np.searchsorted(cell, np.arange(n + 1) * n_words)
-    columns = [
-        pa.array([number], pa.int64()), _listed(docs), _listed(pa.array(row_start, pa.int32())), _listed(pa.array(cell % n_words, pa.int32())),
-        _listed(pa.array(times, pa.int32())), _listed(coded.dictionary.cast(pa.binary())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "row_start", "col", "times", "word"])
+    row_start = np.searchsorted(cell, np.arange(n + 1) * n_words).astype(np.int32)
+    return docs, row_start, (cell % n_words).astype(np.int32), times.astype(np.int32), coded.dictionary
+
+
+def _rows_of_block(number: int, shards: list) -> Iterator[pa.RecordBatch]:
+    """The shards of a block with the numbers of its words, and its words in stretches; ``number``: of the first shard and of the block."""
+    names = ["block", "shard", "docs", "row_start", "col", "times", "first", "word"]
+    block = pa.array([number], pa.int64())
+    coded = pa.concat_arrays([x[-1] for x in shards]).dictionary_encode()
+    of_block, lo = coded.indices.to_numpy(zero_copy_only=False), 0
+    for i, (docs, row_start, col, times, own) in enumerate(shards):
+        col = of_block[lo : lo + len(own)][col]
+        lo += len(own)
+        lists = [_listed(docs), _listed(pa.array(row_start)), _listed(pa.array(col, pa.int32())), _listed(pa.array(times))]
+        none = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([block, pa.array([number + i], pa.int64()), *lists, *none], names=names)
+    word, whole = coded.dictionary, pa.list_(pa.int32())
+    for first in range(0, len(word), STRETCH):
+        none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(docs.type)), *(pa.nulls(1, whole) for _ in range(3))]
+        some = [pa.array([first], pa.int32()), _listed(word.slice(first, STRETCH).cast(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([block, *none, *some], names=names)
 
 
 def _blocks(most: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, size, shards = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
             data, offsets = A.text_buffers(batch.column("text"))
-            for lo, hi in A.chunks(offsets, most):
-                yield _block(number, batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                number += 1
+            for lo, hi in A.chunks(offsets, min(most, SHARD)):
+                n = int(offsets[hi] - offsets[lo])
+                if shards and size + n > most:
+                    yield from _rows_of_block(number, shards)
+                    number, size, shards = number + len(shards), 0, []
+                shards.append(_shard(batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                size += n
+        if shards:
+            yield from _rows_of_block(number, shards)
 
     return encode
 
 
+def _by_block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    block, at, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(block, kind="stable")
+    which, start = np.unique(block[order], return_index=True)
+    start = pa.array(np.r_[start, len(order)], pa.int32())
+    lists = [pa.ListArray.from_arrays(start, pa.array(x[order])) for x in (at, ids)]
+    return pa.RecordBatch.from_arrays([pa.array(which), *lists], names=["block", "at", "id"])
+
+
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of sorted words, handed out as lists to the blocks that hold them."""
-    number, last = (TaskContext.get().partitionId() << 33) - 1, None
+    number, last, held, n = (TaskContext.get().partitionId() << 33) - 1, None, [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,26 +140,37 @@ def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new = np.r_[word[0].as_py() != last, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]
         ids = number + np.cumsum(new)
         number, last = int(ids[-1]), word[len(word) - 1].as_py()
-        block = batch.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        which, start = np.unique(block[order], return_index=True)
-        start = pa.array(np.r_[start, len(order)], pa.int32())
-        lists = [pa.ListArray.from_arrays(start, pa.array(x[order])) for x in (batch.column("at").to_numpy(), ids)]
-        yield pa.RecordBatch.from_arrays([pa.array(which), *lists], names=["block", "at", "id"])
+        held.append((batch.column("block").to_numpy().copy(), batch.column("at").to_numpy().copy(), ids))
+        n += len(ids)
+        if n >= HELD:
+            yield _by_block(held)
+            held, n = [], 0
+    if held:
+        yield _by_block(held)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the global numbers of their words in place of their own."""
+    """Shards with the global numbers of their words in place of the block's own. Of a block, the numbers come first."""
+    block, held, number = None, [], None
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            at, ids = (row.column(c).flatten().flatten().to_numpy(zero_copy_only=False) for c in ("at", "id"))
-            col = row.column("col").flatten().to_numpy(zero_copy_only=False)
-            number = np.empty(len(at), np.int64)
-            number[at] = ids
-            new = pa.array(number[col], pa.int64())
+        of, is_shard = batch.column("block").to_numpy(), batch.column("shard").is_valid().to_numpy(zero_copy_only=False)
+        # runs of numbers of a block, and single shards
+        edges = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | is_shard[1:] | is_shard[:-1], True])
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if of[lo] != block:
+                block, held, number = of[lo], [], None
+            row = batch.slice(lo, hi - lo)
+            if not is_shard[lo]:
+                held.append([row.column(c).flatten().to_numpy(zero_copy_only=False).copy() for c in ("at", "id")])
+                continue
+            if number is None:
+                number = np.empty(sum(len(at) for at, _ in held), np.int64)
+                for at, ids in held:
+                    number[at] = ids
+                held = []
+            new = pa.array(number[row.column("col").flatten().to_numpy(zero_copy_only=False)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [row.column("block"), row.column("docs"), row.column("row_start"), _listed(new), row.column("times")],
+                [row.column("shard"), row.column("docs"), row.column("row_start"), _listed(new), row.column("times")],
                 names=["block", "docs", "row_start", "col", "times"],
             )
 
@@ -146,21 +195,21 @@ def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(df: DataFrame, key: str, text: str, part: str | None, block: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks beside the numbers of their words (at, id), and the dictionary."""
+    """Shards, each block's behind the numbers of its words (at, id), and the dictionary."""
     own = F.coalesce(F.col(text), F.lit(""))
     named = df.select(
         F.col(key).cast("long").alias("doc_id"), (F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")).alias("part"),
         F.sha2(own, 256).alias("text_id"), own.alias("text"),
     )
-    blocks = written(named.mapInArrow(_blocks(block), BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode("word").alias("at", "word"))
+    blocks = written(named.mapInArrow(_blocks(block), BLOCKS), "blocks", GROUP)
+    listed = blocks.where("word is not null").select("block", "first", F.posexplode("word").alias("i", "word"))
+    words = listed.select("block", (F.col("first") + F.col("i")).alias("at"), "word")
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_number_words, "block long, at array<int>, id array<long>")
-    numbers = kept(ids.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id")), "numbers")
-    none = F.array()
-    numbered = blocks.drop("word").join(numbers, "block", "left").withColumns(
-        {"at": F.coalesce("at", none.cast("array<array<int>>")), "id": F.coalesce("id", none.cast("array<array<long>>"))}
-    )
-    each = F.explode(F.arrays_zip(F.flatten("at").alias("at"), F.flatten("id").alias("id")))
+    numbers = kept(ids, "numbers")
+    shards = blocks.where("shard is not null").drop("first", "word")
+    met = numbers.unionByName(shards, allowMissingColumns=True).repartition("block")
+    numbered = met.sortWithinPartitions("block", F.col("shard").asc_nulls_first())
+    each = F.explode(F.arrays_zip("at", "id"))
     placed = numbers.select("block", each.alias("x")).select("block", "x.at", "x.id")
     return numbered, placed.join(words, ["block", "at"]).select("word", "id").distinct()
 
@@ -171,8 +220,8 @@ def document_terms(df: DataFrame, key: str = "doc_id", text: str = "text", part:
     ``shards``: block, docs (key, part, SHA-256 of the text and counts of characters, one entry per row of the shard),
     row_start, col (numbers of words), times: compressed rows. ``dictionary``: word (UTF-8), id.
     Words are runs without ASCII white space, case kept. A null text is empty; empty texts are rows without entries. Repeated rows are
-    rows of their own, null and repeated keys stay. A shard holds ``block`` bytes of text, or one longer text. Other columns of ``df``
-    are not read, so none can clash. An empty table gives no shard and no word.
+    rows of their own, null and repeated keys stay. A shard holds 1 MB of text and ``block`` bytes at most, or one longer text; its number
+    is its own. Other columns of ``df`` are not read, so none can clash. An empty table gives no shard and no word.
     """
     numbered, dictionary = _matrix(df, key, text, part, block)
     return numbered.mapInArrow(_numbered, SHARDS), dictionary

@@ -44,11 +44,17 @@ def kept(df: DataFrame, kind: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Rows with texts as a compressed table in the shared folder, read again; what led to them is released."""
+def written(df: DataFrame, kind: str, group: int | None = None) -> DataFrame:
+    """Rows with texts as a compressed table in the shared folder, read again; what led to them is released.
+
+    ``group``: bytes of rows that are held while they are written and when they are read, if large rows ask for less than Parquet's 128 MB.
+    """
     spark, schema = df.sparkSession, df.schema
     folder = new_folder(spark, kind)
-    df.write.option("compression", "zstd").parquet(folder)
-    del df
+    writer = df.write.option("compression", "zstd")
+    if group is not None:
+        writer = writer.option("parquet.block.size", group).option("parquet.block.size.row.check.min", 8)
+    writer.parquet(folder)
+    del df, writer
     release(spark)
     return spark.read.schema(schema).parquet(folder)
