@@ -192,3 +192,28 @@ def test_a_role_of_most_members_is_no_single_task(spark):
     assert found.select(F.spark_partition_id()).distinct().count() > 4 and found.count() == 200 * 300
     assert sorted(r.request_id for r in out.where("error is not null").collect()) == list(range(1, 400, 2))
     anti = out.where("error is not null")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_requests_and_members_take_little_disk(spark, tmp_path):
+    """A role of more members than a dictionary of a file holds; nulls and repeats stay, and every pair is there."""
+    requests = spark.range(40).selectExpr("case when id < 2 then null else id div 2 end as request_id", "id % 4 as template_id", "'d' as department")
+    templates = spark.createDataFrame(
+        [(0, "role", ["ADMIN"], None), (1, "role", ["admin", "Clerk"], None), (2, "role", ["nobody"], None), (3, "role", ["clerk", "CLERK"], None)],
+        "template_id bigint, pool string, roles array<string>, user_ids array<string>",
+    )
+    many = spark.range(70_000).selectExpr("'Admin' as role", "concat('member-', sha2(cast(id as string), 224)) as user_id")
+    few = spark.createDataFrame([("clerk", "c1"), ("CLERK", "c1"), ("clerk", None), (None, "lost"), ("other", "c2")], "role string, user_id string")
+    heads = spark.createDataFrame([], "department string, head_id string")
+    out = L.select_approvers(requests, templates, many.unionByName(few), heads)
+    rows = requests.collect()
+    admin = [r.request_id for r in rows if r.template_id in (0, 1)]
+    clerk = [r.request_id for r in rows if r.template_id == 1] + [r.request_id for r in rows if r.template_id == 3] * 2
+    out.write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.count() == len(admin) * 70_000 + len(clerk) * 3 + back.where("error is not null").count()
+    pairs = back.where("approver_id like 'member-%'").groupBy("request_id").agg(F.count("*").alias("n"), F.count_distinct("approver_id").alias("d"))
+    assert {r.request_id: (r.n, r.d) for r in pairs.collect()} == {i: (admin.count(i) * 70_000, 70_000) for i in set(admin)}
+    got = sorted(str(tuple(r)) for r in back.where("error is null and (approver_id is null or approver_id not like 'member-%')").select("request_id", "approver_id").collect())
+    assert got == sorted(str((i, u)) for i in clerk for u in ("c1", "c1", None))
+    # the names take 4.4 MB, once for every file that holds them; row by row they would take 90 MB
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 20_000_000
