@@ -28,8 +28,8 @@ def test_chunks_round_trip(spark):
     assert {r.id: r.n for r in whole} == {i: len(t.encode()) for i, t in rows}
 
 
-def test_repeated_chunks_reassemble_in_sort_merge_joins(spark, tmp_path):
-    """The query's chunks come twice and meet their files in joins without a broadcast, as large tables do."""
+def test_repeated_chunks_reassemble_in_joins_of_both_kinds(spark, tmp_path):
+    """The query's chunks come twice and meet their files in joins without a broadcast, as large tables do, and with one: a file is one row."""
     import hashlib
 
     from tidewall.plans.catalog import QUERIES, load_all
@@ -49,12 +49,13 @@ def test_repeated_chunks_reassemble_in_sort_merge_joins(spark, tmp_path):
             want.append((i, n, hashlib.md5(content.encode()).hexdigest(), "ok" if content == text else "hash_mismatch"))
     assert {w[3] for w in want} == {"ok", "hash_mismatch"}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        got = [(r.doc_id, r.chunk_count, r.content_md5, r.status) for r in QUERIES["I9_reassemble"](spark, str(tmp_path)).collect()]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert sorted(got) == sorted(want)
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = [(r.doc_id, r.chunk_count, r.content_md5, r.status) for r in QUERIES["I9_reassemble"](spark, str(tmp_path)).collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sorted(got) == sorted(want), limit
 
 
 def test_hash_trees_of_files(spark):
